@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..plans import Query
 from ..session import table
 from .bpe import encode_texts
+from .canon import map_values
 from .looks import same_look_pairs
 from .setjoin import similar_records
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    slides, tags = table(spark, folder, "slides"), table(spark, folder, "tag_list")
+    axes = ("type", "subtype", "customer")
+    rows = slides.select("id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}_tag").alias("value")) for a in axes])).alias("t")).select("id", "t.*")
+    names = F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(c == "canonical").alias("canonical")) for c in ("canonical", "english")]))
+    entries = tags.select(F.col("tag_id").alias("entry"), "axis", names.alias("n")).select("entry", "axis", "n.*")
+    return map_values(rows, entries, "id", "axis", "value").withColumnRenamed("entry", "tag_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look_pairs(table(spark, folder, "slides"), "id", ["title", "body_text"])
 
@@ -25,7 +35,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
 
 SQL: dict[str, str] = {
     "p6_found": """

@@ -54,7 +54,7 @@ def _similarity(common: Column, n: Column, m: Column) -> Column:
     return common / (n + m - common)
 
 
-def _near(records: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
+def prefix_join(records: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
     """(set_id, pivot, sim) of records and pivots of similarity `least` or more, exactly."""
     def prefixed(df: DataFrame, name: str) -> DataFrame:
         p = df.select(F.col("set_id").alias(name), F.col("n"), F.posexplode(F.slice("ranked", F.lit(1), _prefix(least).cast("int"))).alias("pos", "m"), "members")
@@ -83,14 +83,14 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     chosen = first.groupBy("rarest").agg(F.min("set_id").alias("set_id")).select("set_id")
     pivots = ranked.join(chosen, "set_id")
     reach = threshold - MAX_RADIUS
-    near = cut(_near(ranked, pivots, reach))
+    near = cut(prefix_join(ranked, pivots, reach))
     homes = near.where(F.col("sim") >= 1 - MAX_RADIUS - _TINY).groupBy("set_id").agg(F.max_by(F.struct("pivot", "sim"), F.struct("sim", "pivot")).alias("home")).select("set_id", F.col("home.pivot").alias("pivot"), F.col("home.sim").alias("sim"))
     lone = ranked.join(homes.select("set_id"), "set_id", "left_anti")
     radius = homes.groupBy("pivot").agg((1 - F.min("sim")).alias("radius"))
     copies = near.join(radius, "pivot").where(1 - F.col("sim") <= F.col("radius") + eps + _TINY).select("pivot", F.col("set_id").alias("copy"))
     cells = homes.select("pivot", F.col("set_id").alias("home")).join(copies, "pivot").where("home <> copy").select("home", "copy")
     # cells of radius 0: what is within eps of the pivot is the result itself
-    alone = _near(ranked, lone, threshold).where("set_id <> pivot").select(F.col("pivot").alias("home"), F.col("set_id").alias("copy"))
+    alone = prefix_join(ranked, lone, threshold).where("set_id <> pivot").select(F.col("pivot").alias("home"), F.col("set_id").alias("copy"))
     pairs = cells.unionByName(alone)
     pairs = pairs.select(F.least("home", "copy").alias("set_a"), F.greatest("home", "copy").alias("set_b")).distinct()
     a = sets.select(F.col("set_id").alias("set_a"), F.col("members").alias("members_a"), F.col("n").alias("n_a"))
