@@ -24,6 +24,8 @@ LEAST = 0.4
 #: Share of the members of an entry's own part (what it doesn't share with other entries of its axis)
 #: that a match must contain: a word of an alphabet survives a slip or two, of two signs one may differ.
 OWN_WORD, OWN_SIGNS = 0.74, 0.3
+#: Or: a word whose edit distance to it is at most this share of its length.
+OWN_EDITS = 0.4
 
 _PARTS = re.compile(r"[()\[\]{}〔〕【】<>《》/|:=\n\t]+")
 
@@ -58,10 +60,13 @@ def own_part(text: str, shared: list[str]) -> str:
     return kept
 
 
-def views(text: str, shared: list[str]) -> list[tuple[str, str]]:
-    """(kind, view) of what a value is compared as: all of it and each part between brackets, slashes and colons, whole and without what entries share."""
+def views(text: str, shared: list[str]) -> list[tuple[str, str, str]]:
+    """(kind, view, rest) of what a value is compared as: all of it and each part between brackets, slashes and colons, whole and without what entries share; rest is the part without that."""
     whole = form(text)
-    found = [("whole", compact(p)) for p in (whole, *_PARTS.split(whole))] + [("own", own_part(p, shared)) for p in (whole, *_PARTS.split(whole))]
+    found = []
+    for p in (whole, *_PARTS.split(whole)):
+        rest = own_part(p, shared)
+        found += [("whole", compact(p), rest), ("own", rest, rest)]
     return [v for v in dict.fromkeys(found) if v[1]]
 
 
@@ -90,21 +95,23 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
         for kind, view in (("whole", compact(r.name)), ("own", own)):
             if view:
                 least = 0.0 if own == compact(r.name) else OWN_WORD if own.isascii() else OWN_SIGNS
-                listed.add((r.entry, r.axis, kind, view, tuple(members(r.axis, kind, view)), tuple(members(r.axis, kind, own)), least))
-    refs = spark.createDataFrame([(*x[:4], list(x[4]), list(x[5]), x[6]) for x in sorted(listed)], "entry bigint, axis string, kind string, view string, members array<string>, own array<string>, least double")
+                listed.add((r.entry, r.axis, kind, view, own, tuple(members(r.axis, kind, view)), tuple(members("", "", own)), least))
+    refs = spark.createDataFrame([(*x[:5], list(x[5]), list(x[6]), x[7]) for x in sorted(listed)], "entry bigint, axis string, kind string, view string, word string, members array<string>, own array<string>, least double")
 
-    @F.pandas_udf("array<struct<kind:string,view:string,members:array<string>>>")
+    @F.pandas_udf("array<struct<kind:string,view:string,members:array<string>,rest:string,rests:array<string>>>")
     def viewed(axes: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[(k, v, members(a, k, v)) for k, v in views(t, shared.get(a, []))] for a, t in zip(axes, texts, strict=True)], dtype=object)
+        return pd.Series([[(k, v, members(a, k, v), rest, members("", "", rest)) for k, v, rest in views(t, shared.get(a, []))] for a, t in zip(axes, texts, strict=True)], dtype=object)
 
-    seen = cut(spread(values).select("typed", "axis", F.explode(viewed("axis", "value")).alias("v")).select("typed", F.concat_ws("\x1f", F.lit("v"), "axis", "v.kind", "v.view").alias("set_id"), F.col("v.members").alias("members")))
-    asked = seen.groupBy("set_id").agg(F.first("members").alias("members"))
+    seen = cut(spread(values).select("typed", "axis", F.explode(viewed("axis", "value")).alias("v")).select("typed", F.concat_ws("\x1f", F.lit("v"), "axis", "v.kind", "v.view", "v.rest").alias("set_id"), F.col("v.members").alias("members"), F.col("v.rest").alias("rest"), F.col("v.rests").alias("rests")))
+    asked = seen.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("members", "rest", "rests")])
     given = refs.withColumn("set_id", F.concat_ws("\x1f", F.lit("r"), F.col("entry").cast("string"), "axis", "kind", "view"))
-    sets = asked.unionByName(given.select("set_id", "members")).withColumn("n", F.size("members"))
+    sets = asked.select("set_id", "members").unionByName(given.select("set_id", "members")).withColumn("n", F.size("members"))
     ranked = cut(rare_first(sets).join(sets.select("set_id", "members"), "set_id"))
     near = prefix_join(ranked.where(F.col("set_id").startswith("v\x1f")), ranked.where(F.col("set_id").startswith("r\x1f")), LEAST)
-    near = near.join(given.select(F.col("set_id").alias("pivot"), "entry", "own", "least"), "pivot").join(asked, "set_id")
-    near = near.where(F.size(F.array_intersect("members", "own")) >= F.size("own") * F.col("least")).select("set_id", "entry", "sim")
+    near = near.join(given.select(F.col("set_id").alias("pivot"), "entry", "word", "own", "least"), "pivot").join(asked.drop("members"), "set_id")
+    held = F.size(F.array_intersect("rests", "own")) >= F.size("own") * F.col("least")
+    slips = (F.col("least") == OWN_WORD) & (F.levenshtein("rest", "word") <= F.length("word") * OWN_EDITS)
+    near = near.where(held | slips).select("set_id", "entry", "sim")
     best = seen.select("typed", "set_id").join(near, "set_id").groupBy("typed").agg(F.max_by("entry", F.struct(F.round("sim", 9), -F.col("entry"))).alias("entry"))
     mapped = values.join(best, "typed", "left").select("typed", "held", F.coalesce("entry", F.lit(0)).alias("entry"))
     total = float(values.agg(F.sum("held")).collect()[0][0] or 1)
