@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shred import deck_items
 from ..plans import Query
 from ..session import table
 from .bpe import encode_texts
 from .canon import map_values
 from .looks import same_look_pairs
+from .residue import residue
 from .setjoin import similar_records
 
 
@@ -22,6 +24,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return map_values(rows, entries, "id", "axis", "value").withColumnRenamed("entry", "tag_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "slides").select(F.lit("slides").alias("table_name"), F.col("id").alias("record_id"), F.lit("title").alias("field_path"), F.col("title").alias("text"))
+    items = deck_items(table(spark, folder, "sample_deck"), ledes=True).where("kind <> 'card'")
+    blocks = items.select(F.lit("sample_deck").alias("table_name"), F.concat_ws("/", "file_id", "slide_pos").alias("record_id"), F.col("item_path").alias("field_path"), F.col("item_text").alias("text"))
+    keys = ["table_name", "record_id", "field_path"]
+    return residue(titles.distinct().unionByName(blocks), keys, "text").select(*keys).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_look_pairs(table(spark, folder, "slides"), "id", ["title", "body_text"])
 
@@ -35,7 +45,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
 
 SQL: dict[str, str] = {
     "p6_found": """
