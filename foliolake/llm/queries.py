@@ -10,6 +10,7 @@ from ..plans import Query
 from ..session import table
 from .bpe import encode_texts
 from .canon import map_values
+from .leakage import find_leaks
 from .looks import same_look_pairs
 from .residue import residue
 from .setjoin import similar_records
@@ -45,7 +46,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {
     "p6_found": """
