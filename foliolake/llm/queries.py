@@ -12,6 +12,7 @@ from .bpe import encode_texts
 from .canon import map_values
 from .leakage import find_leaks
 from .looks import same_look_pairs
+from .reading import grade_documents
 from .residue import residue
 from .setjoin import similar_records
 
@@ -50,7 +51,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "reading_labels")
+    grades = grade_documents(table(spark, folder, "documents"), "doc_id", "text", labels, "grade")
+    return grades.join(labels.select("doc_id"), "doc_id", "left_anti")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL: dict[str, str] = {
     "p6_found": """
