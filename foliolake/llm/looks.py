@@ -35,6 +35,7 @@ LIKE_SIGNS = {
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<vertical>", "<isolated>", "<initial>", "<medial>", "<final>", "<small>"}
 
 
+@cache
 def _letter(c: str) -> str:
     """What one code point becomes before composition."""
     o = ord(c)
@@ -79,6 +80,7 @@ def unstable_ranges() -> list[tuple[int, int]]:
     return found
 
 
+@cache
 def _pattern() -> str:
     inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unstable_ranges())
     # the starter before a segment may combine with it; \n is the context of \r\n
@@ -104,9 +106,14 @@ def quick_check() -> str:
     return "[^\\t\\n" + "".join(parts) + "\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7a3}]"
 
 
+@cache
+def _own_segments() -> re.Pattern:
+    return re.compile(_pattern())
+
+
 def form(text: str) -> str:
     """The one form of a text: unstable segments normalised, the rest spliced in unchanged."""
-    return _form(text, _compiled(_pattern()))
+    return text if text.isascii() and text.isprintable() else _form(text, _own_segments())
 
 
 def _form(text: str, segments: re.Pattern) -> str:

@@ -52,7 +52,11 @@ _TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)?|#|[一-鿿]|[^\w\s]|\w")
 
 def message(text: str) -> str:
     """A text as a message: one form, lower case, without signs around it or a running number after it; numbers masked."""
-    s = form(text).casefold().strip().lstrip("⚠❌❗! ").strip()
+    return _message(form(text))
+
+
+def _message(formed: str) -> str:
+    s = formed.casefold().strip().lstrip("⚠❌❗! ").strip()
     bare = _TAIL.sub("", s)
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", bare or s))
 
@@ -82,10 +86,11 @@ def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     def look(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            m = message(t)
+            formed = form(t)
+            m = _message(formed)
             words = re.findall(r"[a-z]{2,}", m)
             only_latin = not re.search(r"[^\x00-\x7f]", m)
-            rows.append((m, _TOKEN.findall(m), has_slot(t), words, not only_latin or len(words) < 4 or any(w in FUNCTION_WORDS for w in words)))
+            rows.append((m, _TOKEN.findall(m), SLOTS.search(formed) is not None, words, not only_latin or len(words) < 4 or any(w in FUNCTION_WORDS for w in words)))
         return pd.DataFrame(rows, columns=["message", "tokens", "slot", "words", "real"])
 
     @F.pandas_udf("string")
