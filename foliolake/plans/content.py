@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..operators import documents as D
 from ..operators import files as P
 from ..operators import matching as N
+from ..operators import measures as V
+from ..operators import sequence as Q
 from ..operators import spatial as B
 from ..session import ship, table
 from . import Query
@@ -380,3 +382,52 @@ def area_vote(spark: SparkSession, folder: str) -> DataFrame:
 def hierarchy_resolve(spark: SparkSession, folder: str) -> DataFrame:
     n = table(spark, folder, "customer").select("c_custkey", F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 3)).alias("up"), F.when(F.col("c_acctbal") > 8000, F.col("c_mktsegment")).alias("style"))
     return B.resolve_chain(n, "c_custkey", "up", ["style"])
+
+
+# measures and lookups
+
+
+@_add("number_bars", f"WITH {_S}, v AS (SELECT id, deck_id, abs(try_cast(NULLIF(regexp_extract(body_text, '(-?\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE)) AS v FROM s), t AS (SELECT deck_id, max(v) AS top FROM v GROUP BY deck_id) SELECT id, CASE WHEN v IS NOT NULL THEN round(greatest(CASE WHEN top > 0 THEN 100 * v / top ELSE 0 END, 40), 4) END AS bar FROM v JOIN t ON v.deck_id = t.deck_id")
+def number_bars(spark: SparkSession, folder: str) -> DataFrame:
+    b = V.bars(slides(spark, folder), ["deck_id"], V.first_number(F.col("body_text")))
+    return b.select("id", F.round("bar", 4).alias("bar"))
+
+
+@_add("fill_verdicts", f"WITH {_S}, v AS (SELECT length(body_text) * 100.0 / 120 AS p FROM s), k AS (SELECT CASE WHEN p < 80 THEN 'sparse' WHEN p > 105 THEN 'overflow' WHEN p IS NOT NULL THEN 'ok' END AS verdict FROM v) SELECT verdict, count(*) AS n FROM k GROUP BY verdict")
+def fill_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return slides(spark, folder).groupBy(V.fill_verdict(F.length("body_text") * 100 / 120).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("page_then_key", f"WITH {_S}, p AS (SELECT deck_id, start_page AS page_no, min(description) AS value FROM stories WHERE start_page IS NOT NULL GROUP BY 1, 2), k AS (SELECT canonical AS type_tag, english AS value FROM tag_list WHERE axis = 'type') SELECT id, coalesce(NULLIF(p.value, ''), k.value) AS label FROM s LEFT JOIN p ON s.deck_id = p.deck_id AND s.page_no = p.page_no LEFT JOIN k ON s.type_tag = k.type_tag")
+def page_then_key(spark: SparkSession, folder: str) -> DataFrame:
+    by_page = table(spark, folder, "stories").where("start_page IS NOT NULL").groupBy("deck_id", F.col("start_page").alias("page_no")).agg(F.min("description").alias("value"))
+    by_key = table(spark, folder, "tag_list").where("axis = 'type'").select(F.col("canonical").alias("type_tag"), F.col("english").alias("value"))
+    return V.overridden(slides(spark, folder), by_page, by_key, ["deck_id", "page_no"], ["type_tag"], "label").select("id", "label")
+
+
+@_add("preferred_per_page", f"WITH {_S} SELECT deck_id, page_no, id FROM s WHERE page_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY deck_id, page_no ORDER BY coalesce(title_source, '') <> 'extracted', row_seq) = 1")
+def preferred_per_page(spark: SparkSession, folder: str) -> DataFrame:
+    s = slides(spark, folder).where("page_no IS NOT NULL").select("deck_id", "page_no", "id", "row_seq", F.coalesce("title_source", F.lit("")).alias("source"))
+    return Q.first_preferred(s, ["deck_id", "page_no"], F.col("source") == "extracted", ["row_seq"]).select("deck_id", "page_no", "id")
+
+
+@_add("file_manifest", SQL["html_refs"].replace("SELECT DISTINCT id,", ", q AS (SELECT DISTINCT id,") + ") SELECT CASE WHEN starts_with(path, '../a/') THEN 'shared' WHEN starts_with(path, 'thumbs/') THEN 'framework' ELSE 'local' END AS place, count(DISTINCT path) AS files FROM q GROUP BY 1")
+def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return P.manifest(html_refs(spark, folder), "../a/", "thumbs/")
+
+
+@_add("resolve_first_existing", f"WITH {_S}, f AS (SELECT DISTINCT thumbnail_path AS path FROM s WHERE thumbnail_path IS NOT NULL), c AS (SELECT id, 'covers/' || slide_key || '.png' AS a, 'thumbs/' || deck_id || '/' || slide_key || '.png' AS b FROM s) SELECT id, CASE WHEN a IN (SELECT path FROM f) THEN a WHEN b IN (SELECT path FROM f) THEN b END AS resolved FROM c")
+def resolve_first_existing(spark: SparkSession, folder: str) -> DataFrame:
+    s = slides(spark, folder)
+    files = s.where("thumbnail_path IS NOT NULL").select(F.col("thumbnail_path").alias("path"))
+    tries = [F.concat(F.lit("covers/"), F.col("slide_key"), F.lit(".png")), F.concat(F.lit("thumbs/"), F.col("deck_id"), F.lit("/"), F.col("slide_key"), F.lit(".png"))]
+    return P.first_existing(s, files, ["id"], tries)
+
+
+@_add("same_content", "WITH a AS (SELECT l.slide_id, l.asset_hash AS hash, x.size_bytes, x.filename FROM slide_assets l JOIN assets x ON l.asset_hash = x.hash), o AS (SELECT filename, min(size_bytes) AS s2, min(hash) AS h2 FROM assets WHERE filename IS NOT NULL GROUP BY filename), d AS (SELECT DISTINCT filename, size_bytes, hash FROM a WHERE filename IS NOT NULL) SELECT d.filename, CASE WHEN o.h2 IS NULL THEN 'no original' WHEN d.size_bytes <> o.s2 THEN 'other size' WHEN d.hash <> o.h2 THEN 'other content' ELSE 'same' END AS status FROM d LEFT JOIN o ON d.filename = o.filename")
+def same_content(spark: SparkSession, folder: str) -> DataFrame:
+    x = table(spark, folder, "assets").where("filename IS NOT NULL")
+    used = table(spark, folder, "slide_assets").select(F.col("asset_hash").alias("hash")).distinct()
+    copies = x.join(used, "hash").select("filename", "size_bytes", "hash").distinct()
+    originals = x.groupBy("filename").agg(F.min("size_bytes").alias("size_bytes"), F.min("hash").alias("hash"))
+    return P.same_content(copies, originals, ["filename"])

@@ -62,14 +62,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Estimated bytes of a partition from which on a frame has partitions enough by itself.
+ENOUGH = 32 * 1024 * 1024
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Enough partitions to keep every core busy before an expensive per-row stage.
 
-    A large input already has more partitions than that and isn't shuffled; only a small number of
-    files or row groups is dealt out again.
+    A large input has more partitions than that already and isn't shuffled; only a small number of files or of coalesced
+    partitions is dealt out again. Nothing is run to find out: a scan is asked for its splits, and behind a shuffle,
+    where the number isn't known before the run, Catalyst's size estimate decides.
     """
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df if df.rdd.getNumPartitions() * 2 > want else df.repartition(want)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(x in plan.toString() for x in ("Aggregate", "Join", "Repartition", "Window", "Sort")):
+        enough = int(plan.stats().sizeInBytes().toString()) >= want * ENOUGH
+    else:
+        enough = df.rdd.getNumPartitions() * 2 > want
+    return df if enough else df.repartition(want)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
