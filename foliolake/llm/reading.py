@@ -10,11 +10,13 @@ estimated in turn, each from the other. Last, the two levels are read as grades.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +81,42 @@ def _grid() -> np.ndarray:
     return np.arange(-0.5, 5.51, 0.05)
 
 
+_CODES: dict[str, int] = {}
+
+
+def code(item: str) -> int:
+    """The 64-bit number of an item; numbers are what is counted and looked up."""
+    import xxhash
+
+    c = _CODES.get(item)
+    if c is None:
+        if len(_CODES) >= 500_000:
+            _CODES.clear()
+        c = _CODES[item] = xxhash.xxh64_intdigest(item) - (1 << 63)
+    return c
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, scale, total, codes, counts): two rows for each text, its words and its sentence shapes."""
+    for batch in batches:
+        at, scales, totals = [], [], []
+        codes, counts, ends = array("q"), array("i"), array("i", [0])
+        for k, t in enumerate(batch.column(1)):
+            script, *both = items(t.as_py())
+            for name, c in zip(("words", "shapes"), both, strict=True):
+                at.append(k)
+                scales.append(f"{script} {name}")
+                totals.append(sum(c.values()))
+                codes.extend(map(code, c))
+                counts.extend(c.values())
+                ends.append(len(codes))
+        offsets = pa.array(np.frombuffer(ends, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, dtype=d))) for x, d in ((codes, np.int64), (counts, np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(scales, pa.string()), pa.array(totals, pa.int64()), *lists], names=["key", "scale", "total", "codes", "counts"])
+
+
 def _parameters(docs: DataFrame, levels: DataFrame) -> DataFrame:
-    """(scale, item, c, a) of every item from documents with known levels."""
+    """(scale, code, c, a) of every item from documents with known levels."""
     spark = docs.sparkSession
     at = F.greatest(F.lit(0), F.least(F.lit(len(LEVELS) - 1), F.round(F.col("level") / (LEVELS[1] - LEVELS[0])).cast("int")))
     known = docs.join(levels, ["key", "scale"]).withColumn("bin", at)
@@ -88,46 +124,48 @@ def _parameters(docs: DataFrame, levels: DataFrame) -> DataFrame:
     for r in known.groupBy("scale", "bin").agg(F.sum("total").alias("n")).collect():
         exposure.setdefault(r.scale, np.zeros(len(LEVELS)))[r.bin] = r.n
     sent = spark.sparkContext.broadcast(exposure)
-    long = known.select("scale", "bin", F.explode("items").alias("i")).groupBy("scale", "i.item", "bin").agg(F.sum("i.n").alias("n"))
-    rows = long.groupBy("scale", "item").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
+    long = known.select("scale", "bin", F.explode(F.arrays_zip("codes", "counts")).alias("i"))
+    long = long.groupBy("scale", F.col("i.codes").alias("code"), "bin").agg(F.sum("i.counts").alias("n"))
+    rows = long.groupBy("scale", "code").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for scale, part in pdf.groupby("scale"):
                 counts = np.zeros((len(part), len(LEVELS)))
-                for k, m in enumerate(part["counts"]):
-                    for b, n in (m.items() if isinstance(m, dict) else m):
-                        counts[k, b] = n
+                for k, (b, n) in enumerate(zip(part["bins"], part["counts"], strict=True)):
+                    counts[k, b] = n
                 c, a = fit_items(counts, sent.value[scale])
-                yield pd.DataFrame({"scale": scale, "item": part["item"].to_numpy(), "c": c, "a": a})
+                yield pd.DataFrame({"scale": scale, "code": part["code"].to_numpy(), "c": c, "a": a})
 
-    return cut(rows.mapInPandas(fit, "scale string, item string, c double, a double"))
+    return cut(rows.mapInPandas(fit, "scale string, code bigint, c double, a double"))
 
 
 def _levels(docs: DataFrame, parameters: DataFrame) -> DataFrame:
     """(key, scale, level) of every document: the most probable level given its items."""
     spark = docs.sparkSession
     grid = _grid()
-    known = parameters.groupBy("scale").agg(*[F.sum(F.exp(F.col("c") + F.col("a") * float(g - MIDDLE))).alias(f"m{k}") for k, g in enumerate(grid)]).collect()
+    known = parameters.groupBy("scale").agg(F.count(F.lit(1)).alias("items"), *[F.sum(F.exp(F.col("c") + F.col("a") * float(g - MIDDLE))).alias(f"m{k}") for k, g in enumerate(grid)]).collect()
     mass = {r.scale: np.array([r[f"m{k}"] for k in range(len(grid))]) for r in known}
-    if parameters.count() <= SENT:
-        slopes: dict[str, dict[str, float]] = {}
-        for r in parameters.select("scale", "item", "a").toLocalIterator():
-            slopes.setdefault(r.scale, {})[r.item] = r.a
-        sent = spark.sparkContext.broadcast(slopes)
+    if sum(r["items"] for r in known) <= SENT:
+        slopes: dict[str, list] = {}
+        for r in parameters.select("scale", "code", "a").toLocalIterator():
+            slopes.setdefault(r.scale, []).append((r.code, r.a))
+        sent = spark.sparkContext.broadcast({s: tuple(np.array(x) for x in zip(*sorted(v), strict=True)) for s, v in slopes.items()})
 
         @F.pandas_udf("double")
-        def summed(scales: pd.Series, names: pd.Series, counts: pd.Series) -> pd.Series:
-            out = []
-            for s, w, n in zip(scales, names, counts, strict=True):
-                get = sent.value.get(s, {}).get
-                out.append(float(sum(get(i, 0.0) * k for i, k in zip(w, n, strict=True))))
+        def summed(scales: pd.Series, codes: pd.Series, counts: pd.Series) -> pd.Series:
+            out = np.zeros(len(scales))
+            for k, (s, w, n) in enumerate(zip(scales, codes, counts, strict=True)):
+                if s in sent.value and len(w):
+                    known_codes, a = sent.value[s]
+                    place = np.minimum(np.searchsorted(known_codes, w), len(a) - 1)
+                    out[k] = np.dot(np.where(known_codes[place] == w, a[place], 0.0), n)
             return pd.Series(out)
 
-        held = docs.select("key", "scale", "total", summed("scale", F.col("items.item"), F.col("items.n")).alias("sum"))
+        held = docs.select("key", "scale", "total", summed("scale", "codes", "counts").alias("sum"))
     else:
-        long = docs.select("key", "scale", F.explode("items").alias("i")).select("key", "scale", "i.item", "i.n")
-        sums = long.join(parameters.select("scale", "item", "a"), ["scale", "item"]).groupBy("key", "scale").agg(F.sum(F.col("a") * F.col("n")).alias("sum"))
+        long = docs.select("key", "scale", F.explode(F.arrays_zip("codes", "counts")).alias("i")).select("key", "scale", F.col("i.codes").alias("code"), F.col("i.counts").alias("n"))
+        sums = long.join(parameters.select("scale", "code", "a"), ["scale", "code"]).groupBy("key", "scale").agg(F.sum(F.col("a") * F.col("n")).alias("sum"))
         held = docs.select("key", "scale", "total").join(sums, ["key", "scale"], "left").fillna(0.0, ["sum"])
 
     @F.pandas_udf("double")
@@ -174,16 +212,9 @@ def grade_documents(documents: DataFrame, key: str, text: str, graded: DataFrame
     """
     ship(documents.sparkSession)
 
-    @F.pandas_udf("array<struct<scale:string,total:bigint,items:array<struct<item:string,n:int>>>>")
-    def counted(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            script, words, shapes = items(t)
-            out.append([(f"{script} {name}", sum(c.values()), list(c.items())) for name, c in (("words", words), ("shapes", shapes))])
-        return pd.Series(out, dtype=object)
-
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(f"key IS NOT NULL AND length(text) >= {LEAST_CHARS}")
-    docs = cut(spread(rows.dropDuplicates(["key"])).select("key", F.explode(counted("text")).alias("s")).select("key", "s.*"))
+    kind = documents.schema[key].dataType.simpleString()
+    docs = cut(spread(rows.dropDuplicates(["key"])).mapInArrow(_counted, f"key {kind}, scale string, total bigint, codes array<bigint>, counts array<int>"))
     marks = graded.select(F.col(key).alias("key"), F.col(grade).cast("double").alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL").groupBy("key").agg(F.min("grade").alias("grade"))
     anchors = docs.select("key", "scale").join(marks, "key").select("key", "scale", F.col("grade").alias("level"))
     levels = _levels(docs, _parameters(docs, anchors))
