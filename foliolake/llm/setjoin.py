@@ -25,6 +25,15 @@ def record_sets(df: DataFrame, record: str, member: str, least: int = 1) -> Data
     return sets.withColumn("n", F.size("members")).where(F.col("n") >= least)
 
 
+def numbered(df: DataFrame, member: str) -> DataFrame:
+    """df with members as 64-bit numbers, an eighth of the size of a long hash to shuffle; as they are, should two ever share a number."""
+    number = F.xxhash64(member)
+    met = df.where(F.col(member).isNotNull()).groupBy(number.alias("n")).agg(F.min(member).alias("least"), F.max(member).alias("most"))
+    if not met.where("least <> most").isEmpty():
+        return df
+    return df.withColumn(member, F.when(F.col(member).isNotNull(), number))
+
+
 def rare_first(sets: DataFrame, key: str = "set_id") -> DataFrame:
     """Members of each distinct set replaced by their order of global rarity: (key, n, ranked array of (df, member)).
 
@@ -109,7 +118,7 @@ def similar_records(df: DataFrame, record: str, member: str, threshold: float, l
     repeated rows count once; an empty table has no pairs. Records with equal members are one set while
     sets are compared; only the result names them all.
     """
-    records = record_sets(df, record, member, least)
+    records = record_sets(numbered(df.select(record, member), member), record, member, least)
     groups = cut(records.groupBy("members").agg(F.min("record").alias("set_id"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.size("members")))
     pairs = similar_sets(groups.select("set_id", "n", "members"), threshold).select("set_a", "set_b")
     own = records.join(groups.select("members", "set_id"), "members").select("set_id", "record")
