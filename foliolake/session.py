@@ -76,7 +76,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     plan = df._jdf.queryExecution().optimizedPlan()
     if any(x in plan.toString() for x in ("Aggregate", "Join", "Repartition", "Window", "Sort")):
-        enough = int(plan.stats().sizeInBytes().toString()) >= want * ENOUGH
+        enough = int(str(plan.stats().sizeInBytes())) >= want * ENOUGH
     else:
         enough = df.rdd.getNumPartitions() * 2 > want
     return df if enough else df.repartition(want)
