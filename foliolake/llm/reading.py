@@ -97,11 +97,11 @@ def code(item: str) -> int:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, scale, total, codes, counts): two rows for each text, its words and its sentence shapes."""
+    """(key, grade, scale, total, codes, counts) from (key, grade, text): two rows for each text, its words and its sentence shapes."""
     for batch in batches:
         at, scales, totals = [], [], []
         codes, counts, ends = array("q"), array("i"), array("i", [0])
-        for k, t in enumerate(batch.column(1)):
+        for k, t in enumerate(batch.column(2)):
             script, *both = items(t.as_py())
             for name, c in zip(("words", "shapes"), both, strict=True):
                 at.append(k)
@@ -112,20 +112,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends.append(len(codes))
         offsets = pa.array(np.frombuffer(ends, dtype=np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, dtype=d))) for x, d in ((codes, np.int64), (counts, np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(scales, pa.string()), pa.array(totals, pa.int64()), *lists], names=["key", "scale", "total", "codes", "counts"])
+        kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(scales, pa.string()), pa.array(totals, pa.int64()), *lists], names=["key", "grade", "scale", "total", "codes", "counts"])
 
 
-def _parameters(docs: DataFrame, levels: DataFrame) -> DataFrame:
-    """(scale, code, c, a) of every item from documents with known levels."""
+def _parameters(docs: DataFrame) -> DataFrame:
+    """(scale, code, c, a) of every item from documents with a `level`; those with none are passed over.
+
+    Items are summed by level bin before they are shuffled. The bins' exposure comes from these sums."""
     spark = docs.sparkSession
     at = F.greatest(F.lit(0), F.least(F.lit(len(LEVELS) - 1), F.round(F.col("level") / (LEVELS[1] - LEVELS[0])).cast("int")))
-    known = docs.join(levels, ["key", "scale"]).withColumn("bin", at)
+    long = docs.where("level IS NOT NULL").select("scale", at.alias("bin"), F.explode(F.arrays_zip("codes", "counts")).alias("i"))
+    long = cut(long.groupBy("scale", F.col("i.codes").alias("code"), "bin").agg(F.sum("i.counts").alias("n")))
     exposure: dict[str, np.ndarray] = {}
-    for r in known.groupBy("scale", "bin").agg(F.sum("total").alias("n")).collect():
+    for r in long.groupBy("scale", "bin").agg(F.sum("n").alias("n")).collect():
         exposure.setdefault(r.scale, np.zeros(len(LEVELS)))[r.bin] = r.n
     sent = spark.sparkContext.broadcast(exposure)
-    long = known.select("scale", "bin", F.explode(F.arrays_zip("codes", "counts")).alias("i"))
-    long = long.groupBy("scale", F.col("i.codes").alias("code"), "bin").agg(F.sum("i.counts").alias("n"))
     rows = long.groupBy("scale", "code").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +142,8 @@ def _parameters(docs: DataFrame, levels: DataFrame) -> DataFrame:
     return cut(rows.mapInPandas(fit, "scale string, code bigint, c double, a double"))
 
 
-def _levels(docs: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(key, scale, level) of every document: the most probable level given its items."""
+def _with_level(docs: DataFrame, parameters: DataFrame) -> DataFrame:
+    """docs with `level`: the most probable level of every document given its items. A narrow step, unless there are more than SENT items."""
     spark = docs.sparkSession
     grid = _grid()
     known = parameters.groupBy("scale").agg(F.count(F.lit(1)).alias("items"), *[F.sum(F.exp(F.col("c") + F.col("a") * float(g - MIDDLE))).alias(f"m{k}") for k, g in enumerate(grid)]).collect()
@@ -162,11 +164,11 @@ def _levels(docs: DataFrame, parameters: DataFrame) -> DataFrame:
                     out[k] = np.dot(np.where(known_codes[place] == w, a[place], 0.0), n)
             return pd.Series(out)
 
-        held = docs.select("key", "scale", "total", summed("scale", "codes", "counts").alias("sum"))
+        held = docs.withColumn("sum", summed("scale", "codes", "counts"))
     else:
         long = docs.select("key", "scale", F.explode(F.arrays_zip("codes", "counts")).alias("i")).select("key", "scale", F.col("i.codes").alias("code"), F.col("i.counts").alias("n"))
         sums = long.join(parameters.select("scale", "code", "a"), ["scale", "code"]).groupBy("key", "scale").agg(F.sum(F.col("a") * F.col("n")).alias("sum"))
-        held = docs.select("key", "scale", "total").join(sums, ["key", "scale"], "left").fillna(0.0, ["sum"])
+        held = docs.join(sums, ["key", "scale"], "left").fillna(0.0, ["sum"])
 
     @F.pandas_udf("double")
     def best(scales: pd.Series, totals: pd.Series, sums: pd.Series) -> pd.Series:
@@ -179,7 +181,7 @@ def _levels(docs: DataFrame, parameters: DataFrame) -> DataFrame:
                 out[at] = grid[score.argmax(1)]
         return pd.Series(out)
 
-    return cut(held.select("key", "scale", best("scale", "total", "sum").alias("level")))
+    return held.withColumn("level", best("scale", "total", "sum")).drop("sum")
 
 
 def _features(words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -214,17 +216,18 @@ def grade_documents(documents: DataFrame, key: str, text: str, graded: DataFrame
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(f"key IS NOT NULL AND length(text) >= {LEAST_CHARS}")
     kind = documents.schema[key].dataType.simpleString()
-    docs = cut(spread(rows.dropDuplicates(["key"])).mapInArrow(_counted, f"key {kind}, scale string, total bigint, codes array<bigint>, counts array<int>"))
     marks = graded.select(F.col(key).alias("key"), F.col(grade).cast("double").alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL").groupBy("key").agg(F.min("grade").alias("grade"))
-    anchors = docs.select("key", "scale").join(marks, "key").select("key", "scale", F.col("grade").alias("level"))
-    levels = _levels(docs, _parameters(docs, anchors))
+    marked = spread(rows.dropDuplicates(["key"]).join(marks, "key", "left").select("key", "grade", "text"))
+    docs = cut(marked.mapInArrow(_counted, f"key {kind}, grade double, scale string, total bigint, codes array<bigint>, counts array<int>"))
+    parameters = _parameters(docs.withColumn("level", F.col("grade")))
     for _ in range(ROUNDS):
-        mixed = levels.join(marks, "key", "left").select("key", "scale", F.coalesce("grade", "level").alias("level"))
-        levels = _levels(docs, _parameters(docs, mixed))
+        parameters = _parameters(_with_level(docs, parameters).withColumn("level", F.coalesce("grade", "level")))
+    levels = _with_level(docs, parameters)
     script = F.element_at(F.split("scale", " "), 1)
     scale = F.element_at(F.split("scale", " "), 2)
-    wide = levels.groupBy("key").agg(F.first(script).alias("script"), F.max(F.when(scale == "words", F.col("level"))).alias("words"), F.max(F.when(scale == "shapes", F.col("level"))).alias("shapes"))
-    known = wide.join(marks, "key").orderBy(F.xxhash64("key"), "key").limit(FITTED).toPandas()
+    wide = levels.groupBy("key").agg(F.max("grade").alias("grade"), F.first(script).alias("script"), F.max(F.when(scale == "words", F.col("level"))).alias("words"), F.max(F.when(scale == "shapes", F.col("level"))).alias("shapes"))
+    wide = cut(wide)
+    known = wide.where("grade IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(FITTED).toPandas()
     if known.empty:
         return wide.limit(0).select(F.col("key").alias(key), F.lit(0).cast("int").alias("grade"))
     fits = {}
