@@ -20,9 +20,9 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def latest_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one that came last; rows with a null key are dropped."""
-    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*df.columns), F.col(order)).alias("_r"))
-    return kept.select("_r.*")
+    """One row per key, the one that came last by a unique order; rows with a null key are dropped. Columns that nobody asks for later are pruned."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return df.where(F.col(key).isNotNull()).withColumn("_last", last).where("_last = 1").drop("_last")
 
 
 def search(df: DataFrame, equal: Mapping[str, str | None] | None = None, text: str | None = None, columns: Sequence[str] = (), tag: str | None = None, tag_column: str = "free_tags", only: Mapping[str, Sequence[str]] | None = None, without: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -72,21 +72,34 @@ def facet_map(counts: DataFrame) -> DataFrame:
     return counts.groupBy("axis").agg(rows.alias("entries"))
 
 
+#: Pages of a bucket in range joins: a story meets the slides of its own buckets only, so a hot deck costs what it has, not its stories times its slides.
+PAGES = 64
+
+
+def _bucketed(stories: DataFrame, slides: DataFrame) -> DataFrame:
+    """Stories once for each bucket of pages that they cover, ranges clipped to the pages that their deck has."""
+    known = slides.where("page_no IS NOT NULL").groupBy(F.col("deck_id").alias("_d")).agg(F.min("page_no").alias("_lo"), F.max("page_no").alias("_hi"))
+    s = stories.join(known, F.col("deck_id") == F.col("_d")).where("start_page <= end_page AND start_page <= _hi AND end_page >= _lo")
+    first, last = F.greatest("start_page", "_lo"), F.least("end_page", "_hi")
+    return s.withColumn("_bucket", F.explode(F.sequence(F.floor(first / PAGES), F.floor(last / PAGES)))).drop("_d", "_lo", "_hi")
+
+
 def members(stories: DataFrame, slides: DataFrame) -> DataFrame:
-    """Slides of each story: an equi-join on the deck with the page range as residue; a null bound has no members.
+    """Slides of each story: an equi-join on deck and bucket of pages with the range as residue; a null bound has no members.
 
     Returns (story_id, story_title, slide_id, deck_id, page_no, position), position counted from the story's first page.
     """
-    s = stories.select(F.col("id").alias("story_id"), F.col("title").alias("story_title"), "deck_id", "start_page", "end_page").where("start_page <= end_page")
-    p = slides.select(F.col("id").alias("slide_id"), "deck_id", "page_no")
-    out = s.join(p, "deck_id").where(F.col("page_no").between(F.col("start_page"), F.col("end_page")))
+    p = slides.select(F.col("id").alias("slide_id"), "deck_id", "page_no", F.floor(F.col("page_no") / PAGES).alias("_bucket"))
+    s = _bucketed(stories.select(F.col("id").alias("story_id"), F.col("title").alias("story_title"), "deck_id", "start_page", "end_page"), slides)
+    out = s.join(p, ["deck_id", "_bucket"]).where(F.col("page_no").between(F.col("start_page"), F.col("end_page")))
     return out.select("story_id", "story_title", "slide_id", "deck_id", "page_no", (F.col("page_no") - F.col("start_page")).alias("position"))
 
 
 def orphans(stories: DataFrame, slides: DataFrame) -> DataFrame:
     """Slides in no story's range, as a left anti join; a null page or a deck without stories is an orphan."""
-    s = stories.select(F.col("deck_id").alias("d"), "start_page", "end_page").distinct()
-    return slides.join(s, (F.col("deck_id") == F.col("d")) & F.col("page_no").between(F.col("start_page"), F.col("end_page")), "left_anti")
+    s = _bucketed(stories.select("deck_id", "start_page", "end_page").distinct(), slides).select(F.col("deck_id").alias("_deck"), "_bucket", F.col("start_page").alias("_start"), F.col("end_page").alias("_end"))
+    inside = (F.col("deck_id") == F.col("_deck")) & (F.floor(F.col("page_no") / PAGES) == F.col("_bucket")) & F.col("page_no").between(F.col("_start"), F.col("_end"))
+    return slides.join(s, inside, "left_anti")
 
 
 def story_titles(membership: DataFrame, separator: str = " | ") -> DataFrame:

@@ -226,7 +226,7 @@ _OLD = "o AS (SELECT * FROM slides WHERE created_at < TIMESTAMP '2024-01-01' QUA
 
 def _old_new(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "slides")
-    old = rows.where("created_at < TIMESTAMP '2024-01-01'").groupBy("id").agg(F.min_by(F.struct(*rows.columns), "row_seq").alias("r")).select("r.*")
+    old = Q.keep_latest(rows.where("created_at < TIMESTAMP '2024-01-01'"), ["id"], [F.col("row_seq")], 1)
     return old, slides(spark, folder).withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit(" v2")))
 
 
