@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,9 @@ HEADING = 0.05
 #: Items held in one pass over the corpus; more items are more passes.
 BLOCK = 5000
 
+#: Tokens hashed together.
+CHUNK = 1_000_000
+
 _TOKEN = re.compile(r"[^\W_㐀-鿿]+|[㐀-鿿]")
 _MASK = (1 << 64) - 1
 
@@ -69,16 +72,40 @@ class Shingler:
 
     def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the shingle that starts at each token (0 where too few follow), and whether it is one of signs."""
-        tokens, signs = self.tokens(text)
-        out = np.zeros(len(tokens), dtype=np.uint64)
-        for size, mask in ((WORDS, ~signs), (SIGNS, signs)):
-            n = len(tokens) - size + 1
-            if n > 0 and mask[:n].any():
-                h = np.zeros(n, dtype=np.uint64)
-                for j in range(size):
-                    h = _mix(h * np.uint64(0x100000001B3) + tokens[j : j + n])
-                out[:n] = np.where(mask[:n], h | np.uint64(1), out[:n])
-        return out, signs
+        return next(self.shingles_of([text]))
+
+    def shingles_of(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The shingles of each text; texts are hashed together, up to CHUNK tokens at a time."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for t in texts:
+            held.append(self.tokens(t))
+            size += len(held[-1][0])
+            if size >= CHUNK:
+                yield from _hashed(held)
+                held, size = [], 0
+        yield from _hashed(held)
+
+
+def _hashed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if not held:
+        return
+    lengths = np.array([len(t) for t, _ in held])
+    tokens, signs = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    left = ends - np.arange(len(tokens))
+    out = np.zeros(len(tokens), dtype=np.uint64)
+    for size, mask in ((WORDS, ~signs), (SIGNS, signs)):
+        n = len(tokens) - size + 1
+        if n > 0 and mask.any():
+            h = np.zeros(n, dtype=np.uint64)
+            for j in range(size):
+                h = _mix(h * np.uint64(0x100000001B3) + tokens[j : j + n])
+            out[:n] = np.where(mask[:n] & (left[:n] >= size), h | np.uint64(1), out[:n])
+    at = 0
+    for n, (_, s) in zip(lengths, held, strict=True):
+        yield out[at : at + n], s
+        at += n
 
 
 def functions_of(size: int) -> int:
@@ -140,9 +167,12 @@ class Index:
             self.items.append((item, mine, signs, own, max(1, int(own.sum()))))
             sets.append(np.unique(mine[mine > 0]))
         self.multiply, self.add = seeds(functions_of(SIZES[-1]))
-        self.filled = np.array([len(s) > 0 for s in sets], dtype=bool)
-        empty = np.zeros(len(self.add), dtype=np.uint64)
-        self.signatures = np.stack([signature(s, self.multiply, self.add) if len(s) else empty for s in sets]) if sets else np.empty((0, len(self.add)), np.uint64)
+        # for each hash function, the items by their least value
+        self.tables: list[dict[int, list[int]]] = [{} for _ in self.add]
+        for i, s in enumerate(sets):
+            if len(s):
+                for found, value in zip(self.tables, signature(s, self.multiply, self.add).tolist(), strict=True):
+                    found.setdefault(value, []).append(i)
         self.counts = {u: min(functions_of(u), len(self.add)) for u in SIZES}
 
     def search(self, shingles: np.ndarray) -> list[int]:
@@ -150,19 +180,21 @@ class Index:
         held = np.unique(shingles[shingles > 0])
         if not len(held) or not self.items:
             return []
-        met = np.zeros(len(self.items), dtype=bool)
+        met: set[int] = set()
         for block in blocks(shingles[shingles > 0]):
             block = np.unique(block)
             k = self.counts[next(u for u in SIZES if len(block) <= u)]
-            met |= (self.signatures[:, :k] == signature(block, self.multiply[:k], self.add[:k])).any(axis=1)
-        found = []
-        for i in np.flatnonzero(met & self.filled):
+            for found, value in zip(self.tables, signature(block, self.multiply[:k], self.add[:k]).tolist(), strict=False):
+                if value in found:
+                    met.update(found[value])
+        out = []
+        for i in sorted(met):
             item, mine, signs, own, total = self.items[i]
             at = np.searchsorted(held, mine)
             hit = (mine > 0) & (held[np.minimum(at, len(held) - 1)] == mine)
             if stretches(hit, signs, own) >= total * SHARE - 1e-9:
-                found.append(item)
-        return found
+                out.append(item)
+        return out
 
 
 def item_shingles(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -206,8 +238,8 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
             maker, index = Shingler(pattern), held.value
             for pdf in batches:
                 keys, found = [], []
-                for k, t in zip(pdf["key"], pdf["text"], strict=True):
-                    hits = index.search(maker.shingles(t)[0])
+                for k, (shingles, _) in zip(pdf["key"], maker.shingles_of(pdf["text"]), strict=True):
+                    hits = index.search(shingles)
                     keys += [k] * len(hits)
                     found += hits
                 yield pd.DataFrame({"key": keys, "item": found})

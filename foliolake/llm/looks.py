@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,9 +82,9 @@ def unstable_ranges() -> list[tuple[int, int]]:
 
 @cache
 def _pattern() -> str:
-    inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unstable_ranges())
-    # the starter before a segment may combine with it; \n is the context of \r\n
-    return f"[^{inside}]?[{inside}]+\n?"
+    """A pattern of unstable segments; code points beyond the basic plane all count, which costs little and keeps the class small. \\n is the context of \\r\\n."""
+    inside = "".join(f"\\u{a:04x}-\\u{min(b, 0xFFFF):04x}" for a, b in unstable_ranges() if a <= 0xFFFF)
+    return f"[{inside}\\U00010000-\\U0010ffff]+\n?"
 
 
 @cache
@@ -117,7 +117,18 @@ def form(text: str) -> str:
 
 
 def _form(text: str, segments: re.Pattern) -> str:
-    return segments.sub(lambda m: whole_form(m[0]), text)
+    out, at = [], 0
+    for m in segments.finditer(text):
+        start, end = m.span()
+        start -= start > at  # the starter before a segment may combine with it
+        out += [text[at:start], _short_form(text[start:end]) if end - start <= 8 else whole_form(text[start:end])]
+        at = end
+    return "".join([*out, text[at:]]) if out else text
+
+
+@lru_cache(maxsize=1 << 16)
+def _short_form(segment: str) -> str:
+    return whole_form(segment)
 
 
 def with_form(df: DataFrame, text: str, name: str) -> DataFrame:
