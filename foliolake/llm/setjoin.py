@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from ..session import cut
 
 #: A record further than this from every pivot becomes a pivot of its own. With eps = 0.4 a copy then
@@ -121,7 +122,8 @@ def similar_records(df: DataFrame, record: str, member: str, threshold: float, l
     records = record_sets(numbered(df.select(record, member), member), record, member, least)
     groups = cut(records.groupBy("members").agg(F.min("record").alias("set_id"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.size("members")))
     pairs = similar_sets(groups.select("set_id", "n", "members"), threshold).select("set_a", "set_b")
-    own = records.join(groups.select("members", "set_id"), "members").select("set_id", "record")
+    total = float(groups.agg(F.sum("copies")).collect()[0][0] or 1)
+    own = lookup(records, groups.select("members", "set_id", "copies"), "members", "copies", total).select("set_id", "record")
     a = own.select(F.col("set_id").alias("set_a"), F.col("record").alias("one"))
     b = own.select(F.col("set_id").alias("set_b"), F.col("record").alias("two"))
     several = groups.where("copies > 1").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"))
