@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import documents as D
 from ..operators import files as P
+from ..operators import lookups as K
 from ..operators import matching as N
 from ..operators import measures as V
 from ..operators import sequence as Q
@@ -431,3 +432,9 @@ def same_content(spark: SparkSession, folder: str) -> DataFrame:
     copies = x.join(used, "hash").select("filename", "size_bytes", "hash").distinct()
     originals = x.groupBy("filename").agg(F.min("size_bytes").alias("size_bytes"), F.min("hash").alias("hash"))
     return P.same_content(copies, originals, ["filename"])
+
+
+@_add("stem_lookup", "WITH a AS (SELECT hash, first_deck, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM assets WHERE filename IS NOT NULL), r AS (SELECT hash, first_deck AS deck, stem FROM a), i AS (SELECT first_deck, stem, min(hash) AS h FROM a GROUP BY 1, 2), g AS (SELECT stem, min(hash) AS h FROM a GROUP BY 1) SELECT r.hash, coalesce(i.h, g.h) AS found FROM r LEFT JOIN i ON r.deck = i.first_deck AND r.stem = i.stem LEFT JOIN g ON r.stem = g.stem")
+def stem_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "assets").where("filename IS NOT NULL").select("hash", F.col("hash").alias("found"), "first_deck", F.regexp_replace("filename", r"\.[^.]*$", "").alias("stem"))
+    return K.scoped_then_global(a.drop("found"), a, "hash", "first_deck", "stem", "found")
