@@ -3,7 +3,7 @@
 Messages are mined with a prefix tree of fixed depth: masked texts that agree in length and in their first
 tokens share a leaf, and a leaf's message template keeps the tokens that its texts share. Each template is
 classified once and its verdict goes to every text of it. Slots that were left open are detected inside
-ordinary texts, and filler by words that occur in no real sentence.
+ordinary texts, and filler by words that occur almost only in sentences without function words.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .looks import form
 
 #: Depth of the prefix tree below the level of message length, and the share of tokens in which a text must agree with its leaf.
 DEPTH, AGREE = 4, 0.7
+#: Fewest words of a sentence that says anything about its words, the weight of the doubt in a word's share of bare sentences, and the mean share from which a passage is filler.
+LEAST, DOUBT, FILLER = 4, 0.5, 0.84
 
 _NAME = r"[^\W\d][\w.\- ]{0,38}"
 #: Slots: what a template engine, a format string or an author's prompt leaves open.
@@ -47,6 +49,9 @@ _KINDS = {k: re.compile(v) for k, v in KINDS.items()}
 FUNCTION_WORDS = frozenset("a an and or of to in on for with by from at is are was were be been this that these those our your their its his her my we you they it as but not no into than then each every one which who what how when where all after before without so if while because has have had do does did can could will would should may might must".split())
 
 _TAIL = re.compile(r"(?:\s*-\s*v\d+|\s*\(\s*#?\d+\s*\)|\s+#?\d+|[\s!/.。…]+)+$")
+_OTHER = re.compile(r"[^\x00-\u024f\u2000-\u206f]+")
+_END = re.compile(r"[.!?;]+(?:\s|$)")
+_WORD = re.compile(r"[a-zß-öø-ɏ]{2,}")
 _TOKEN = re.compile(r"[a-z]+(?:'[a-z]+)?|#|[一-鿿]|[^\w\s]|\w")
 
 
@@ -70,7 +75,23 @@ def has_slot(text: str) -> bool:
     return SLOTS.search(form(text)) is not None
 
 
-_SEEN = "struct<message:string,tokens:array<string>,slot:boolean,words:array<string>,real:boolean>"
+def passages(message: str) -> tuple[list[list[str]], list[str], list[str]]:
+    """The Latin passages of a message that can be filler, and the words of its real and of its bare sentences.
+
+    A passage lies between slots and other scripts; its sentences are passages too. A sentence is real if it has a
+    function word and bare if not; one of fewer than LEAST words is neither.
+    """
+    found, real, bare = [], set(), set()
+    for run in _OTHER.split(SLOTS.sub("一", message)):
+        sentences = [_WORD.findall(x) for x in _END.split(run)]
+        found += [[w for s in sentences for w in s], *(sentences if len(sentences) > 1 else [])]
+        for s in sentences:
+            if len(s) >= LEAST:
+                (bare if FUNCTION_WORDS.isdisjoint(s) else real).update(s)
+    return [list(x) for x in dict.fromkeys(map(tuple, found)) if len(x) >= LEAST], sorted(real), sorted(bare)
+
+
+_SEEN = "struct<message:string,tokens:array<string>,slot:boolean,passages:array<array<string>>,real:array<string>,bare:array<string>>"
 
 
 def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -88,10 +109,8 @@ def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         for t in texts:
             formed = form(t)
             m = _message(formed)
-            words = re.findall(r"[a-z]{2,}", m)
-            only_latin = not re.search(r"[^\x00-\x7f]", m)
-            rows.append((m, _TOKEN.findall(m), SLOTS.search(formed) is not None, words, not only_latin or len(words) < 4 or any(w in FUNCTION_WORDS for w in words)))
-        return pd.DataFrame(rows, columns=["message", "tokens", "slot", "words", "real"])
+            rows.append((m, _TOKEN.findall(m), SLOTS.search(formed) is not None, *passages(m)))
+        return pd.DataFrame(rows, columns=["message", "tokens", "slot", "passages", "real", "bare"])
 
     @F.pandas_udf("string")
     def classify(templates: pd.Series) -> pd.Series:
@@ -101,7 +120,7 @@ def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     texts = cut(spread(rows.groupBy("text").agg(F.count(F.lit(1)).alias("held"))).withColumn("s", look("text")).select("text", "held", "s.*"))
 
     # the prefix tree: leaves by length and first tokens, templates by the tokens that most texts of a leaf share
-    messages = texts.groupBy("message").agg(F.first("tokens").alias("tokens"), F.first("words").alias("words"), F.min("real").alias("real"))
+    messages = texts.groupBy("message").agg(F.first("tokens").alias("tokens"), *(F.first(c).alias(c) for c in ("passages", "real", "bare")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     messages = cut(messages.withColumn("leaf", leaf))
     sizes = messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
@@ -119,11 +138,12 @@ def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     judged = templates.withColumn("kind", classify("example")).where("kind IS NOT NULL").select("template", "kind")
     notices = held.join(judged, "template").select("message", "kind")
 
-    # filler: sentences of words that no real text has
-    words = messages.select("real", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count_if(F.col("real")).alias("in_real"), F.count_if(~F.col("real")).alias("in_bare"))
-    odd = words.where("in_real = 0 AND in_bare >= 3").select("word")
-    bare = messages.where("NOT real").select("message", F.size("words").alias("n"), F.explode("words").alias("word"))
-    filler = bare.join(odd, "word").groupBy("message", "n").agg(F.count(F.lit(1)).alias("k")).where("n >= 4 AND k >= 0.9 * n").select("message", F.lit("filler").alias("kind"))
+    # filler: passages of words that are seldom in a real sentence; one such sentence only lowers a word's share
+    seen = messages.select(F.explode("real").alias("word"), F.lit(False).alias("bare")).unionByName(messages.select(F.explode("bare").alias("word"), F.lit(True).alias("bare")))
+    words = seen.groupBy("word").agg(F.count_if("bare").alias("in_bare"), F.count(F.lit(1)).alias("n"))
+    odd = words.where("in_bare > 0").select("word", (F.col("in_bare") / (F.col("n") + DOUBT)).alias("share"))
+    each = messages.select("message", F.posexplode("passages").alias("at", "words")).select("message", "at", F.size("words").alias("n"), F.explode("words").alias("word"))
+    filler = each.join(odd, "word").groupBy("message", "at", "n").agg(F.sum("share").alias("sum")).where(F.col("sum") >= FILLER * F.col("n")).select("message", F.lit("filler").alias("kind"))
 
     kinds = notices.unionByName(filler).groupBy("message").agg(F.min("kind").alias("kind"))
     verdicts = texts.join(kinds, "message", "left").withColumn("verdict", F.coalesce("kind", F.when(F.col("slot"), F.lit("slot")))).where("verdict IS NOT NULL").select("text", "held", "verdict")

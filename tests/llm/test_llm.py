@@ -62,6 +62,16 @@ def test_residue(spark):
     assert rows(residue.residue(df.limit(0), ["id"], "text")) == []
 
 
+def test_filler_beside_contaminating_rows(spark):
+    filler = ["velum", "torquis", "ovexi", "parlum", "sintor", "calpus"]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(filler, k=9)) + "." for _ in range(20)]
+    mixed = ["Velum torquis ovexi parlum sintor calpus [TODO: 数据来源]", "季度复盘 velum torquis ovexi parlum sintor calpus 数据", "Nobody read the plan of the store. Velum torquis ovexi parlum sintor calpus."]
+    clean = ["velum torquis", "calpus", "The velum torquis parlum ovexi sintor calpus text of this page was replaced", "季度复盘 store rollout key moves", *(f"Store rollout key moves {x}" for x in ("before and after", "at the start", "and what they cost", "wins", "plan"))]
+    df = spark.createDataFrame(list(enumerate(texts + mixed + clean)), "id int, text string")
+    assert rows(residue.residue(df, ["id"], "text")) == sorted([(i, "filler") for i in range(23)], key=repr)
+
+
 # 5
 
 ODD = [chr(o) for a, b in looks.unstable_ranges() for o in (a, b)]
