@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -232,10 +232,9 @@ def unified_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add("candidate_rank", f"WITH {_CH} SELECT page, slide, score, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, slide) AS INTEGER) AS rank FROM g QUALIFY rank <= 10")
 def candidate_rank(spark: SparkSession, folder: str) -> DataFrame:
-    from ..operators.catalog import top_per_group
-
-    c = unified_candidates(spark, folder)
-    return top_per_group(c, ["page"], [F.desc("score"), F.col("slide")], 10).select("page", "slide", "score", "rank")
+    """The rank of every candidate of a page. The SQL still ends at rank 10: its rows are those of this query with a rank up to 10."""
+    order = Window.partitionBy("page").orderBy(F.desc("score"), "slide")
+    return unified_candidates(spark, folder).select("page", "slide", "score", F.row_number().over(order).alias("rank"))
 
 
 @_add("target_popularity", f"WITH {_J6} SELECT slide, count(*) AS hits FROM pairs GROUP BY slide ORDER BY hits DESC, slide LIMIT 10")

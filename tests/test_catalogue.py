@@ -13,6 +13,7 @@ from foliolake.operators import matching as N
 from foliolake.operators import mutate as M
 from foliolake.operators import sequence as Q
 from foliolake.operators import spatial as B
+from foliolake.plans import content
 from foliolake.sources import files as S
 from foliolake.streaming import tasks as T
 from tests.conftest import rows
@@ -66,6 +67,15 @@ def test_inverted_join_is_brute_force(spark, jac, ovl):
         assert {(r.page, r.slide) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_every_candidate_has_a_rank(spark, tmp_path):
+    text = "alpha beta gamma delta epsilon zeta"
+    spark.createDataFrame([(1, text), (2, text)], "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    docs = [(i, f"{text} and some more words" if i % 2 else text) for i in range(25)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(page, slide, rank) for page in (1, 2) for rank, slide in enumerate([*range(0, 25, 2), *range(1, 25, 2)], 1)]
+    assert rows(content.candidate_rank(spark, str(tmp_path)).select("page", "slide", "rank")) == sorted(want, key=repr)
+
+
 def test_tiers(spark):
     df = spark.createDataFrame([("a", 1, "u", "s", None), ("b", 2, None, "s", "t"), ("c", 3, "u", "s", "t"), ("d", 4, None, None, None)], "id string, row_seq int, u string, s string, t string")
     m = N.tier_matches(df, df, "id", [("uuid", "u"), ("structural", "s"), ("template", "t")], "row_seq", earlier=True)
