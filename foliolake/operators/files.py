@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+#: Bytes of a file that are held at once while it is hashed.
+PIECE = 1024 * 1024
 _REF = r"""(?i)(?:src|href|poster|data-src)\s*=\s*["']([^"']+)["']|url\(\s*['"]?([^'")]+)['"]?\s*\)"""
 _REMOTE = r"(?i)^(?:[a-z][a-z0-9+.\-]*:|//|#|$)"
 
@@ -63,11 +69,34 @@ def folder_sizes(files: DataFrame, depth: int = 1) -> DataFrame:
     return files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
-def stored_hashes(spark, folder: str, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """(path, size_bytes, hash) of the files under a folder; a file over most_bytes has no hash (it would have to fit one row). Sizes are read
-    from metadata alone, and only contents that share a size with another file are hashed."""
+def _sha256(path: str) -> str:
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        file = open("/" + (rest or path).lstrip("/"), "rb")  # noqa: SIM115
+    else:
+        from pyarrow.fs import FileSystem
+
+        system, inner = FileSystem.from_uri(path)
+        file = system.open_input_stream(inner)
+    h = hashlib.sha256()
+    with file:
+        while piece := file.read(PIECE):
+            h.update(piece)
+    return h.hexdigest()
+
+
+def stored_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size_bytes, hash) of the files under a folder that all executors share. Sizes are read from metadata alone, and only files that
+    share a size with another are hashed, of any size: each is read in pieces of PIECE bytes, so no content has to fit a row."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def sha256(paths: pd.Series) -> pd.Series:
+        return paths.map(_sha256)
+
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     sizes = meta.select("path", F.col("length").alias("size_bytes"))
     twins = sizes.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size_bytes")
-    hashed = meta.where(F.col("length") <= most_bytes).join(twins, F.col("length") == F.col("size_bytes"), "left_semi").select("path", F.sha2("content", 256).alias("hash"))
-    return sizes.join(hashed, "path", "left")
+    # paths are a few bytes, their files aren't: a stated number of partitions isn't put together again
+    paths = sizes.join(twins, "size_bytes", "left_semi").select("path").repartition(spark.sparkContext.defaultParallelism * 3)
+    return sizes.join(paths.select("path", sha256("path").alias("hash")), "path", "left")

@@ -1,5 +1,6 @@
 """Catalogue, matching, change, document, file, box and stream operators."""
 
+import hashlib
 import json
 import random
 
@@ -176,6 +177,19 @@ def test_files(spark, tmp_path):
     assert rows(P.orphaned(have, refs)) == [("c",)] and rows(P.missing(refs, have).select("path")) == [("b/z",)]
 
 
+def test_large_files_are_hashed(spark, tmp_path):
+    size = 65 * 1024 * 1024
+    for name, last in {"a/one 100%25 é.mp4": b"x", "b/two.mp4": b"x", "b/other.mp4": b"y"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with (tmp_path / name).open("wb") as f:
+            f.seek(size - 1)
+            f.write(last)
+    (tmp_path / "single").write_bytes(b"of its own size")
+    stored = P.stored_hashes(spark, str(tmp_path)).cache()
+    assert rows(P.savings(stored, "hash", "size_bytes", ["path"]).select("hash", "copies", "freed")) == [(hashlib.sha256(b"\0" * (size - 1) + b"x").hexdigest(), 2, size)]
+    assert [r.path.rsplit("/", 1)[1] for r in stored.where("hash IS NULL").collect()] == ["single"]
+
+
 def test_boxes(spark):
     schema = "page int, id string, x double, y double, w double, h double"
     df = spark.createDataFrame([(1, "big", 0.0, 0.0, 500.0, 500.0), (1, "in", 10.0, 10.0, 300.0, 300.0), (1, "edge", 500.0, 0.0, 50.0, 50.0), (1, "flat", 5.0, 5.0, 0.0, 9.0), (2, "big2", 0.0, 0.0, 10.0, 10.0), (1, "same", 10.0, 10.0, 300.0, 300.0)], schema)
