@@ -23,15 +23,17 @@ DEPTH, AGREE = 4, 0.7
 #: Fewest words of a sentence that says anything about its words, the weight of the doubt in a word's share of bare sentences, and the mean share from which a passage is filler.
 LEAST, DOUBT, FILLER = 4, 0.5, 0.84
 
-_NAME = r"[^\W\d][\w.\- ]{0,38}"
+#: A name runs to the sign that closes it, however far that is; classes leave out what opens the next slot, so that a search stays linear.
+_NAME = r"[^\W\d][\w.\- ]*+"
+_DUNDER = r"[^\W\d](?:[^\W_]|[.\- ]|(?<!\w)_(?!_)|(?<=\w)_(?!_(?!\w)))*+"
 #: Slots: what a template engine, a format string or an author's prompt leaves open.
 SLOTS = re.compile(
-    r"\{\{[^{}]{0,60}\}\}|\$\{[^{}]{1,60}\}|<%[=\-]?.{0,60}?%>|\{%.{1,60}?%\}|<<[^<>]{1,60}>>|@\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}"
-    r"|%\([^()]{1,40}\)[sdrf]|(?<![\w%])%[sd](?!\w)|(?<!\w)%" + _NAME + r"%(?!\w)|(?<!\w)__" + _NAME + r"?__(?!\w)"
-    r"|(?<!\w):" + _NAME + r":(?=\s|$)|\{(?:\d{1,2}|[^\W\d]\w{0,30})\}"
-    r"|[\[【(<〔]\s*(?:请(?:在此)?(?:填写|输入|填入|补充)|此处(?:填入|填写|补充|插入|配图|放)|在这里(?:写|填|输入)|待(?:补充|填写))[^\]】)>〕]{0,60}[\]】)>〕]"
-    r"|[\[(<]\s*(?:insert|enter|add|type|put)\b[^\])>]{1,60}\bhere\s*[\])>]|[\[(<]\s*your\b[^\])>]{1,60}\bgoes here\s*[\])>]"
-    r"|[\[(<]\s*(?:todo|tbd|fixme)\b[^\])>]{0,60}[\])>]|<\s*placeholder\s*>|\[\s*placeholder\s*\]|\binsert (?:\w+ ){1,3}here\b|待定\s*x{2,}|x{2,}公司|x{2,}项目|某某公司|xx年xx月",
+    r"\{\{[^{}]*+\}\}|\$\{[^{}]++\}|<%(?:[^<%]|<(?!%(?!>))|%(?!>))*+%>|\{%(?:[^{%]|\{(?!%(?!\}))|%(?!\}))++%\}|<<[^<>]++>>|@\{[^{}]++\}|#\{[^{}]++\}"
+    r"|%\([^()]++\)[sdrf]|(?<![\w%])%[sd](?!\w)|(?<!\w)%" + _NAME + r"%(?!\w)|(?<!\w)_{5,}+(?!\w)|(?<!\w)__" + _DUNDER + r"__(?!\w)"
+    r"|(?<!\w):" + _NAME + r":(?=\s|$)|\{(?:\d{1,2}|[^\W\d]\w*+)\}"
+    r"|[\[【(<〔]\s*(?:请(?:在此)?(?:填写|输入|填入|补充)|此处(?:填入|填写|补充|插入|配图|放)|在这里(?:写|填|输入)|待(?:补充|填写))[^\]】)>〕]*+[\]】)>〕]"
+    r"|[\[(<]\s*(?:insert|enter|add|type|put)\b[^\])>]+\bhere\s*[\])>]|[\[(<]\s*your\b[^\])>]+\bgoes here\s*[\])>]"
+    r"|[\[(<]\s*(?:todo|tbd|fixme)\b[^\])>]*+[\])>]|<\s*placeholder\s*>|\[\s*placeholder\s*\]|\binsert (?:\w+ ){1,3}here\b|待定\s*x{2,}|x{2,}公司|x{2,}项目|某某公司|xx年xx月",
     re.IGNORECASE,
 )
 #: What a template must read like to be a notice, a raw value, a prompt or filler text.

@@ -1,6 +1,7 @@
 """The training-text operators against brute force, round trips and held-out cases."""
 
 import random
+import time
 import unicodedata
 from collections import Counter
 from itertools import combinations
@@ -42,6 +43,22 @@ def test_slots(text):
     assert residue.has_slot(text)
 
 
+LONG = ["{{" + "a.b|" * 50 + "}}", "${" + "x+" * 100 + "}", "<%= " + "row % 2 < n " * 20 + "%>", "{% if " + "a > b and " * 25 + "%}", "<<" + "name " * 40 + ">>", "@{" + "日期" * 100 + "}", "#{" + "v" * 200 + "}", "%(" + "k" * 200 + ")s", "%" + "name." * 40 + "x%", "__" + "owner_" * 40 + "name__", ":" + "name-" * 40 + "x:", "{" + "n" * 200 + "}", "[请填写" + "客户名称" * 50 + "]", "[insert " + "client name " * 20 + "here]", "(your " + "long title " * 20 + "goes here)", "[TODO: " + "data source " * 20 + "]"]
+
+
+@pytest.mark.parametrize("slot", LONG)
+def test_long_slots(slot):
+    assert len(slot) >= 200 and residue.has_slot(f"复盘 {slot} plan")
+    assert not residue.has_slot(f"复盘 {slot[:-2]}")
+
+
+@pytest.mark.parametrize("part", ["{{a ", "<% a ", "{% a ", "<<a ", "__a ", " %a", ":a ", "%(a "])
+def test_open_slots_take_linear_time(part):
+    began = time.process_time()
+    assert not residue.SLOTS.search(part * 40000)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("text", ["集合 {A, B} 的分组打法", "增长 50% 与 60% 之间", "TODO 清单如何救了复盘", "plan: a", "snake_case_name", "Access for all: plan", "10:30: start"])
 def test_no_slots(text):
     assert not residue.has_slot(text)
