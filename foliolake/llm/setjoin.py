@@ -2,7 +2,8 @@
 
 Jaccard distance is a metric, so if every record has a home pivot no further away than that pivot's
 radius R, a record within eps of some member of the cell lies within R + eps of the pivot. Records are
-copied into every cell that they are that near to, and cells are joined exactly.
+copied into every cell that they are that near to, and cells are joined exactly. With one pivot for each
+rarest member most cells hold their pivot alone, and most pairs come from the prefix-filtered join itself.
 """
 
 from __future__ import annotations
