@@ -1,7 +1,7 @@
 """Exact byte-pair ids of whole texts by dynamic programming over prefixes.
 
 For a fixed vocabulary every prefix of a piece of text has exactly one encoding, hence one last
-token. A suffix automaton lists the tokens that end at a position; the last token is the only one
+token. An Aho-Corasick automaton over the vocabulary lists the tokens that end at a position; the last token is the only one
 of them that may follow the last token of the prefix before it. That is a test on pairs: two tokens
 are compatible if their joined bytes encode to just these two. Back-pointers then give the ids. The
 work is linear in the text, however long a piece is without a break.
