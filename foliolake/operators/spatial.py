@@ -114,19 +114,18 @@ def pair_greedily(fills: DataFrame, shapes: DataFrame, group: str, least: float
 
 
 def resolve_chain(nodes: DataFrame, key: str, parent: str, columns: Sequence[str], depth: int = 16) -> DataFrame:
-    """Each node's own value of the columns, else the nearest ancestor's, and how many ancestors were read, `depth` at most in that count.
-
-    Chains are followed for at least `depth` ancestors, and cycles end there; a parent that isn't there ends a chain. An empty text is a
-    value (it clears); null isn't. Pointers double each round, so a chain takes log2(depth) joins, each on unique keys."""
-    up = nodes.select(key, *columns, F.col(parent).alias("_up"), F.lit(0).alias("_n"))
-    rounds, reach = 0, 1
-    while reach <= depth:
+    """Each node's own value of the columns, else the nearest ancestor's, and how many ancestors it has.
+
+    Chains are followed to their end, however long; a parent that isn't there ends a chain. One that runs into a cycle has no end: it takes
+    the values of all its nodes and counts `depth` ancestors. An empty text is a value (it clears); null isn't. Pointers double each round, so
+    a chain takes the logarithm of its length in joins, each on unique keys."""
+    up = cut(nodes.select(key, *columns, F.col(parent).alias("_up"), F.lit(0).alias("_n")))
+    reach, before, left = 1, -1, up.where("_up IS NOT NULL").count()
+    # chains of every length below the longest exist, so when a round ends none, cycles are all that's left; they are read once around
+    while left and (left != before or reach <= left):
         p = up.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns], F.col("_up").alias("_next"), F.col("_n").alias("_m"))
         joined = up.join(p, F.col("_up") == F.col("_k"), "left")
         found = F.col("_k").isNotNull()
-        up = joined.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.when(found, F.col("_next")).alias("_up"), (F.col("_n") + F.when(found, F.col("_m") + 1).otherwise(0)).alias("_n"))
-        rounds += 1
-        reach *= 2
-        if rounds % 2 == 0:
-            up = cut(up)
-    return up.select(key, *columns, F.least("_n", F.lit(depth)).alias("ancestors"))
+        up = cut(joined.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in columns], F.when(found, F.col("_next")).alias("_up"), (F.col("_n") + F.when(found, F.col("_m") + 1).otherwise(0)).alias("_n")))
+        reach, before, left = 2 * reach, left, up.where("_up IS NOT NULL").count()
+    return up.select(key, *columns, F.when(F.col("_up").isNull(), F.col("_n")).otherwise(F.lit(depth)).alias("ancestors"))

@@ -205,6 +205,15 @@ def test_chains(spark):
     assert got[2] == ("red", 1) and got[4] == ("", 3) and got[5] == (None, 16) and got[7] == (None, 0)
 
 
+def test_long_chains_and_cycles(spark):
+    n = 150
+    data = [(i, i - 1 if i else None, "top" if i == 0 else None) for i in range(n)]
+    data += [(1000 + i, 1000 + (i + 1) % 40, "round" if i == 39 else None) for i in range(40)] + [(2000, 1000, None), (3000, 3000, None)]
+    nodes = spark.createDataFrame(data, "id int, up int, style string")
+    want = [(i, "top", i) for i in range(n)] + [(1000 + i, "round", 16) for i in range(40)] + [(2000, "round", 16), (3000, None, 16)]
+    assert rows(B.resolve_chain(nodes, "id", "up", ["style"])) == sorted(want, key=repr)
+
+
 def test_sequences(spark, deck):
     numbered = Q.renumber(deck, ["deck_id"], [F.col("row_seq")], F.col("row_seq") == 2)
     assert [r.number for r in numbered.orderBy("row_seq").collect()][:3] == [1, None, 2]
