@@ -224,7 +224,7 @@ def _sentences(df: DataFrame, key: str, name: str) -> DataFrame:
 
 @_add("unified_candidates", f"WITH {_CH} SELECT * FROM g")
 def unified_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """All evidence between incoming pages and the library: similar tokens and shared sentences, one row per candidate."""
+    """Two kinds of evidence between evaluation items and documents, similar tokens and shared sentences, one row per candidate; `unified_probe` has the five channels of slides."""
     text = N.query_pairs(*_sets(spark, folder)).select("page", "slide")
     shared = _sentences(table(spark, folder, "eval_items"), "item_id", "page").join(_sentences(table(spark, folder, "documents"), "doc_id", "slide"), "q").select("page", "slide")
     return N.unify({"text": text, "sentence": shared}, ["page", "slide"], {"text": 4, "sentence": 2})
@@ -237,6 +237,38 @@ def candidate_rank(spark: SparkSession, folder: str) -> DataFrame:
     return unified_candidates(spark, folder).select("page", "slide", "score", F.row_number().over(order).alias("rank"))
 
 
+_WEIGHTS = {"uuid": 10, "structural": 8, "template": 6, "text": 4, "asset": 2}
+_PR = (
+    f"{_S}, p AS (SELECT * FROM s WHERE deck_id = (SELECT deck_id FROM s WHERE deck_id IS NOT NULL ORDER BY row_seq DESC LIMIT 1)), l AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM p)), "
+    + "t AS ("
+    + " UNION ALL ".join(f"SELECT p.id AS page, f.slide, '{t}' AS ch, {_WEIGHTS[t]} AS w FROM p JOIN (SELECT {c} AS v, arg_min(id, row_seq) AS slide FROM l WHERE {c} IS NOT NULL GROUP BY {c}) f ON p.{c} = f.v WHERE p.element_sig IS NOT NULL" for t, c in _TIERS)
+    + f"), pt AS (SELECT id, {token_sql('body_text')} AS t FROM p), lt AS (SELECT id, {token_sql('body_text')} AS t FROM l), pu AS (SELECT id, len(t) AS n, unnest(t) AS x FROM pt WHERE len(t) >= 5), lu AS (SELECT id, len(t) AS n, unnest(t) AS x FROM lt), k AS (SELECT pu.id AS page, lu.id AS slide, pu.n AS n, lu.n AS m, count(*) AS k FROM pu JOIN lu ON pu.x = lu.x GROUP BY 1, 2, 3, 4), "
+    + f"c AS (SELECT asset_hash FROM slide_assets WHERE asset_hash IS NOT NULL GROUP BY asset_hash HAVING count(DISTINCT slide_id) >= 3), w AS (SELECT hash FROM assets WHERE size_bytes >= 51200 AND lower(CASE WHEN starts_with(ext, '.') THEN ext ELSE '.' || ext END) IN {_EXT}), a AS (SELECT DISTINCT asset_hash, slide_id FROM slide_assets WHERE asset_hash IN (SELECT hash FROM w) AND asset_hash NOT IN (SELECT asset_hash FROM c)), "
+    + "u AS (SELECT * FROM t UNION SELECT page, slide, 'text', 4 FROM k WHERE k / (n + m - k) >= 0.2 OR k / least(n, m) >= 0.4 UNION SELECT x.slide_id, y.slide_id, 'asset', 2 FROM a x JOIN a y ON x.asset_hash = y.asset_hash WHERE x.slide_id IN (SELECT id FROM p) AND y.slide_id IN (SELECT id FROM l)), "
+    + "g AS (SELECT page, slide, string_agg(ch, ',' ORDER BY w DESC) AS channels, CAST(sum(w) AS INTEGER) AS score FROM u GROUP BY page, slide)"
+)
+
+
+@_add("unified_probe", f"WITH {_PR} SELECT page, slide, channels, score, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, slide) AS INTEGER) AS rank FROM g")
+def unified_probe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate for the pages of the newest deck among the slides of all others, over all five channels, and its rank.
+
+    The deck of the last row is the incoming one. As in the reference a page without a structural signature has no signature channels,
+    each of these names the first slide that matches, and a page with fewer than five tokens has no text channel.
+    """
+    s = slides(spark, folder)
+    newest = s.where("deck_id IS NOT NULL").agg(F.max_by("deck_id", "row_seq").alias("deck_id"))
+    pages, library = s.join(newest, "deck_id", "left_semi"), s.join(newest, "deck_id", "left_anti")
+    tiers = N.tier_matches(pages.where("element_sig IS NOT NULL"), library, "id", _TIERS, "row_seq").select(F.col("id").alias("page"), "tier", F.col("match").alias("slide"))
+    a, b = (x.select(F.col("id").alias(name), X.tokens("body_text").alias("tokens")) for x, name in ((pages, "page"), (library, "slide")))
+    shared = N.shared_assets(table(spark, folder, "slide_assets"), table(spark, folder, "assets"), s, 50 * 1024, _EXT)
+    both = shared.select(F.col("slide_a").alias("page"), F.col("slide_b").alias("slide")).unionByName(shared.select(F.col("slide_b").alias("page"), F.col("slide_a").alias("slide")))
+    channels = {t: tiers.where(F.col("tier") == t).select("page", "slide") for t, _ in _TIERS}
+    channels |= {"text": N.query_pairs(a.where("size(tokens) >= 5"), b).select("page", "slide"), "asset": both.join(pages.select(F.col("id").alias("page")), "page", "left_semi")}
+    order = Window.partitionBy("page").orderBy(F.desc("score"), "slide")
+    return N.unify(channels, ["page", "slide"], _WEIGHTS).withColumn("rank", F.row_number().over(order))
+
+
 @_add("target_popularity", f"WITH {_J6} SELECT slide, count(*) AS hits FROM pairs GROUP BY slide ORDER BY hits DESC, slide LIMIT 10")
 def target_popularity(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most hit documents: the length of the report is the feature."""

@@ -77,6 +77,18 @@ def test_every_candidate_has_a_rank(spark, tmp_path):
     assert rows(content.candidate_rank(spark, str(tmp_path)).select("page", "slide", "rank")) == sorted(want, key=repr)
 
 
+def test_probe_merges_five_channels(spark, tmp_path):
+    schema = "row_seq bigint, id string, deck_id string, iwa_uuid string, element_sig string, template_sig string, body_text string"
+    text = "alpha beta gamma delta epsilon"
+    data = [(1, "o/1", "o", "U", "E", "T", text), (2, "o/2", "o", None, "E", "T", "other words"), (3, "o/3", "o", None, None, "T2", f"{text} zeta"), (4, "o/4", "o", "U4", None, None, None)]
+    data += [(5, "n/1", "n", "U", "E", "T", text), (6, "n/2", "n", "U4", None, "T2", "alpha beta")]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "slides.parquet"))
+    spark.createDataFrame([("n/1", "h"), ("o/1", "h"), ("n/2", "i"), ("o/4", "i"), ("n/2", "j"), ("o/3", "j")], "slide_id string, asset_hash string").write.parquet(str(tmp_path / "slide_assets.parquet"))
+    spark.createDataFrame([("h", 60000, "png"), ("i", 60000, ".PNG"), ("j", 10, "png")], "hash string, size_bytes bigint, ext string").write.parquet(str(tmp_path / "assets.parquet"))
+    want = [("n/1", "o/1", "uuid,structural,template,text,asset", 30, 1), ("n/1", "o/3", "text", 4, 2), ("n/2", "o/4", "asset", 2, 1)]
+    assert rows(content.unified_probe(spark, str(tmp_path))) == want
+
+
 def test_tiers(spark):
     df = spark.createDataFrame([("a", 1, "u", "s", None), ("b", 2, None, "s", "t"), ("c", 3, "u", "s", "t"), ("d", 4, None, None, None)], "id string, row_seq int, u string, s string, t string")
     m = N.tier_matches(df, df, "id", [("uuid", "u"), ("structural", "s"), ("template", "t")], "row_seq", earlier=True)
