@@ -14,7 +14,7 @@ from .leakage import find_leaks
 from .looks import same_look_pairs
 from .reading import grade_documents
 from .residue import residue
-from .setjoin import similar_records
+from .setjoin import expanded, similar_records
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = similar_records(table(spark, folder, "slide_assets"), "slide_id", "asset_hash", 0.6, least=3)
+    pairs = expanded(*similar_records(table(spark, folder, "slide_assets"), "slide_id", "asset_hash", 0.6, least=3))
     return pairs.select(F.col("a").alias("slide_a"), F.col("b").alias("slide_b"))
 
 

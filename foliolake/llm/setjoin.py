@@ -1,9 +1,11 @@
 """All similar pairs of set-valued records by metric pivot partitioning.
 
-Jaccard distance is a metric, so if every record has a home pivot no further away than that pivot's
-radius R, a record within eps of some member of the cell lies within R + eps of the pivot. Records are
-copied into every cell that they are that near to, and cells are joined exactly. With one pivot for each
-rarest member most cells hold their pivot alone, and most pairs come from the prefix-filtered join itself.
+A pivot is a group of members, and a record's distance to it is the Jaccard distance to the nearest set of
+those members, 1 - |x & P| / |x|. As the distance to a set of points of a metric space it obeys the triangle
+inequality: records within eps of each other differ by eps at most in it. A record's home is its nearest
+pivot; every other record is copied into the cells of the pivots that it is within radius + eps of, and
+cells are joined exactly. Pivots grow around records by votes, so that members which occur together lie in
+one pivot; their number is fixed, whatever the number of records.
 """
 
 from __future__ import annotations
@@ -11,45 +13,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup
+from ..operators.skew import digest, salted_join
 from ..session import cut
 
-#: A record further than this from every pivot becomes a pivot of its own. With eps = 0.4 a copy then
-#: shares at least 0.4 with the pivot, so records meet pivots through rare members only.
-MAX_RADIUS = 0.2
+#: Number of pivots.
+PIVOTS = 1024
+#: Rounds in which records and members vote for their pivot.
+ROUNDS = 1
+#: A member of a larger share of the sets belongs to no pivot; there are at most mean set size / FREQUENT of them.
+FREQUENT = 0.005
 _TINY = 1e-9
 
 
-def record_sets(df: DataFrame, record: str, member: str, least: int = 1) -> DataFrame:
-    """(record, members, n): the distinct non-null members of each record with a non-null id, sorted; records below `least` are left out."""
-    pairs = df.select(F.col(record).alias("record"), F.col(member).alias("member")).where("record IS NOT NULL AND member IS NOT NULL").distinct()
-    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_list("member")).alias("members"))
-    return sets.withColumn("n", F.size("members")).where(F.col("n") >= least)
-
-
 def numbered(df: DataFrame, member: str) -> DataFrame:
-    """df with members as 64-bit numbers, an eighth of the size of a long hash to shuffle; as they are, should two ever share a number."""
-    number = F.xxhash64(member)
-    met = df.where(F.col(member).isNotNull()).groupBy(number.alias("n")).agg(F.min(member).alias("least"), F.max(member).alias("most"))
+    """df with members as 64-bit numbers, an eighth of the size of a long hash to shuffle; as they are, should two of them share one."""
+    number, other = F.xxhash64(member), F.xxhash64(F.lit(7), member)
+    met = df.where(F.col(member).isNotNull()).groupBy(number.alias("n")).agg(F.min(other).alias("least"), F.max(other).alias("most"))
     if not met.where("least <> most").isEmpty():
         return df
     return df.withColumn(member, F.when(F.col(member).isNotNull(), number))
 
 
+def record_sets(df: DataFrame, record: str, member: str, least: int = 1) -> DataFrame:
+    """(record, set_id, members, n): the distinct non-null members of each record with a non-null id, sorted; records below `least` are
+    left out, and equal sets have one set_id."""
+    pairs = df.select(F.col(record).alias("record"), F.col(member).alias("member")).where("record IS NOT NULL AND member IS NOT NULL").distinct()
+    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_list("member")).alias("members")).withColumn("n", F.size("members"))
+    return sets.where(F.col("n") >= least).select("record", digest("members").alias("set_id"), "members", "n")
+
+
 def rare_first(sets: DataFrame, key: str = "set_id") -> DataFrame:
-    """Members of each distinct set replaced by their order of global rarity: (key, n, ranked array of (df, member)).
+    """Members of each distinct set in their order of global rarity: (key, n, ranked array of (df, member)).
 
     The counts run over all sets; the order is total, ties by the member itself.
     """
     long = sets.select(key, "n", F.explode("members").alias("member"))
-    counts = long.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
-    # one member can be in a third of all sets: the join is on the member, so hot members are salted
-    salts = 16
-    left = long.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    hot = counts.withColumn("salt", F.explode(F.when(F.col("df") > 5000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
-    few = left.join(counts.where("df <= 5000"), "member").select(key, "n", "df", "member")
-    many = left.join(hot.where("df > 5000"), ["member", "salt"]).select(key, "n", "df", "member")
-    return few.unionByName(many).groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "member"))).alias("ranked"))
+    counts = long.groupBy("member").agg(F.count(F.lit(1)).alias("df")).withColumn("weight", F.col("df"))
+    total = float(long.count())
+    met = salted_join(long, counts.select("member", "df"), "member", counts.select("member", "weight"), total)
+    return met.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "member"))).alias("ranked"))
 
 
 def _prefix(least: Column | float) -> Column:
@@ -61,10 +63,6 @@ def _common(a: str, b: str) -> Column:
     return F.size(F.array_intersect(F.col(a), F.col(b)))
 
 
-def _similarity(common: Column, n: Column, m: Column) -> Column:
-    return common / (n + m - common)
-
-
 def prefix_join(records: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
     """(set_id, pivot, sim) of records and pivots of similarity `least` or more, exactly."""
     def prefixed(df: DataFrame, name: str) -> DataFrame:
@@ -78,55 +76,98 @@ def prefix_join(records: DataFrame, pivots: DataFrame, least: float) -> DataFram
     most = F.least(n - F.col("set_id_pos"), m - F.col("pivot_pos")) + F.least(F.col("set_id_pos"), F.col("pivot_pos"))
     met = met.where(most >= (n + m) * (least / (1 + least)) - _TINY)
     found = met.withColumn("common", _common("set_id_members", "pivot_members")).where(F.col("common") >= (n + m) * (least / (1 + least)) - _TINY)
-    return found.select("set_id", "pivot", _similarity(F.col("common"), n, m).alias("sim")).distinct()
+    return found.select("set_id", "pivot", (F.col("common") / (n + m - F.col("common"))).alias("sim")).distinct()
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_a, set_b, sim), set_a < set_b: all pairs of distinct sets with similarity `threshold` or more.
+def placed(sets: DataFrame, threshold: float, pivots: int = PIVOTS, rounds: int = ROUNDS, frequent: float = FREQUENT) -> DataFrame:
+    """(set_id, n, ranked, home, share): each set's members as (pivot, df, member) in this order, its nearest pivot and the share of its members there.
 
-    `sets` has set_id, n and members, one row per distinct set. The threshold counts itself. Pivots are
-    one record for each rarest member; a record within MAX_RADIUS of one has the nearest as its home, any
-    other is its own pivot with radius 0. All steps are equi-joins on rare members or cells.
+    A member's first pivot is the least number among the records that hold it; then records take the pivot of most of
+    their members and members that of most of their records. Frequent members have a null pivot. `home` is null for a set
+    whose nearest pivot is too far for the triangle inequality to say anything: a partner at the threshold may have nothing in it.
+    """
+    count = sets.count()
+    # member numbers don't differ by pivot, so votes are counted within PIVOTS numbers
+    long = sets.select("set_id", "n", F.explode("members").alias("member"), F.pmod(F.col("set_id.hi"), F.lit(pivots)).cast("int").alias("vote"))
+    members = long.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("vote").alias("vote"))
+    members = cut(members)
+    often = F.broadcast(members.where(F.col("df") > frequent * count).select("member", "df", F.lit(None).cast("int").alias("vote")))
+    rare = members.where(F.col("df") <= frequent * count)
+    few = long.select("set_id", "n", "member").join(often.select("member"), "member", "left_anti")
+    many = long.select("set_id", "n", "member").join(often, "member")
+    for _ in range(rounds):
+        votes = few.join(rare, "member").groupBy("set_id").agg(F.mode("vote", True).alias("vote"), F.collect_list(F.struct("member", "df")).alias("m"))
+        voted = votes.select("vote", F.explode("m").alias("m")).groupBy("m.member", "m.df").agg(F.mode("vote", True).alias("vote"))
+        rare = voted.select("member", "df", "vote")
+    held = few.join(rare, "member").unionByName(many)
+    ranked = held.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("vote").alias("pivot"), "df", "member"))).alias("ranked"), F.mode("vote", True).alias("home"))
+    near = F.size(F.filter("ranked", lambda x: x["pivot"] == F.col("home"))) / F.col("n")
+    ranked = ranked.withColumn("share", F.when(F.col("home").isNotNull(), near))
+    within = F.col("share") > 1 - threshold + _TINY
+    return ranked.withColumns({"home": F.when(within, F.col("home")), "share": F.when(within, F.col("share"))})
+
+
+def _postings(homed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Home postings and copy postings (cell, member, set_id, n, home, share, members): the rarest members of each set within each pivot near enough.
+
+    Two sets of similarity t or more lack at most n - tn members of each other, so among the members they share in a pivot
+    the rarest is one of the first n - tn + 1 of either there. Members lie in one pivot each, and cells are
+    split by member: no task holds a whole cell. Cell -1 takes the sets without a home, with their rarest members of all.
+    """
+    pivots = F.transform("ranked", lambda x: F.coalesce(x["pivot"], F.lit(-2)))
+    base = homed.select("set_id", "n", "home", "share", F.transform("ranked", lambda x: x["member"]).alias("members"), pivots.alias("pivots"), F.posexplode("ranked").alias("pos", "r"))
+    base = base.where("r.pivot IS NOT NULL").withColumn("nth", F.col("pos") - F.array_position("pivots", F.col("r.pivot")) + 1)
+    base = base.where(F.col("nth") < _prefix(threshold))
+    inside = (F.col("n") - F.size(F.array_remove("pivots", F.col("r.pivot")))) / F.col("n")
+    cells = base.select(F.col("r.pivot").alias("cell"), F.col("r.member").alias("member"), "set_id", "n", "home", inside.alias("share"), "members")
+    loose = homed.where("home IS NULL").select("set_id", "n", "home", F.array_sort(F.transform("ranked", lambda x: F.struct(x["df"], x["member"]))).alias("ranked"))
+    loose = loose.select("set_id", "n", "home", F.transform("ranked", lambda x: x["member"]).alias("members"), F.explode(F.slice("ranked", F.lit(1), _prefix(threshold).cast("int"))).alias("r"))
+    loose = loose.select(F.lit(-1).alias("cell"), F.col("r.member").alias("member"), "set_id", "n", "home", F.lit(None).cast("double").alias("share"), "members")
+    # one row a pivot, so at most PIVOTS: the share that the farthest set at home there has in it
+    radii = F.broadcast(homed.where("home IS NOT NULL").groupBy(F.col("home").alias("cell")).agg(F.min("share").alias("farthest")))
+    copies = cells.join(radii, "cell").where(F.col("share") >= F.col("farthest") - (1 - threshold) - _TINY).drop("farthest")
+    return cells.where(F.col("cell") == F.col("home")).unionByName(loose), copies.unionByName(loose)
+
+
+def similar_sets(sets: DataFrame, threshold: float, pivots: int = PIVOTS, rounds: int = ROUNDS, frequent: float = FREQUENT) -> DataFrame:
+    """(set_a, set_b), set_a < set_b: all pairs of distinct sets with similarity `threshold` or more, which counts itself.
+
+    `sets` has set_id (of `digest`), n and members, one row per distinct set. A pair is found in the cell of the smaller id; in that
+    of the other one if the smaller has no home; in cell -1 if neither has one. Exact for every threshold above 0 and any pivots.
     """
-    eps = 1 - threshold
-    ranked = cut(rare_first(sets).join(sets.select("set_id", "members"), "set_id"))
-    first = ranked.withColumn("rarest", F.col("ranked")[0]["member"])
-    chosen = first.groupBy("rarest").agg(F.min("set_id").alias("set_id")).select("set_id")
-    pivots = ranked.join(chosen, "set_id")
-    reach = threshold - MAX_RADIUS
-    near = cut(prefix_join(ranked, pivots, reach))
-    homes = near.where(F.col("sim") >= 1 - MAX_RADIUS - _TINY).groupBy("set_id").agg(F.max_by(F.struct("pivot", "sim"), F.struct("sim", "pivot")).alias("home")).select("set_id", F.col("home.pivot").alias("pivot"), F.col("home.sim").alias("sim"))
-    lone = ranked.join(homes.select("set_id"), "set_id", "left_anti")
-    radius = homes.groupBy("pivot").agg((1 - F.min("sim")).alias("radius"))
-    copies = near.join(radius, "pivot").where(1 - F.col("sim") <= F.col("radius") + eps + _TINY).select("pivot", F.col("set_id").alias("copy"))
-    cells = homes.select("pivot", F.col("set_id").alias("home")).join(copies, "pivot").where("home <> copy").select("home", "copy")
-    # cells of radius 0: what is within eps of the pivot is the result itself
-    alone = prefix_join(ranked, lone, threshold).where("set_id <> pivot").select(F.col("pivot").alias("home"), F.col("set_id").alias("copy"))
-    pairs = cells.unionByName(alone)
-    pairs = pairs.select(F.least("home", "copy").alias("set_a"), F.greatest("home", "copy").alias("set_b")).distinct()
-    a = sets.select(F.col("set_id").alias("set_a"), F.col("members").alias("members_a"), F.col("n").alias("n_a"))
-    b = sets.select(F.col("set_id").alias("set_b"), F.col("members").alias("members_b"), F.col("n").alias("n_b"))
-    both = pairs.join(a, "set_a").join(b, "set_b")
-    both = both.where((F.col("n_a") >= F.col("n_b") * threshold - _TINY) & (F.col("n_b") >= F.col("n_a") * threshold - _TINY))
-    both = both.withColumn("common", _common("members_a", "members_b"))
-    both = both.withColumn("sim", _similarity(F.col("common"), F.col("n_a"), F.col("n_b")))
-    return both.where(F.col("sim") >= threshold - _TINY).select("set_a", "set_b", "sim")
-
-
-def similar_records(df: DataFrame, record: str, member: str, threshold: float, least: int = 1) -> DataFrame:
-    """(a, b), a < b: all pairs of records whose distinct non-null members have a Jaccard similarity of `threshold` or more.
-
-    Records with fewer than `least` distinct members, a null id or null members only are in no pair;
-    repeated rows count once; an empty table has no pairs. Records with equal members are one set while
-    sets are compared; only the result names them all.
+    homed = cut(placed(sets, threshold, pivots, rounds, frequent))
+    homes, copies = _postings(homed, threshold)
+    a = homes.select("cell", "member", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("share").alias("share_x"), F.col("members").alias("members_x"))
+    b = copies.select("cell", "member", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("share").alias("share_y"), F.col("members").alias("members_y"), F.col("home").isNull().alias("loose"))
+    n, m = F.col("n_x"), F.col("n_y")
+    met = a.join(b, ["cell", "member"]).where((F.col("x") < F.col("y")) | (F.col("loose") & (F.col("cell") >= 0)))
+    met = met.where((n >= m * threshold - _TINY) & (m >= n * threshold - _TINY))
+    # the triangle inequality for the two at hand
+    met = met.where((F.col("cell") < 0) | (F.abs(F.col("share_x") - F.col("share_y")) <= 1 - threshold + _TINY))
+    met = met.where(_common("members_x", "members_y") >= (n + m) * (threshold / (1 + threshold)) - _TINY)
+    return met.select(F.least("x", "y").alias("set_a"), F.greatest("x", "y").alias("set_b")).distinct()
+
+
+def similar_records(df: DataFrame, record: str, member: str, threshold: float, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, membership) of records whose distinct non-null members have a Jaccard similarity of `threshold` or more.
+
+    Records with equal members are one class: classes is (set_id, n, copies), links (set_a, set_b) the pairs of different
+    classes that are similar, membership (set_id, record). Records with fewer than `least` distinct members, a null id or null members
+    only are in no class; repeated rows count once; an empty table has no classes.
     """
-    records = record_sets(numbered(df.select(record, member), member), record, member, least)
-    groups = cut(records.groupBy("members").agg(F.min("record").alias("set_id"), F.count(F.lit(1)).alias("copies")).withColumn("n", F.size("members")))
-    pairs = similar_sets(groups.select("set_id", "n", "members"), threshold).select("set_a", "set_b")
-    total = float(groups.agg(F.sum("copies")).collect()[0][0] or 1)
-    own = lookup(records, groups.select("members", "set_id", "copies"), "members", "copies", total).select("set_id", "record")
-    a = own.select(F.col("set_id").alias("set_a"), F.col("record").alias("one"))
-    b = own.select(F.col("set_id").alias("set_b"), F.col("record").alias("two"))
-    several = groups.where("copies > 1").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"))
-    out = pairs.unionByName(several).join(a, "set_a").join(b, "set_b").where("one <> two")
-    return out.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    records = cut(record_sets(numbered(df.select(record, member), member), record, member, least))
+    classes = cut(records.groupBy("set_id", "members", "n").agg(F.count(F.lit(1)).alias("copies")))
+    links = similar_sets(classes.select("set_id", "n", "members"), threshold)
+    return classes.select("set_id", "n", "copies"), links, records.select("set_id", "record")
+
+
+def expanded(classes: DataFrame, links: DataFrame, membership: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of records of linked classes and of one class, where a result has to name them all."""
+    weights = classes.select("set_id", F.col("copies").alias("weight"))
+    total = float(classes.agg(F.sum("copies")).collect()[0][0] or 1)
+    several = classes.where("copies > 1").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"))
+    pairs = links.unionByName(several)
+    one = salted_join(membership.withColumnsRenamed({"set_id": "set_a", "record": "one"}), pairs, "set_a", weights.withColumnRenamed("set_id", "set_a"), total)
+    both = salted_join(membership.withColumnsRenamed({"set_id": "set_b", "record": "two"}), one, "set_b", weights.withColumnRenamed("set_id", "set_b"), total)
+    both = both.where((F.col("one") < F.col("two")) | ((F.col("set_a") != F.col("set_b")) & (F.col("one") != F.col("two"))))
+    return both.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))

@@ -116,8 +116,10 @@ def test_same_look_pairs(spark):
 # 6
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_similar_records_is_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "pivots", "rounds", "frequent"), [(1, 1024, 1, 0.2), (2, 5, 2, 0.2), (3, 64, 1, 0.0)])
+def test_similar_records_is_brute_force(spark, monkeypatch, seed, pivots, rounds, frequent):
+    placed = setjoin.placed
+    monkeypatch.setattr(setjoin, "placed", lambda sets, threshold, *_: placed(sets, threshold, pivots, rounds, frequent))
     rng = random.Random(seed)
     base = [rng.sample(range(60), rng.randint(3, 9)) for _ in range(40)]
     sets = {}
@@ -130,8 +132,10 @@ def test_similar_records_is_brute_force(spark, seed):
     rng.shuffle(data)
     df = spark.createDataFrame(data + data[:50], "slide string, n string, set_id int")
     want = sorted((a, b) for a, b in combinations(sorted(sets), 2) if min(len(sets[a]), len(sets[b])) >= 3 and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]))
-    assert rows(setjoin.similar_records(df, "slide", "n", 0.6, least=3)) == sorted(want, key=repr)
-    assert rows(setjoin.similar_records(df.limit(0), "slide", "n", 0.6, least=3)) == []
+    classes, links, membership = setjoin.similar_records(df, "slide", "n", 0.6, least=3)
+    assert rows(setjoin.expanded(classes, links, membership)) == sorted(want, key=repr)
+    assert membership.count() == 160 and classes.count() == len({frozenset(x) for x in sets.values()})
+    assert rows(setjoin.expanded(*setjoin.similar_records(df.limit(0), "slide", "n", 0.6, least=3))) == []
 
 
 # 8
