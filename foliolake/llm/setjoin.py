@@ -22,6 +22,8 @@ PIVOTS = 1024
 ROUNDS = 1
 #: A member of a larger share of the sets belongs to no pivot; there are at most mean set size / FREQUENT of them.
 FREQUENT = 0.005
+#: Stands for the pivot of frequent members, and for the cell of sets without a home.
+NO_PIVOT = -1
 _TINY = 1e-9
 
 
@@ -37,8 +39,8 @@ def numbered(df: DataFrame, member: str) -> DataFrame:
 def record_sets(df: DataFrame, record: str, member: str, least: int = 1) -> DataFrame:
     """(record, set_id, members, n): the distinct non-null members of each record with a non-null id, sorted; records below `least` are
     left out, and equal sets have one set_id."""
-    pairs = df.select(F.col(record).alias("record"), F.col(member).alias("member")).where("record IS NOT NULL AND member IS NOT NULL").distinct()
-    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_list("member")).alias("members")).withColumn("n", F.size("members"))
+    pairs = df.select(F.col(record).alias("record"), F.col(member).alias("member")).where("record IS NOT NULL AND member IS NOT NULL")
+    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_set("member")).alias("members")).withColumn("n", F.size("members"))
     return sets.where(F.col("n") >= least).select("record", digest("members").alias("set_id"), "members", "n")
 
 
@@ -79,32 +81,42 @@ def prefix_join(records: DataFrame, pivots: DataFrame, least: float) -> DataFram
     return found.select("set_id", "pivot", (F.col("common") / (n + m - F.col("common"))).alias("sim")).distinct()
 
 
+def _count_of(values: Column, value: Column) -> Column:
+    return F.size(values) - F.size(F.array_remove(values, value))
+
+
+def _most(values: Column) -> Column:
+    """The number from 0 to 2^31 - 1 that an array holds most often, ties to the least; null if it holds none. Smaller numbers don't count."""
+    top = (1 << 31) - 1
+    held = F.filter(values, lambda v: v >= 0)
+    best = F.array_max(F.transform(F.array_distinct(held), lambda v: F.shiftleft(_count_of(held, v).cast("bigint"), 31) + (top - v)))
+    return (top - best.bitwiseAND(F.lit(top))).cast("int")
+
+
 def placed(sets: DataFrame, threshold: float, pivots: int = PIVOTS, rounds: int = ROUNDS, frequent: float = FREQUENT) -> DataFrame:
-    """(set_id, n, ranked, home, share): each set's members as (pivot, df, member) in this order, its nearest pivot and the share of its members there.
+    """(set_id, n, members, pivots, dfs, share, home): each set's members with their pivots and counts, in the order of pivot, count and member; its nearest pivot and the share of its members there.
 
     A member's first pivot is the least number among the records that hold it; then records take the pivot of most of
-    their members and members that of most of their records. Frequent members have a null pivot. `home` is null for a set
+    their members and members that of most of their records. Frequent members have NO_PIVOT. `home` is null for a set
     whose nearest pivot is too far for the triangle inequality to say anything: a partner at the threshold may have nothing in it.
     """
     count = sets.count()
     # member numbers don't differ by pivot, so votes are counted within PIVOTS numbers
     long = sets.select("set_id", "n", F.explode("members").alias("member"), F.pmod(F.col("set_id.hi"), F.lit(pivots)).cast("int").alias("vote"))
     members = long.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("vote").alias("vote"))
-    members = cut(members)
     often = F.broadcast(members.where(F.col("df") > frequent * count).select("member", "df", F.lit(None).cast("int").alias("vote")))
     rare = members.where(F.col("df") <= frequent * count)
     few = long.select("set_id", "n", "member").join(often.select("member"), "member", "left_anti")
     many = long.select("set_id", "n", "member").join(often, "member")
     for _ in range(rounds):
         votes = few.join(rare, "member").groupBy("set_id").agg(F.mode("vote", True).alias("vote"), F.collect_list(F.struct("member", "df")).alias("m"))
-        voted = votes.select("vote", F.explode("m").alias("m")).groupBy("m.member", "m.df").agg(F.mode("vote", True).alias("vote"))
-        rare = voted.select("member", "df", "vote")
+        rare = votes.select("vote", F.explode("m").alias("m")).groupBy("m.member", "m.df").agg(F.mode("vote", True).alias("vote")).select("member", "df", "vote")
     held = few.join(rare, "member").unionByName(many)
-    ranked = held.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("vote").alias("pivot"), "df", "member"))).alias("ranked"), F.mode("vote", True).alias("home"))
-    near = F.size(F.filter("ranked", lambda x: x["pivot"] == F.col("home"))) / F.col("n")
-    ranked = ranked.withColumn("share", F.when(F.col("home").isNotNull(), near))
-    within = F.col("share") > 1 - threshold + _TINY
-    return ranked.withColumns({"home": F.when(within, F.col("home")), "share": F.when(within, F.col("share"))})
+    ranked = held.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("vote", F.lit(NO_PIVOT)).alias("pivot"), "df", "member"))).alias("r"))
+    ranked = ranked.select("set_id", "n", F.col("r.member").alias("members"), F.col("r.pivot").alias("pivots"), F.col("r.df").alias("dfs")).withColumn("home", _most(F.col("pivots")))
+    share = _count_of(F.col("pivots"), F.col("home")) / F.col("n")
+    within = share > 1 - threshold + _TINY
+    return ranked.withColumns({"share": F.when(within, share), "home": F.when(within, F.col("home"))})
 
 
 def _postings(homed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -114,15 +126,13 @@ def _postings(homed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     the rarest is one of the first n - tn + 1 of either there. Members lie in one pivot each, and cells are
     split by member: no task holds a whole cell. Cell -1 takes the sets without a home, with their rarest members of all.
     """
-    pivots = F.transform("ranked", lambda x: F.coalesce(x["pivot"], F.lit(-2)))
-    base = homed.select("set_id", "n", "home", "share", F.transform("ranked", lambda x: x["member"]).alias("members"), pivots.alias("pivots"), F.posexplode("ranked").alias("pos", "r"))
-    base = base.where("r.pivot IS NOT NULL").withColumn("nth", F.col("pos") - F.array_position("pivots", F.col("r.pivot")) + 1)
-    base = base.where(F.col("nth") < _prefix(threshold))
-    inside = (F.col("n") - F.size(F.array_remove("pivots", F.col("r.pivot")))) / F.col("n")
-    cells = base.select(F.col("r.pivot").alias("cell"), F.col("r.member").alias("member"), "set_id", "n", "home", inside.alias("share"), "members")
-    loose = homed.where("home IS NULL").select("set_id", "n", "home", F.array_sort(F.transform("ranked", lambda x: F.struct(x["df"], x["member"]))).alias("ranked"))
-    loose = loose.select("set_id", "n", "home", F.transform("ranked", lambda x: x["member"]).alias("members"), F.explode(F.slice("ranked", F.lit(1), _prefix(threshold).cast("int"))).alias("r"))
-    loose = loose.select(F.lit(-1).alias("cell"), F.col("r.member").alias("member"), "set_id", "n", "home", F.lit(None).cast("double").alias("share"), "members")
+    base = homed.select("set_id", "n", "home", "members", "pivots", F.posexplode("members").alias("pos", "member"))
+    base = base.withColumn("cell", F.get("pivots", "pos")).where(F.col("cell") > NO_PIVOT)
+    base = base.where(F.col("pos") - F.array_position("pivots", F.col("cell")) + 1 < _prefix(threshold))
+    cells = base.select("cell", "member", "set_id", "n", "home", (_count_of(F.col("pivots"), F.col("cell")) / F.col("n")).alias("share"), "members")
+    by_df = F.array_sort(F.arrays_zip(F.col("dfs"), F.col("members")))
+    loose = homed.where("home IS NULL").select("set_id", "n", "home", "members", F.explode(F.slice(by_df, F.lit(1), _prefix(threshold).cast("int"))).alias("r"))
+    loose = loose.select(F.lit(NO_PIVOT).alias("cell"), F.col("r.members").alias("member"), "set_id", "n", "home", F.lit(None).cast("double").alias("share"), "members")
     # one row a pivot, so at most PIVOTS: the share that the farthest set at home there has in it
     radii = F.broadcast(homed.where("home IS NOT NULL").groupBy(F.col("home").alias("cell")).agg(F.min("share").alias("farthest")))
     copies = cells.join(radii, "cell").where(F.col("share") >= F.col("farthest") - (1 - threshold) - _TINY).drop("farthest")
@@ -140,10 +150,10 @@ def similar_sets(sets: DataFrame, threshold: float, pivots: int = PIVOTS, rounds
     a = homes.select("cell", "member", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("share").alias("share_x"), F.col("members").alias("members_x"))
     b = copies.select("cell", "member", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("share").alias("share_y"), F.col("members").alias("members_y"), F.col("home").isNull().alias("loose"))
     n, m = F.col("n_x"), F.col("n_y")
-    met = a.join(b, ["cell", "member"]).where((F.col("x") < F.col("y")) | (F.col("loose") & (F.col("cell") >= 0)))
+    met = a.join(b, ["cell", "member"]).where((F.col("x") < F.col("y")) | (F.col("loose") & (F.col("cell") > NO_PIVOT)))
     met = met.where((n >= m * threshold - _TINY) & (m >= n * threshold - _TINY))
     # the triangle inequality for the two at hand
-    met = met.where((F.col("cell") < 0) | (F.abs(F.col("share_x") - F.col("share_y")) <= 1 - threshold + _TINY))
+    met = met.where((F.col("cell") == NO_PIVOT) | (F.abs(F.col("share_x") - F.col("share_y")) <= 1 - threshold + _TINY))
     met = met.where(_common("members_x", "members_y") >= (n + m) * (threshold / (1 + threshold)) - _TINY)
     return met.select(F.least("x", "y").alias("set_a"), F.greatest("x", "y").alias("set_b")).distinct()
 
