@@ -28,8 +28,8 @@ SIZES, OVERLAP = (64, 128, 256, 512), 160
 CONTAINMENT, ITEM_SIZE, MISS = 0.2, 30, 1e-3
 #: A match covers at least SHARE of an item's own wording in stretches longer than a short quote; a stretch bridges single changed words.
 SHARE, QUOTE_WORDS, QUOTE_SIGNS, BRIDGE_WORDS, BRIDGE_SIGNS = 1 / 3, 9, 14, 2, 6
-#: A shingle in this share of the items (three at least) is a heading or formula, not an item's own wording.
-HEADING = 0.05
+#: A shingle of an item's first sentence that so many items start with is a heading, not the item's own wording.
+HEADING = 3
 #: Items held in one pass over the corpus; more items are more passes.
 BLOCK = 5000
 
@@ -37,6 +37,7 @@ BLOCK = 5000
 CHUNK = 1_000_000
 
 _TOKEN = re.compile(r"[^\W_㐀-鿿]+|[㐀-鿿]")
+_SENTENCE = re.compile(r"\s*[^.!?。！？:：\n]*[.!?。！？:：\n]?")
 _MASK = (1 << 64) - 1
 
 
@@ -154,41 +155,61 @@ def stretches(hit: np.ndarray, signs: np.ndarray, own: np.ndarray) -> int:
 
 
 class Index:
-    """Signatures of one block of items for every partition, and what is needed to verify a pair."""
+    """Signatures of one block of items for every partition, and what is needed to verify a pair.
+
+    Signatures are one sorted array of numbers that stand for (hash function, least value). A block can only
+    collide if it holds a shingle that is the least of some item under some function, so a document
+    without any of these has no signature computed.
+    """
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
         self.items = []
-        sets = []
+        self.multiply, self.add = seeds(functions_of(SIZES[-1]))
+        self.counts = {u: min(functions_of(u), len(self.add)) for u in SIZES}
+        self.function = _mix(np.arange(1, len(self.add) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys, owners, least = [], [], []
         for item, shingles, signs, common in items:
             own = np.ones(len(shingles), dtype=bool)
             for s in np.flatnonzero(common):
                 own[s : s + (SIGNS if signs[s] else WORDS)] = False
             mine = np.where(common, np.uint64(0), shingles)
+            held = np.unique(mine[mine > 0])
+            if len(held):
+                hashed = held[:, None] * self.multiply[None, :] + self.add[None, :]
+                at = hashed.argmin(axis=0)
+                keys.append(_mix(hashed[at, np.arange(len(at))] ^ self.function))
+                owners.append(np.full(len(at), len(self.items), dtype=np.int32))
+                least.append(np.unique(held[at]))
             self.items.append((item, mine, signs, own, max(1, int(own.sum()))))
-            sets.append(np.unique(mine[mine > 0]))
-        self.multiply, self.add = seeds(functions_of(SIZES[-1]))
-        # for each hash function, the items by their least value
-        self.tables: list[dict[int, list[int]]] = [{} for _ in self.add]
-        for i, s in enumerate(sets):
-            if len(s):
-                for found, value in zip(self.tables, signature(s, self.multiply, self.add).tolist(), strict=True):
-                    found.setdefault(value, []).append(i)
-        self.counts = {u: min(functions_of(u), len(self.add)) for u in SIZES}
-
-    def search(self, shingles: np.ndarray) -> list[int]:
+        none = np.empty(0, dtype=np.uint64)
+        self.least = np.unique(np.concatenate([none, *least]))
+        keys, owners = np.concatenate([none, *keys]), np.concatenate([np.empty(0, dtype=np.int32), *owners])
+        order = keys.argsort(kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+
+    def _met(self, block: np.ndarray) -> np.ndarray:
+        """Items that share a value of the signature with a block."""
+        k = self.counts[next(u for u in SIZES if len(block) <= u)]
+        values = _mix(signature(block, self.multiply[:k], self.add[:k]) ^ self.function[:k])
+        first, last = np.searchsorted(self.keys, values, "left"), np.searchsorted(self.keys, values, "right")
+        return np.concatenate([self.owners[a:b] for a, b in zip(first, last, strict=True) if b > a] or [self.owners[:0]])
+
+    def near(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles are the least of some item under some function."""
+        if not len(self.least):
+            return np.zeros(len(shingles), dtype=bool)
+        return self.least[np.minimum(np.searchsorted(self.least, shingles), len(self.least) - 1)] == shingles
+
+    def search(self, shingles: np.ndarray, near: np.ndarray | None = None) -> list[int]:
         """Items of which the document contains enough."""
-        held = np.unique(shingles[shingles > 0])
-        if not len(held) or not self.items:
+        near = self.near(shingles) if near is None else near
+        if not near.any():
             return []
-        met: set[int] = set()
-        for block in blocks(shingles[shingles > 0]):
-            block = np.unique(block)
-            k = self.counts[next(u for u in SIZES if len(block) <= u)]
-            for found, value in zip(self.tables, signature(block, self.multiply[:k], self.add[:k]).tolist(), strict=False):
-                if value in found:
-                    met.update(found[value])
+        full = shingles > 0
+        met = [self._met(np.unique(block)) for block, hit in zip(blocks(shingles[full]), blocks(near[full]), strict=True) if hit.any()]
+        held = np.unique(shingles[full])
         out = []
-        for i in sorted(met):
+        for i in np.unique(np.concatenate(met)):
             item, mine, signs, own, total = self.items[i]
             at = np.searchsorted(held, mine)
             hit = (mine > 0) & (held[np.minimum(at, len(held) - 1)] == mine)
@@ -198,21 +219,22 @@ class Index:
 
 
 def item_shingles(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, shingles, signs, common) of each item with a text; common marks shingles that many items share."""
+    """(item, shingles, signs, common) of each item with a text; common marks the shingles of its heading: those of its first sentence that HEADING items have in theirs."""
     pattern = _pattern()
 
-    @F.pandas_udf("struct<s:array<bigint>,signs:array<boolean>>")
+    @F.pandas_udf("struct<s:array<bigint>,signs:array<boolean>,first:int>")
     def shingled(texts: pd.Series) -> pd.DataFrame:
         maker = Shingler(pattern)
         rows = [maker.shingles(t) for t in texts]
-        return pd.DataFrame({"s": [r[0].view(np.int64).tolist() for r in rows], "signs": [r[1].tolist() for r in rows]})
+        first = [len(maker.tokens(_SENTENCE.match(t)[0])[0]) for t in texts]
+        return pd.DataFrame({"s": [r[0].view(np.int64).tolist() for r in rows], "signs": [r[1].tolist() for r in rows], "first": first})
 
     base = items.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item"])
     made = base.select("item", shingled("text").alias("x")).select("item", "x.*")
-    n = made.count()
-    counts = made.select("item", F.explode(F.array_distinct("s")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    often = counts.where(F.col("df") >= max(3, HEADING * n)).where("s <> 0").select("s", F.lit(True).alias("common"))
-    long = made.select("item", F.posexplode(F.arrays_zip("s", "signs")).alias("pos", "z")).select("item", "pos", "z.s", "z.signs").join(often, "s", "left")
+    long = made.select("item", "first", F.posexplode(F.arrays_zip("s", "signs")).alias("pos", "z")).select("item", "pos", "z.s", "z.signs", (F.col("pos") < F.col("first")).alias("leads"))
+    counts = long.where("leads AND s <> 0").select("item", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("items"))
+    often = counts.where(F.col("items") >= HEADING).select("s", F.lit(True).alias("leads"), F.lit(True).alias("common"))
+    long = long.join(often, ["s", "leads"], "left")
     rows = F.array_sort(F.collect_list(F.struct("pos", "s", "signs", F.coalesce("common", F.lit(False)).alias("common"))))
     return long.groupBy("item").agg(rows.alias("r")).select("item", "r.s", "r.signs", "r.common")
 
