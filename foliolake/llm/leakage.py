@@ -2,8 +2,9 @@
 
 A short item inside a long document has a small Jaccard similarity however much of it is there, and the
 smaller the longer the document. Documents are therefore cut to blocks and the blocks partitioned by size;
-each partition has as many hash functions as make a miss of the least wanted containment improbable at its
-upper size. Colliding pairs are verified on all shingles of the document.
+each partition has as many MinHash values as make a miss of the least wanted containment improbable at its
+upper size. They come from one permutation, whose range is split to bins: a value is the least of its bin, so
+that a block costs one sort however many values it has. Colliding pairs are verified on all shingles of the document.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -109,20 +111,29 @@ def _hashed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndar
         at += n
 
 
-def functions_of(size: int) -> int:
-    """How many hash functions a block of up to `size` shingles needs for the chance MISS at CONTAINMENT."""
+@cache
+def bits_of(size: int) -> int:
+    """How many bins, as a power of two, a block of up to `size` shingles needs for the chance MISS at CONTAINMENT.
+
+    A common shingle gives a collision if it is the least of its bin, which has the chance (1 - e^-x) / x with x shingles a bin.
+    """
     common = CONTAINMENT * ITEM_SIZE
-    return math.ceil(math.log(1 / MISS) / (common / (ITEM_SIZE + size - common)))
+    bits = 1
+    while True:
+        x = (ITEM_SIZE + size - common) / 2**bits
+        if (1 - (1 - math.exp(-x)) / x) ** common <= MISS:
+            return bits
+        bits += 1
 
 
-def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240)
-    return rng.integers(1, _MASK, count, dtype=np.uint64) | np.uint64(1), rng.integers(1, _MASK, count, dtype=np.uint64)
+def permuted(shingles: np.ndarray) -> np.ndarray:
+    return _mix(shingles * np.uint64(0x9E3779B97F4A7C15) + np.uint64(20240))
 
 
-def signature(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Least value of each hash function over the shingles."""
-    return (shingles[:, None] * multiply[None, :] + add[None, :]).min(axis=0)
+def signature(values: np.ndarray, bits: int) -> np.ndarray:
+    """Of sorted permuted shingles the least in each bin; the bin is the value's leading bits."""
+    bins = values >> np.uint64(64 - bits)
+    return values[np.append(True, bins[1:] != bins[:-1])] if len(values) else values
 
 
 def blocks(shingles: np.ndarray) -> Iterator[np.ndarray]:
@@ -155,64 +166,64 @@ def stretches(hit: np.ndarray, signs: np.ndarray, own: np.ndarray) -> int:
 
 
 class Index:
-    """Signatures of one block of items for every partition, and what is needed to verify a pair.
-
-    Signatures are one sorted array of numbers that stand for (hash function, least value). A block can only
-    collide if it holds a shingle that is the least of some item under some function, so a document
-    without any of these has no signature computed.
-    """
+    """Signatures of one block of items for every partition, and what is needed to verify a pair, in flat sorted arrays."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
-        self.items = []
-        self.multiply, self.add = seeds(functions_of(SIZES[-1]))
-        self.counts = {u: min(functions_of(u), len(self.add)) for u in SIZES}
-        self.function = _mix(np.arange(1, len(self.add) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        keys, owners, least = [], [], []
-        for item, shingles, signs, common in items:
+        self.items, self.needs = [], np.empty(len(items))
+        signed: dict[int, list[tuple[np.ndarray, int]]] = {u: [] for u in SIZES}
+        places: list[tuple[np.ndarray, int, np.ndarray]] = []
+        for i, (item, shingles, signs, common) in enumerate(items):
             own = np.ones(len(shingles), dtype=bool)
             for s in np.flatnonzero(common):
                 own[s : s + (SIGNS if signs[s] else WORDS)] = False
-            mine = np.where(common, np.uint64(0), shingles)
-            held = np.unique(mine[mine > 0])
-            if len(held):
-                hashed = held[:, None] * self.multiply[None, :] + self.add[None, :]
-                at = hashed.argmin(axis=0)
-                keys.append(_mix(hashed[at, np.arange(len(at))] ^ self.function))
-                owners.append(np.full(len(at), len(self.items), dtype=np.int32))
-                least.append(np.unique(held[at]))
-            self.items.append((item, mine, signs, own, max(1, int(own.sum()))))
-        none = np.empty(0, dtype=np.uint64)
-        self.least = np.unique(np.concatenate([none, *least]))
-        keys, owners = np.concatenate([none, *keys]), np.concatenate([np.empty(0, dtype=np.int32), *owners])
-        order = keys.argsort(kind="stable")
-        self.keys, self.owners = keys[order], owners[order]
-
-    def _met(self, block: np.ndarray) -> np.ndarray:
-        """Items that share a value of the signature with a block."""
-        k = self.counts[next(u for u in SIZES if len(block) <= u)]
-        values = _mix(signature(block, self.multiply[:k], self.add[:k]) ^ self.function[:k])
-        first, last = np.searchsorted(self.keys, values, "left"), np.searchsorted(self.keys, values, "right")
-        return np.concatenate([self.owners[a:b] for a, b in zip(first, last, strict=True) if b > a] or [self.owners[:0]])
-
-    def near(self, shingles: np.ndarray) -> np.ndarray:
-        """Which shingles are the least of some item under some function."""
-        if not len(self.least):
-            return np.zeros(len(shingles), dtype=bool)
-        return self.least[np.minimum(np.searchsorted(self.least, shingles), len(self.least) - 1)] == shingles
-
-    def search(self, shingles: np.ndarray, near: np.ndarray | None = None) -> list[int]:
+            mine = permuted(np.where(common, np.uint64(0), shingles))
+            held = np.flatnonzero(~common & (shingles > 0))
+            for u in SIZES:
+                signed[u].append((signature(np.unique(mine[held]), bits_of(u)), i))
+            places.append((mine[held], i, held))
+            total = max(1, int(own.sum()))
+            self.items.append((item, signs, own, total))
+            # a found shingle adds at most itself and the bridge behind it to a stretch
+            reach = max(SIGNS, WORDS) + BRIDGE_SIGNS if signs.any() else WORDS + BRIDGE_WORDS
+            self.needs[i] = (total * SHARE - 1e-9) / reach
+        self.tables = {u: self._sorted([x for x, _ in v], [np.full(len(x), i) for x, i in v]) for u, v in signed.items()}
+        self.values, self.owners, self.at = self._sorted([x for x, _, _ in places], [np.full(len(x), i) for x, i, _ in places], [x for _, _, x in places])
+
+    @staticmethod
+    def _sorted(values: list[np.ndarray], *others: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        flat = np.concatenate([np.empty(0, dtype=np.uint64), *values])
+        order = flat.argsort(kind="stable")
+        return (flat[order], *(np.concatenate([np.empty(0, dtype=np.int32), *x])[order].astype(np.int32) for x in others))
+
+    @staticmethod
+    def _found(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Places in a sorted table of all its entries that are among some values."""
+        first = np.searchsorted(table, values)
+        first = first[table[np.minimum(first, len(table) - 1)] == values] if len(table) else first[:0]
+        if not len(first):
+            return first
+        # entries of one value lie together
+        counts = np.searchsorted(table, table[first], "right") - first
+        return np.repeat(first - np.append(0, counts.cumsum()[:-1]), counts) + np.arange(counts.sum())
+
+    def search(self, shingles: np.ndarray) -> list[int]:
         """Items of which the document contains enough."""
-        near = self.near(shingles) if near is None else near
-        if not near.any():
+        values = permuted(shingles[shingles > 0])
+        met = []
+        for block in blocks(values):
+            table, owners = self.tables[u := next(u for u in SIZES if len(block) <= u)]
+            met.append(owners[self._found(table, signature(np.sort(block), bits_of(u)))])
+        met = np.concatenate(met)
+        if not len(met):
             return []
-        full = shingles > 0
-        met = [self._met(np.unique(block)) for block, hit in zip(blocks(shingles[full]), blocks(near[full]), strict=True) if hit.any()]
-        held = np.unique(shingles[full])
+        places = self._found(self.values, values)
+        owners = self.owners[places]
+        enough = np.bincount(owners, minlength=len(self.needs))[met] >= self.needs[met]
         out = []
-        for i in np.unique(np.concatenate(met)):
-            item, mine, signs, own, total = self.items[i]
-            at = np.searchsorted(held, mine)
-            hit = (mine > 0) & (held[np.minimum(at, len(held) - 1)] == mine)
+        for i in np.unique(met[enough]) if enough.any() else ():
+            item, signs, own, total = self.items[i]
+            hit = np.zeros(len(signs), dtype=bool)
+            hit[self.at[places[owners == i]]] = True
             if stretches(hit, signs, own) >= total * SHARE - 1e-9:
                 out.append(item)
         return out
