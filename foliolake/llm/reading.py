@@ -5,12 +5,14 @@ of the document. A word with a positive slope is hard (it gains from level to le
 slope is easy. Two scales are estimated side by side, one of words and one of sentence shapes, each per
 script. Graded documents anchor the levels; then item parameters and levels of all documents are
 estimated in turn, each from the other. Last, the two levels are read as grades.
+
+Items are numbered by hashing, and items of one number share their parameters. So the parameters have a fixed
+size whatever the vocabulary, and one pass over the documents takes the levels and sums the items by level.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,12 +30,15 @@ LEVELS = np.arange(0.0, 5.01, 0.25)
 ROUNDS = 2
 #: Prior widths of a slope and of a level around the middle.
 SLOPE_WIDTH, LEVEL_WIDTH, MIDDLE = 1.0, 2.0, 2.5
-#: Most item parameters that are sent to the executors at once; more are joined.
-SENT = 300_000
+#: Scales, and numbers of items on each as a power of two.
+SCRIPTS, KINDS, BITS = ("letters", "signs"), ("words", "shapes"), 18
+SCALES = len(SCRIPTS) * len(KINDS)
 #: Bound of the graded documents that the last step, reading levels as grades, is fitted on.
 FITTED = 20_000
 #: Documents with fewer characters have no grade.
 LEAST_CHARS = 120
+#: Items summed together before they leave a task.
+SUMMED = 2_000_000
 
 _WORD = re.compile(r"[a-z][a-z'’-]*|[㐀-鿿]+")
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
@@ -41,24 +46,25 @@ _PIECE = re.compile(r"[^\W\d_]*[a-zA-ZÀ-ɏ][^\W\d_]*|[㐀-鿿]")
 _CLAUSE = re.compile(r"[,，;；]")
 
 
-def items(text: str) -> tuple[str, Counter, Counter]:
+def items(text: str) -> tuple[int, Counter, Counter]:
     """(script, words, sentence shapes) of a text; words of a script without blanks are its pairs of signs."""
     words: Counter = Counter()
     signs = 0
+    found = []
     for w in _WORD.findall(text.lower()):
         if "㐀" <= w[0] <= "鿿":
             signs += len(w)
-            words.update(w[i : i + 2] for i in range(len(w) - 1))
+            found += map(str.__add__, w, w[1:])
         else:
-            words[w] += 1
-    script = "signs" if signs > 0.2 * len(text) else "letters"
+            found.append(w)
+    words.update(found)
     shapes: Counter = Counter()
     for s in _SENTENCE.split(text):
         n = len(_PIECE.findall(s))
         if n >= 3:
             shapes[f"length {min(n // 3, 40)}"] += 1
             shapes[f"parts {min(len(_CLAUSE.findall(s)), 15)}"] += 1
-    return script, words, shapes
+    return int(signs > 0.2 * len(text)), words, shapes
 
 
 def fit_items(counts: np.ndarray, exposure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,103 +91,130 @@ _CODES: dict[str, int] = {}
 
 
 def code(item: str) -> int:
-    """The 64-bit number of an item; numbers are what is counted and looked up."""
+    """The number of an item on its scale."""
     import xxhash
 
     c = _CODES.get(item)
     if c is None:
         if len(_CODES) >= 500_000:
             _CODES.clear()
-        c = _CODES[item] = xxhash.xxh64_intdigest(item) - (1 << 63)
+        c = _CODES[item] = xxhash.xxh64_intdigest(item) & ((1 << BITS) - 1)
     return c
 
 
+def _scale(script: int, kind: int) -> int:
+    return script * len(KINDS) + kind
+
+
+_DOCS = "script int, words_n bigint, shapes_n bigint, words binary, words_counts binary, shapes binary, shapes_counts binary"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, grade, scale, total, codes, counts) from (key, grade, text): two rows for each text, its words and its sentence shapes."""
+    """(key, grade) and _DOCS from (key, grade, text); numbers of items and their counts are held as bytes of 32-bit integers, which pass between the JVM and Python as they are."""
     for batch in batches:
-        at, scales, totals = [], [], []
-        codes, counts, ends = array("q"), array("i"), array("i", [0])
-        for k, t in enumerate(batch.column(2)):
+        out: list[list] = [[] for _ in range(7)]
+        for t in batch.column(2):
             script, *both = items(t.as_py())
-            for name, c in zip(("words", "shapes"), both, strict=True):
-                at.append(k)
-                scales.append(f"{script} {name}")
-                totals.append(sum(c.values()))
-                codes.extend(map(code, c))
-                counts.extend(c.values())
-                ends.append(len(codes))
-        offsets = pa.array(np.frombuffer(ends, dtype=np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, dtype=d))) for x, d in ((codes, np.int64), (counts, np.int32))]
-        kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(scales, pa.string()), pa.array(totals, pa.int64()), *lists], names=["key", "grade", "scale", "total", "codes", "counts"])
-
-
-def _parameters(docs: DataFrame) -> DataFrame:
-    """(scale, code, c, a) of every item from documents with a `level`; those with none are passed over.
-
-    Items are summed by level bin before they are shuffled. The bins' exposure comes from these sums."""
-    spark = docs.sparkSession
-    at = F.greatest(F.lit(0), F.least(F.lit(len(LEVELS) - 1), F.round(F.col("level") / (LEVELS[1] - LEVELS[0])).cast("int")))
-    long = docs.where("level IS NOT NULL").select("scale", at.alias("bin"), F.explode(F.arrays_zip("codes", "counts")).alias("i"))
-    long = cut(long.groupBy("scale", F.col("i.codes").alias("code"), "bin").agg(F.sum("i.counts").alias("n")))
-    exposure: dict[str, np.ndarray] = {}
-    for r in long.groupBy("scale", "bin").agg(F.sum("n").alias("n")).collect():
-        exposure.setdefault(r.scale, np.zeros(len(LEVELS)))[r.bin] = r.n
-    sent = spark.sparkContext.broadcast(exposure)
-    rows = long.groupBy("scale", "code").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"))
+            out[0].append(script)
+            for kind, c in enumerate(both):
+                base = _scale(script, kind) << BITS
+                out[1 + kind].append(sum(c.values()))
+                out[3 + 2 * kind].append(np.array([base + code(x) for x in c], dtype=np.int32).tobytes())
+                out[4 + 2 * kind].append(np.fromiter(c.values(), dtype=np.int32, count=len(c)).tobytes())
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        names = [x.split()[0] for x in _DOCS.split(", ")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["key", "grade", *names])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of a column of bytes, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", dtype=np.int32)[ends[0] // 4 : ends[-1] // 4], np.diff(ends) // 4
+
+
+class Model:
+    """Slopes of all numbers and the mass of each scale at each level of the grid."""
+
+    def __init__(self, fitted: pd.DataFrame):
+        self.slopes = np.zeros(SCALES << BITS)
+        codes = fitted["code"].to_numpy(dtype=np.int64)
+        self.slopes[codes] = fitted["a"]
+        self.grid = _grid()
+        self.mass = np.zeros((SCALES, len(self.grid)))
+        c, a = fitted["c"].to_numpy(), fitted["a"].to_numpy()
+        for scale in range(SCALES):
+            at = codes >> BITS == scale
+            for k, g in enumerate(self.grid):
+                self.mass[scale, k] = np.exp(c[at] + a[at] * (g - MIDDLE)).sum()
+
+    def levels(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """The most probable level of every row given its items, on the scale of its words and on that of its shapes."""
+        script = batch.column("script").to_numpy()
+        x = self.grid - MIDDLE
+        out = []
+        for kind, name in enumerate(KINDS):
+            flat, sizes = _flat(batch.column(name))
+            counts, _ = _flat(batch.column(f"{name}_counts"))
+            sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self.slopes[flat] * counts, minlength=len(sizes))
+            total = batch.column(f"{name}_n").to_numpy()
+            scale = _scale(script, kind)
+            score = sums[:, None] * x - total[:, None] * self.mass[scale] - x * x / (2 * LEVEL_WIDTH**2)
+            # a scale that no item is known of says nothing
+            out.append(np.where(self.mass[scale].any(axis=1), self.grid[score.argmax(axis=1)], MIDDLE))
+        return out
+
+
+def _summed(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(code, n0, n1, ...): how often each item occurs at each level bin; graded documents stand at their grade, the others at their level under
+    the model, and without a model they are passed over. Items are summed in the task before anything is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            cells, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([x for _, x in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((cells // len(LEVELS)).astype(np.int32)), pa.array((cells % len(LEVELS)).astype(np.int32)), pa.array(n)], names=["code", "bin", "n"])
+
+        for batch in batches:
+            grades = batch.column("grade").to_numpy(zero_copy_only=False)
+            levels = sent.value.levels(batch) if sent.value else [np.full(len(grades), np.nan)] * len(KINDS)
+            for name, level in zip(KINDS, levels, strict=True):
+                level = np.where(np.isnan(grades), level, grades)
+                flat, sizes = _flat(batch.column(name))
+                counts, _ = _flat(batch.column(f"{name}_counts"))
+                at = np.repeat(np.clip(np.rint(np.nan_to_num(level, nan=-1.0) / (LEVELS[1] - LEVELS[0])), 0, len(LEVELS) - 1), sizes).astype(np.int64)
+                used = np.repeat(~np.isnan(level), sizes)
+                held.append((flat[used] * np.int64(len(LEVELS)) + at[used], counts[used]))
+                size += int(used.sum())
+            if size >= SUMMED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    cells = docs.mapInArrow(run, "code int, bin int, n bigint")
+    return cells.groupBy("code").agg(*[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LEVELS))])
+
+
+def _fitted(docs: DataFrame, model: Model | None) -> Model:
+    """Parameters of every item given the levels of the documents under a model. At most SCALES * 2^BITS rows, two numbers each, come to the driver."""
+    bins = [f"n{k}" for k in range(len(LEVELS))]
+    table = cut(_summed(docs, model))
+    exposure = np.zeros((SCALES, len(LEVELS)))
+    for r in table.groupBy(F.shiftright("code", BITS).alias("scale")).agg(*[F.sum(b).alias(b) for b in bins]).collect():
+        exposure[r.scale] = r[1:]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for scale, part in pdf.groupby("scale"):
-                counts = np.zeros((len(part), len(LEVELS)))
-                for k, (b, n) in enumerate(zip(part["bins"], part["counts"], strict=True)):
-                    counts[k, b] = n
-                c, a = fit_items(counts, sent.value[scale])
-                yield pd.DataFrame({"scale": scale, "code": part["code"].to_numpy(), "c": c, "a": a})
-
-    return cut(rows.mapInPandas(fit, "scale string, code bigint, c double, a double"))
-
-
-def _with_level(docs: DataFrame, parameters: DataFrame) -> DataFrame:
-    """docs with `level`: the most probable level of every document given its items. A narrow step, unless there are more than SENT items."""
-    spark = docs.sparkSession
-    grid = _grid()
-    known = parameters.groupBy("scale").agg(F.count(F.lit(1)).alias("items"), *[F.sum(F.exp(F.col("c") + F.col("a") * float(g - MIDDLE))).alias(f"m{k}") for k, g in enumerate(grid)]).collect()
-    mass = {r.scale: np.array([r[f"m{k}"] for k in range(len(grid))]) for r in known}
-    if sum(r["items"] for r in known) <= SENT:
-        slopes: dict[str, list] = {}
-        for r in parameters.select("scale", "code", "a").toLocalIterator():
-            slopes.setdefault(r.scale, []).append((r.code, r.a))
-        sent = spark.sparkContext.broadcast({s: tuple(np.array(x) for x in zip(*sorted(v), strict=True)) for s, v in slopes.items()})
-
-        @F.pandas_udf("double")
-        def summed(scales: pd.Series, codes: pd.Series, counts: pd.Series) -> pd.Series:
-            out = np.zeros(len(scales))
-            for k, (s, w, n) in enumerate(zip(scales, codes, counts, strict=True)):
-                if s in sent.value and len(w):
-                    known_codes, a = sent.value[s]
-                    place = np.minimum(np.searchsorted(known_codes, w), len(a) - 1)
-                    out[k] = np.dot(np.where(known_codes[place] == w, a[place], 0.0), n)
-            return pd.Series(out)
-
-        held = docs.withColumn("sum", summed("scale", "codes", "counts"))
-    else:
-        long = docs.select("key", "scale", F.explode(F.arrays_zip("codes", "counts")).alias("i")).select("key", "scale", F.col("i.codes").alias("code"), F.col("i.counts").alias("n"))
-        sums = long.join(parameters.select("scale", "code", "a"), ["scale", "code"]).groupBy("key", "scale").agg(F.sum(F.col("a") * F.col("n")).alias("sum"))
-        held = docs.join(sums, ["key", "scale"], "left").fillna(0.0, ["sum"])
-
-    @F.pandas_udf("double")
-    def best(scales: pd.Series, totals: pd.Series, sums: pd.Series) -> pd.Series:
-        out = np.full(len(scales), MIDDLE)
-        x = grid - MIDDLE
-        for scale in scales.unique():
-            if scale in mass:
-                at = np.flatnonzero((scales == scale).to_numpy())
-                score = sums.to_numpy()[at, None] * x - totals.to_numpy(dtype=float)[at, None] * mass[scale] - x * x / (2 * LEVEL_WIDTH**2)
-                out[at] = grid[score.argmax(1)]
-        return pd.Series(out)
+            for scale, part in pdf.groupby(pdf["code"] // (1 << BITS)):
+                c, a = fit_items(part[bins].to_numpy(dtype=float), exposure[scale])
+                yield pd.DataFrame({"code": part["code"].to_numpy(), "c": c, "a": a})
 
-    return held.withColumn("level", best("scale", "total", "sum")).drop("sum")
+    return Model(table.mapInPandas(fit, "code int, c double, a double").toPandas())
 
 
 def _features(words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -190,22 +223,40 @@ def _features(words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
 
 
 def fit_grades(x: np.ndarray, grades: np.ndarray, classes: list[int]) -> np.ndarray:
-    """Weights of each class on the features, by penalised softmax regression with Newton-like steps."""
+    """Weights of each class on the features, by penalised softmax regression with Newton steps that are halved until they help."""
     y = (grades[:, None] == np.array(classes)[None, :]).astype(float)
-    b = np.zeros((x.shape[1], len(classes)))
-    bound = np.linalg.norm(x, 2) ** 2 / 2 / len(x)
-    speed, last = b.copy(), b.copy()
-    for k in range(4000):
-        z = x @ speed
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        slope = x.T @ (p - y) / len(x) + 1e-4 * speed
-        if np.abs(slope).max() < 2e-5:
-            return speed
-        now = speed - slope / (bound + 1e-4)
-        speed = now + (now - last) * k / (k + 3)
-        last = now
-    return last
+    n, k, width = len(x), len(classes), x.shape[1]
+    ridge = 1e-4
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ b
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        total = p.sum(1, keepdims=True)
+        return float((np.log(total[:, 0]) - (y * z).sum(1)).mean() + ridge / 2 * (b * b).sum()), p / total
+
+    b = np.zeros((width, k))
+    loss, p = at(b)
+    for _ in range(50):
+        slope = (x.T @ (p - y) / n + ridge * b).T.ravel()
+        if np.abs(slope).max() < 1e-7:
+            break
+        curve = np.empty((k * width, k * width))
+        for i in range(k):
+            for j in range(k):
+                w = p[:, i] * ((i == j) - p[:, j])
+                curve[i * width : (i + 1) * width, j * width : (j + 1) * width] = (x * w[:, None]).T @ x / n
+        step = np.linalg.solve(curve + ridge * np.eye(k * width), slope).reshape(k, width).T
+        share = 1.0
+        while share > 1e-6:
+            new_loss, new_p = at(b - share * step)
+            if new_loss < loss:
+                break
+            share /= 2
+        else:
+            break
+        b, loss, p = b - share * step, new_loss, new_p
+    return b
 
 
 def grade_documents(documents: DataFrame, key: str, text: str, graded: DataFrame, grade: str) -> DataFrame:
@@ -221,22 +272,25 @@ def grade_documents(documents: DataFrame, key: str, text: str, graded: DataFrame
     kind = documents.schema[key].dataType.simpleString()
     marks = graded.select(F.col(key).alias("key"), F.col(grade).cast("double").alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL").groupBy("key").agg(F.min("grade").alias("grade"))
     marked = spread(rows.dropDuplicates(["key"]).join(marks, "key", "left").select("key", "grade", "text"))
-    docs = cut(marked.mapInArrow(_counted, f"key {kind}, grade double, scale string, total bigint, codes array<bigint>, counts array<int>"))
-    parameters = _parameters(docs.withColumn("level", F.col("grade")))
-    for _ in range(ROUNDS):
-        parameters = _parameters(_with_level(docs, parameters).withColumn("level", F.coalesce("grade", "level")))
-    levels = _with_level(docs, parameters)
-    script = F.element_at(F.split("scale", " "), 1)
-    scale = F.element_at(F.split("scale", " "), 2)
-    wide = levels.groupBy("key").agg(F.max("grade").alias("grade"), F.first(script).alias("script"), F.max(F.when(scale == "words", F.col("level"))).alias("words"), F.max(F.when(scale == "shapes", F.col("level"))).alias("shapes"))
-    wide = cut(wide)
+    docs = cut(marked.mapInArrow(_counted, f"key {kind}, grade double, {_DOCS}"))
+    model = None
+    for _ in range(1 + ROUNDS):
+        model = _fitted(docs, model)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, shapes = sent.value.levels(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("grade"), batch.column("script"), pa.array(words), pa.array(shapes)], names=["key", "grade", "script", "words", "shapes"])
+
+    wide = cut(docs.mapInArrow(level, f"key {kind}, grade double, script int, words double, shapes double"))
     known = wide.where("grade IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(FITTED).toPandas()
     if known.empty:
         return wide.limit(0).select(F.col("key").alias(key), F.lit(0).cast("int").alias("grade"))
     fits = {}
-    for s in [*sorted(known["script"].unique()), ""]:
-        part = known[known["script"] == s] if s else known
-        if s and len(part) < 50:
+    for s in [*sorted(known["script"].unique()), -1]:
+        part = known[known["script"] == s] if s >= 0 else known
+        if s >= 0 and len(part) < 50:
             continue
         classes = sorted(int(g) for g in part["grade"].unique())
         fits[s] = (classes, fit_grades(_features(part["words"].to_numpy(), part["shapes"].to_numpy()), part["grade"].to_numpy(), classes))
@@ -246,7 +300,7 @@ def grade_documents(documents: DataFrame, key: str, text: str, graded: DataFrame
         out = np.zeros(len(scripts), dtype=np.int32)
         x = _features(words.to_numpy(), shapes.to_numpy())
         for s in scripts.unique():
-            classes, weights = fits.get(s, fits[""])
+            classes, weights = fits.get(s, fits[-1])
             at = np.flatnonzero((scripts == s).to_numpy())
             out[at] = np.array(classes)[(x[at] @ weights).argmax(1)]
         return pd.Series(out)
