@@ -12,9 +12,8 @@ size whatever the vocabulary, and one pass over the documents takes the levels a
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -40,31 +39,79 @@ LEAST_CHARS = 120
 #: Items summed together before they leave a task.
 SUMMED = 2_000_000
 
-_WORD = re.compile(r"[a-z][a-z'’-]*|[㐀-鿿]+")
-_SENTENCE = re.compile(r"[.!?。！？\n]+")
-_PIECE = re.compile(r"[^\W\d_]*[a-zA-ZÀ-ɏ][^\W\d_]*|[㐀-鿿]")
-_CLAUSE = re.compile(r"[,，;；]")
-
-
-def items(text: str) -> tuple[int, Counter, Counter]:
-    """(script, words, sentence shapes) of a text; words of a script without blanks are its pairs of signs."""
-    words: Counter = Counter()
-    signs = 0
-    found = []
-    for w in _WORD.findall(text.lower()):
-        if "㐀" <= w[0] <= "鿿":
-            signs += len(w)
-            found += map(str.__add__, w, w[1:])
-        else:
-            found.append(w)
-    words.update(found)
-    shapes: Counter = Counter()
-    for s in _SENTENCE.split(text):
-        n = len(_PIECE.findall(s))
-        if n >= 3:
-            shapes[f"length {min(n // 3, 40)}"] += 1
-            shapes[f"parts {min(len(_CLAUSE.findall(s)), 15)}"] += 1
-    return int(signs > 0.2 * len(text)), words, shapes
+#: Signs of text that are handled together, and how a sentence's pieces and clauses are numbered.
+CHUNK, PIECES_A_STEP, MOST_STEPS, MOST_CLAUSES, CLAUSES_FROM = 500_000, 3, 40, 15, 64
+_LETTER, _LATIN, _SIGN, _AZ, _JOIN, _END, _CLAUSE = (1 << i for i in range(7))
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The classes of every code point of the basic plane, as bits."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    for o in range(0xFFFF):
+        c = chr(o)
+        signs, latin = 0x3400 <= o <= 0x9FFF, c.isascii() and c.isalpha() or 0xC0 <= o <= 0x24F
+        out[o] = _LETTER * (c.isalpha() or signs or latin) | _LATIN * latin | _SIGN * signs | _AZ * ("a" <= c <= "z") | _JOIN * (c in "'’-") | _END * (c in ".!?。！？\n") | _CLAUSE * (c in ",，;；")
+    return out
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _number(h: np.ndarray) -> np.ndarray:
+    return (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _starts(mask: np.ndarray) -> np.ndarray:
+    return mask & ~np.append(False, mask[:-1])
+
+
+def occurrences(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(script of each text, [(text, number) of each word, (text, number) of each sentence shape]), all texts at once.
+
+    Words are runs of a to z with marks inside; of a script without blanks, pairs of neighbouring signs. A sentence of three
+    pieces (words or signs) or more has two shapes, its length in steps and its number of clause marks.
+    """
+    lowered = [t.lower() for t in texts]
+    lengths = np.array([len(t) + 1 for t in lowered])
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    kind = _classes()[np.minimum(points, 0xFFFF)]
+    signs = kind & _SIGN > 0
+    script = np.bincount(text[signs], minlength=len(texts)) > 0.2 * (lengths - 1)
+
+    # words: a run of letters and marks from its first letter on
+    joined = kind & (_AZ | _JOIN) > 0
+    first = np.flatnonzero(_starts(joined))
+    letters = np.cumsum(kind & _AZ > 0)
+    before = letters[first] - (kind[first] & _AZ > 0)
+    held = np.flatnonzero(joined)
+    run = np.cumsum(_starts(joined))[held] - 1
+    held = held[letters[held] > before[run]]
+    begins = np.flatnonzero(np.append(True, np.diff(held) != 1)) if len(held) else held
+    place = np.arange(len(held)) - np.repeat(begins, np.diff(np.append(begins, len(held))))
+    spelt = _mix(points[held] + (place.astype(np.uint64) << np.uint64(21)))
+    pairs = np.flatnonzero(signs[:-1] & signs[1:])
+    numbers = np.concatenate([_number(np.add.reduceat(spelt, begins)) if len(begins) else begins, _number(points[pairs] << np.uint64(21) | points[pairs + 1])])
+    words = np.concatenate([text[held[begins]], text[pairs]]), numbers.astype(np.int64)
+
+    # sentences: a run of letters is one piece if it has a Latin one, else each sign is
+    ends = kind & _END > 0
+    sentence = np.cumsum(ends) - ends
+    letter = kind & _LETTER > 0
+    opens = _starts(letter)
+    run = np.cumsum(opens) - 1
+    runs = int(opens.sum())
+    latin = np.bincount(run[kind & _LATIN > 0], minlength=runs) > 0
+    pieces = np.bincount(sentence[opens], weights=np.where(latin, 1, np.bincount(run[signs], minlength=runs)), minlength=int(ends.sum()))
+    clauses = np.bincount(sentence[kind & _CLAUSE > 0], minlength=len(pieces))
+    said = np.flatnonzero(pieces >= 3)
+    of = text[np.flatnonzero(ends)[said]]
+    shapes = np.concatenate([np.minimum(pieces[said] // PIECES_A_STEP, MOST_STEPS), CLAUSES_FROM + np.minimum(clauses[said], MOST_CLAUSES)]).astype(np.int64)
+    return script.astype(np.int32), [words, (np.concatenate([of, of]), shapes)]
 
 
 def fit_items(counts: np.ndarray, exposure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,43 +134,41 @@ def _grid() -> np.ndarray:
     return np.arange(-0.5, 5.51, 0.05)
 
 
-_CODES: dict[str, int] = {}
-
-
-def code(item: str) -> int:
-    """The number of an item on its scale."""
-    import xxhash
-
-    c = _CODES.get(item)
-    if c is None:
-        if len(_CODES) >= 500_000:
-            _CODES.clear()
-        c = _CODES[item] = xxhash.xxh64_intdigest(item) & ((1 << BITS) - 1)
-    return c
-
-
-def _scale(script: int, kind: int) -> int:
+def _scale(script: np.ndarray, kind: int) -> np.ndarray:
     return script * len(KINDS) + kind
 
 
 _DOCS = "script int, words_n bigint, shapes_n bigint, words binary, words_counts binary, shapes binary, shapes_counts binary"
 
 
+def _bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of 32-bit integers of the given sizes as a column of bytes."""
+    ends = np.append(0, np.cumsum(sizes * 4)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(np.int32))])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, grade) and _DOCS from (key, grade, text); numbers of items and their counts are held as bytes of 32-bit integers, which pass between the JVM and Python as they are."""
+    names = ["key", "grade", *(x.split()[0] for x in _DOCS.split(", "))]
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for t in batch.column(2):
-            script, *both = items(t.as_py())
-            out[0].append(script)
-            for kind, c in enumerate(both):
-                base = _scale(script, kind) << BITS
-                out[1 + kind].append(sum(c.values()))
-                out[3 + 2 * kind].append(np.array([base + code(x) for x in c], dtype=np.int32).tobytes())
-                out[4 + 2 * kind].append(np.fromiter(c.values(), dtype=np.int32, count=len(c)).tobytes())
-        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        names = [x.split()[0] for x in _DOCS.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["key", "grade", *names])
+        texts = batch.column(2).to_pylist()
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and size < CHUNK:
+                size += len(texts[end])
+                end += 1
+            script, both = occurrences(texts[at:end])
+            n = end - at
+            totals, held = [], []
+            for kind, (text, number) in enumerate(both):
+                cells, counts = np.unique(text << BITS | number, return_counts=True)
+                of = cells >> BITS
+                sizes = np.bincount(of, minlength=n)
+                totals.append(pa.array(np.bincount(text, minlength=n)))
+                held += [_bytes((cells & ((1 << BITS) - 1)) + (_scale(script[of], kind) << BITS), sizes), _bytes(counts, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(script), *totals, *held], names=names)
+            at = end
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

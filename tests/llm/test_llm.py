@@ -1,6 +1,7 @@
 """The training-text operators against brute force, round trips and held-out cases."""
 
 import random
+import re
 import time
 import unicodedata
 from collections import Counter
@@ -227,6 +228,27 @@ def test_search_finds_what_exact_containment_finds():
 # 10
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab'-’ \n.,;A中文é1_?。，üж", max_size=30) | st.text(max_size=15), min_size=1, max_size=4))
+def test_occurrences_are_those_of_plain_patterns(texts):
+    script, both = reading.occurrences(texts)
+    for k, t in enumerate(texts):
+        t = t.lower()
+        words = Counter(x for w in re.findall(r"[a-z][a-z'’-]*|[㐀-鿿]+", t) for x in ([w[i : i + 2] for i in range(len(w) - 1)] if "㐀" <= w[0] else [w]))
+        shapes: Counter = Counter()
+        for s in re.split(r"[.!?。！？\n]+", t):
+            runs = re.findall(r"(?:[^\W\d_]|[㐀-鿿À-ɏ])+", "".join(c if ord(c) < 0xFFFF and (c.isalpha() or "㐀" <= c <= "鿿" or "À" <= c <= "ɏ") else " " for c in s))
+            n = sum(1 if re.search("[a-zA-ZÀ-ɏ]", r) else len(re.findall("[㐀-鿿]", r)) for r in runs)
+            if n >= 3:
+                shapes[min(n // 3, 40)] += 1
+                shapes[64 + min(len(re.findall("[,，;；]", s)), 15)] += 1
+        got = [Counter(number[text == k].tolist()) for text, number in both]
+        assert got[1] == shapes
+        # numbers are hashes: equal counts, and equal words have equal numbers
+        assert sorted(got[0].values()) == sorted(words.values())
+        assert script[k] == (len(re.findall("[㐀-鿿]", t)) > 0.2 * len(t))
+
+
 def test_fit_items_finds_slopes():
     rng = np.random.default_rng(1)
     x = reading.LEVELS - reading.MIDDLE
