@@ -1,24 +1,26 @@
 """Nested JSON records to flat related tables.
 
-Records are read by a pull parser that never builds the document: it walks the characters once and
-emits (path, value, ordinal) triples. Paths are then grouped by their nearest repeated ancestor, and
-each group is pivoted into one table.
+Records are read token by token, without building the document, to (path, value, ordinal) triples. Each
+triple names its nearest repeated ancestor: the list element that it is in, and the member that holds the list.
+Triples are grouped by that member, and each group is pivoted into one table, whose rows are the elements
+and whose keys lead to the elements around them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import repeat
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import ship, spread
 
-_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|(true|false|null)|($))', re.ASCII)
-_END = "end"
+_TOKEN = re.compile(r'[ \t\n\r]*+([{}\[\]:,]|"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][-+]?\d++)?|true|false|null|[^ \t\n\r])', re.ASCII)
+_WORDS = {"true": "boolean", "false": "boolean", "null": "null"}
 
 
 class Incomplete(ValueError):
@@ -30,188 +32,215 @@ def _whole(s: str) -> str:
     return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if re.search("[\ud800-\udfff]", s) else s
 
 
-def _tokens(text: str) -> Iterator[tuple[str, str]]:
-    at, match = 0, _TOKEN.match
-    while True:
-        m = match(text, at)
-        if m is None:
-            raise Incomplete(at)
-        at = m.end()
-        mark, string, number, word, _ = m.groups()
-        if mark:
-            yield mark, mark
-        elif string is not None:
-            yield "string", string[1:-1] if "\\" not in string else _whole(json.loads(string))
-        elif number:
-            yield "number", number
-        elif word:
-            yield word, word
-        else:
-            yield _END, ""
-            return
+def _string(token: str) -> str:
+    return token[1:-1] if "\\" not in token else _whole(json.loads(token))
 
 
-def triples(text: str, lists: frozenset[str] = frozenset(), embedded: frozenset[str] = frozenset()) -> Iterator[tuple[str, str | None, str]]:
-    """(path, value, type) of every scalar of a JSON text, in document order.
+def _read(text: str, path: str, name: str, element: tuple[str, str, int], lists: frozenset[str], embedded: frozenset[str], out: list) -> None:
+    """Append (path, value, type, element, holder, leaf) of every scalar of a JSON text that lies at a path, under a member name, in an element.
 
-    A member named in `lists` whose value is no list counts as a list of one; a string under a name in
-    `embedded` that is itself complete JSON of an object or list is read in its place. Raises
-    Incomplete at the first character that can't belong to one complete JSON value, or at the end.
+    `element` is the nearest element of a list: its path, the member that holds the list, and where the path below it starts.
     """
-    def value(kind: str, held: str, path: str, name: str, pull: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str | None, str]]:
-        # `stack` holds the open containers: [is it an object, its path, next position]
-        stack: list[list] = []
-        while True:
-            if name in lists and kind != "[":
-                path += "/0" if path else "0"
-                if kind == "{":
-                    name = ""
-            opened = kind in "{["
-            if opened:
-                stack.append([kind == "{", path, 0])
-            elif kind == "string":
-                inner = held.lstrip()[:1] if name in embedded else ""
-                part = None
-                if inner and inner in '{["':
-                    try:
-                        part = list(nested(held, path, name))
-                    except (Incomplete, RecursionError):
-                        part = None
-                if part is None:
-                    yield path, held, "string"
-                else:
-                    yield from part
-            elif kind == "null":
-                yield path, None, "null"
-            elif kind in ("number", "true", "false"):
-                yield path, held, "number" if kind == "number" else "boolean"
-            else:
+    tokens = _TOKEN.findall(text)
+    tokens.append("")  # the end, which is no sign of a value
+    # open containers: (is it an object, its path, its element, the name that holds it); `places` holds the next position of each
+    stack: list[tuple[bool, str, tuple[str, str, int], str]] = []
+    places: list[int] = []
+    at = 0
+    while True:
+        token = tokens[at]
+        first = token[:1]
+        at += 1
+        held_by = name
+        if name in lists and first != "[":
+            path = f"{path}/0" if path else "0"
+            element = (path, name, len(path) + 1)
+            if first == "{":
+                name = ""
+        if first == '"':
+            if len(token) < 2:
                 raise Incomplete(path)
-            while True:
-                if not stack:
-                    return
-                top = stack[-1]
-                kind, held = next(pull)
-                if opened:
-                    opened = False
-                    if kind == ("}" if top[0] else "]"):
-                        stack.pop()
-                        continue
-                elif kind == ("}" if top[0] else "]"):
-                    stack.pop()
-                    continue
-                elif kind == ",":
-                    kind, held = next(pull)
-                else:
-                    raise Incomplete(top[1])
-                if top[0]:
-                    if kind != "string":
-                        raise Incomplete(top[1])
-                    name = held
-                    if next(pull)[0] != ":":
-                        raise Incomplete(top[1])
-                    kind, held = next(pull)
-                    path = f"{top[1]}/{name}" if top[1] else name
-                else:
-                    name = ""
-                    path = f"{top[1]}/{top[2]}" if top[1] else str(top[2])
-                    top[2] += 1
+            value = _string(token)
+            part: list | None = None
+            if name in embedded and value.lstrip()[:1] in ("{", "[", '"'):
+                part = []
+                try:
+                    _read(value, path, name, element, lists, embedded, part)
+                except (Incomplete, RecursionError):
+                    part = None
+            if part is None:
+                out.append((path, value, "string", element[0], element[1], path[element[2] :]))
+            else:
+                out += part
+        elif first == "{" or first == "[":
+            stack.append((first == "{", path, element, held_by))
+            places.append(0)
+            if tokens[at] == ("}" if first == "{" else "]"):
+                at += 1
+                stack.pop()
+                places.pop()
+            else:
+                at -= 1  # the opening sign stands for the comma before the first member
+                tokens[at] = ","
+        elif token in _WORDS:
+            out.append((path, None if first == "n" else token, _WORDS[token], element[0], element[1], path[element[2] :]))
+        elif first == "-" and len(token) > 1 or "0" <= first <= "9":
+            out.append((path, token, "number", element[0], element[1], path[element[2] :]))
+        else:
+            raise Incomplete(path)
+        while stack:
+            is_object, above, element, holder = stack[-1]
+            token = tokens[at]
+            at += 1
+            if token == ",":
                 break
+            if token != ("}" if is_object else "]"):
+                raise Incomplete(above)
+            stack.pop()
+            places.pop()
+        else:
+            if tokens[at] or at + 1 != len(tokens):
+                raise Incomplete(path)
+            return
+        if is_object:
+            key = tokens[at]
+            if key[:1] != '"' or len(key) < 2 or tokens[at + 1] != ":":
+                raise Incomplete(above)
+            at += 2
+            name = _string(key)
+            path = f"{above}/{name}" if above else name
+        else:
+            path = f"{above}/{places[-1]}" if above else str(places[-1])
+            places[-1] += 1
+            # a list in a list is held by the same member
+            name, element = "", (path, holder or element[1], len(path) + 1)
 
-    def nested(inner: str, path: str, name: str) -> Iterator[tuple[str, str | None, str]]:
-        pull = _tokens(inner)
-        kind, held = next(pull)
-        if kind == _END:
-            raise Incomplete(path)
-        yield from value(kind, held, path, name, pull)
-        if next(pull)[0] != _END:
-            raise Incomplete(path)
 
-    yield from nested(text, "", "")
+def elements(text: str, lists: frozenset[str] = frozenset(), embedded: frozenset[str] = frozenset()) -> list[tuple[str, str | None, str, str, str, str]]:
+    """(path, value, type, element, holder, leaf) of every scalar of a JSON text, in document order.
+
+    element is the path of the nearest list element around it ('' outside of lists), holder the member that holds this list, leaf the
+    path below the element. A member named in `lists` whose value is no list counts as a list of one; a string under a name in
+    `embedded` that is itself complete JSON of an object, list or string is read in its place. Raises
+    Incomplete at the first sign that can't belong to one complete JSON value, or at the end.
+    """
+    out: list = []
+    _read(text, "", "", ("", "", 0), lists, embedded, out)
+    return out
 
 
-_ROW = "array<struct<ordinal:int,path:string,value:string,type:string>>"
+def triples(text: str, lists: frozenset[str] = frozenset(), embedded: frozenset[str] = frozenset()) -> list[tuple[str, str | None, str]]:
+    """(path, value, type) of every scalar of a JSON text."""
+    return [x[:3] for x in elements(text, lists, embedded)]
 
 
 def shred(df: DataFrame, record: str, text: str, lists: Iterable[str] = (), embedded: Iterable[str] = (), keep: str | None = None) -> DataFrame:
-    """(record, ordinal, path, value, type): one row per scalar of each complete JSON text.
+    """(record, ordinal, path, value, type, element, holder, leaf): one row per scalar of each complete JSON text.
 
     Records with a null id, a null text or a text that is no complete JSON have no rows. `keep` is a
     regular expression of the paths wanted; others are dropped before they leave the parser.
     """
+    ship(df.sparkSession)
     lists, embedded = frozenset(lists), frozenset(embedded)
     wanted = re.compile(keep).search if keep else None
-
-    @F.pandas_udf(_ROW)
-    def parse(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            rows: list[tuple] | None = []
-            try:
-                if t is not None:
-                    for i, (path, value, kind) in enumerate(triples(t, lists, embedded)):
-                        if wanted is None or wanted(path):
-                            rows.append((i, path, value, kind))
-            except (Incomplete, ValueError):
-                rows = []
-            out.append(rows)
-        return pd.Series(out, dtype=object)
+    kind = df.schema[record].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["record", "ordinal", "path", "value", "type", "element", "holder", "leaf"]
+        for batch in batches:
+            of, found, ordinals = [], [], []
+            for k, t in enumerate(batch.column(1)):
+                try:
+                    rows = elements(t.as_py(), lists, embedded)
+                except (Incomplete, ValueError):
+                    continue
+                kept = [(i, r) for i, r in enumerate(rows) if wanted is None or wanted(r[0])]
+                of += repeat(k, len(kept))
+                ordinals += [i for i, _ in kept]
+                found += [r for _, r in kept]
+            columns = [pa.array(c, pa.string()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.string())] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(ordinals, pa.int32()), *columns], names=names)
 
     base = spread(df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("record IS NOT NULL AND text IS NOT NULL"))
-    return base.select("record", F.explode(parse("text")).alias("t")).select(F.col("record").alias(record), "t.ordinal", "t.path", "t.value", "t.type")
+    out = base.mapInArrow(parse, f"record {kind}, ordinal int, path string, value string, type string, element string, holder string, leaf string")
+    return out.withColumnRenamed("record", record)
 
 
-def pivot(df: DataFrame, keys: list[str], leaf: Column, leaves: dict[str, str]) -> DataFrame:
+def pivot(df: DataFrame, keys: list[str], leaf: Column, leaves: Mapping[str, str]) -> DataFrame:
     """One row per key with a column for each leaf name; of a repeated member the last value counts."""
     at = F.col("ordinal")
     return df.groupBy(*keys).agg(*[F.max_by(F.when(leaf == name, F.col("value")), F.when(leaf == name, at)).alias(column) for name, column in leaves.items()])
 
 
+def groups(shredded: DataFrame) -> DataFrame:
+    """(holder, leaf, n): the groups of paths by repeated ancestor, the leaves of each, and how many scalars they have; '' is the record itself."""
+    return shredded.groupBy("holder", "leaf").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parent_of(element: Column) -> Column:
+    """The path of the list element around an element, '' at the top: what is left up to its last position without the element's own member and positions."""
+    return F.regexp_extract(F.regexp_replace(element, r"/[^/]*[^/\d][^/]*(?:/\d+)+$", ""), r"^(.*/\d+|\d+)(?:/|$)", 1)
+
+
+def flat_table(shredded: DataFrame, record: str, holder: str | Iterable[str], leaves: Mapping[str, str], extra: Iterable[str] = ()) -> DataFrame:
+    """(record, extra, element, leaves): the table of one group of paths, a row for each list element that has one of the leaves.
+
+    leaves maps paths below the element ('' for an element that is itself a scalar) to column names; a missing leaf is null. The
+    element is the row's key in its record, `parent_of` the key of the row around it. `extra` are columns that depend on record and element.
+    """
+    held = [holder] if isinstance(holder, str) else list(holder)
+    mine = shredded.where(F.col("holder").isin(held) & F.col("leaf").isin(list(leaves)))
+    return pivot(mine, [record, *extra, "element", "holder"], F.col("leaf"), leaves)
+
+
 #: Fixed values of the deck format: the members that hold cards and blocks.
 HOLDERS = ("cards", "body_blocks", "columns", "children")
 _HELD = r"(?:\d+/)*(?:(?:cards|body_blocks|columns|children)(?:/\d+)+/)*(?:cards|body_blocks|columns|children)(?:/\d+)+"
-_BLOCK = rf"^slides/\d+/data/{_HELD}(?:/title_zh|/text)?$"
+_SLIDE = r"^slides/(\d+)(?:/|$)"
+
 
+def deck_tables(df: DataFrame, record: str = "file_id", text: str = "doc") -> dict[str, DataFrame]:
+    """The tables slides (layout, lede), cards (title) and blocks (text) of decks, each with (record, slide_pos), cards and blocks also with
+    the element's path below the slide's data as item_path.
 
-def deck_triples(df: DataFrame, record: str = "file_id", text: str = "doc", extra: str = "") -> DataFrame:
-    """Triples of decks that later tables need: layouts, data ledes, card titles and block texts."""
-    keep = rf"^slides/\d+/(?:layout|data/lede)$|{_BLOCK}" + extra
-    t = shred(df, record, text, lists=(*HOLDERS, "slides"), embedded=("data",), keep=keep)
-    t = t.withColumn("slide_pos", F.regexp_extract("path", r"^slides/(\d+)/", 1).cast("int"))
-    return t.withColumn("inner", F.regexp_extract("path", r"^slides/\d+/(.*)$", 1))
+    Texts are strings only. One object counts as a list of one, a block that is a plain string as its own text; data given as JSON
+    is read. All rows of a slide come together by one shuffle, which the three tables and joins between them share.
+    """
+    keep = rf"^slides/\d+/(?:layout|data/lede|data/{_HELD}(?:/title_zh|/text)?)$"
+    t = shred(df, record, text, lists=(*HOLDERS, "slides"), embedded=("data",), keep=keep).where("type = 'string'").drop("path", "type")
+    t = t.withColumn("slide_pos", F.regexp_extract("element", _SLIDE, 1).cast("int")).repartition(record, "slide_pos")
+    slides = flat_table(t, record, "slides", {"layout": "layout", "data/lede": "lede"}, ["slide_pos"]).drop("holder", "element")
+    path = F.regexp_replace("element", r"^slides/\d+/data/", "").alias("item_path")
+    cards = flat_table(t, record, "cards", {"title_zh": "title"}, ["slide_pos"]).select(record, "slide_pos", path, "title")
+    blocks = flat_table(t, record, ("body_blocks", "children"), {"text": "text", "": "own"}, ["slide_pos"])
+    return {"slides": slides, "cards": cards, "blocks": blocks.select(record, "slide_pos", path, F.coalesce("text", "own").alias("text"))}
 
 
 def deck_items(df: DataFrame, record: str = "file_id", text: str = "doc", ledes: bool = False) -> DataFrame:
     """Cards and body blocks with a filled text: (record, slide_pos, layout, kind, item_path, item_text).
 
     kind is 'card', 'block' or, where `ledes`, 'lede'. The link to the parent slide is (record,
-    slide_pos), to a parent card, column or block the item_path. One object counts as a list of one, a
-    block that is a plain string as its own text; null and blank texts are left out; a layout that is
+    slide_pos), to a parent card, column or block the item_path. Null and blank texts are left out; a layout that is
     missing, null or no string is ''.
     """
-    t = deck_triples(df, record, text)
-    slide = [record, "slide_pos"]
-    layout = F.when((F.col("inner") == "layout") & (F.col("type") == "string"), F.col("value"))
-    t = t.withColumn("layout", F.coalesce(F.max(layout).over(Window.partitionBy(*slide)), F.lit("")))
-    t = t.where("inner <> 'layout' AND type = 'string'")
-    held = F.regexp_extract("inner", rf"^data/({_HELD})", 1)
-    leaf = F.regexp_extract("inner", r"/(title_zh|text|lede)$", 1)
-    last = F.regexp_extract(held, r"([a-z_]+)(?:/\d+)+$", 1)
-    t = t.withColumns({"item_path": held, "leaf": leaf, "holder": last})
-    kind = (
-        F.when((F.col("inner") == "data/lede"), F.lit("lede"))
-        .when((F.col("holder") == "cards") & (F.col("leaf") == "title_zh"), F.lit("card"))
-        .when(F.col("holder").isin("body_blocks", "children") & F.col("leaf").isin("text", ""), F.lit("block"))
-    )
-    t = t.withColumn("kind", kind).where("kind IS NOT NULL" + ("" if ledes else " AND kind <> 'lede'"))
-    t = t.withColumn("item_path", F.when(F.col("kind") == "lede", F.lit("lede")).otherwise(F.col("item_path")))
-    items = t.groupBy(*slide, "item_path", "kind", "layout").agg(F.max_by("value", "ordinal").alias("item_text"))
-    return items.where(F.col("item_text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]")).select(record, "slide_pos", "layout", "kind", "item_path", "item_text")
+    held = deck_tables(df, record, text)
+    slides = held["slides"].select(record, "slide_pos", "layout")
+    parts = []
+    for kind, name, column in (("card", "cards", "title"), ("block", "blocks", "text")):
+        items = held[name].select(record, "slide_pos", F.lit(kind).alias("kind"), "item_path", F.col(column).alias("item_text"))
+        parts.append(items.join(slides, [record, "slide_pos"], "left"))
+    if ledes:
+        parts.append(held["slides"].select(record, "slide_pos", F.lit("lede").alias("kind"), F.lit("lede").alias("item_path"), F.col("lede").alias("item_text"), "layout"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.where(F.col("item_text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
+    return out.select(record, "slide_pos", F.coalesce("layout", F.lit("")).alias("layout"), "kind", "item_path", "item_text")
 
 
 def deck_slides(df: DataFrame, record: str = "file_id", text: str = "doc") -> DataFrame:
-    """One row per slide that has a scalar: (record, slide_pos, key, layout, screen_label), null slides counted in the positions."""
-    keep = r"^slides/\d+(?:/(?:key|layout|screen_label))?$"
-    t = shred(df, record, text, lists=("slides",), keep=keep)
-    t = t.withColumns({"slide_pos": F.regexp_extract("path", r"^slides/(\d+)", 1).cast("int"), "leaf": F.regexp_extract("path", r"/([a-z_]+)$", 1)})
-    return pivot(t.where("type <> 'null' AND leaf <> ''"), [record, "slide_pos"], F.col("leaf"), {"key": "key", "layout": "layout", "screen_label": "screen_label"})
+    """One row per slide that has a key, layout or label: (record, slide_pos, key, layout, screen_label), null slides counted in the positions."""
+    keep = r"^slides/\d+/(?:key|layout|screen_label)$"
+    t = shred(df, record, text, lists=("slides",), keep=keep).where("type <> 'null'")
+    t = t.withColumn("slide_pos", F.regexp_extract("element", _SLIDE, 1).cast("int"))
+    return flat_table(t, record, "slides", {"key": "key", "layout": "layout", "screen_label": "screen_label"}, ["slide_pos"]).drop("holder", "element")

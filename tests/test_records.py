@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliolake.operators import packed, shred
 from foliolake.operators.intervals import BUCKET, coverage
@@ -108,6 +109,16 @@ DECK = {
 }
 
 
+def test_groups_by_repeated_ancestor(spark):
+    docs = [(1, '{"id": 7, "a": [{"x": 1, "b": [{"y": "p"}, {"y": null, "c": {"z": true}}]}, {"x": 2, "b": {"y": "q"}}], "m": [[1, 2], [3]]}', "e"), (2, "[4]", "e"), (3, "{", "e"), (None, "{}", "e"), (4, None, "e")]
+    t = shred.shred(spark.createDataFrame(docs, "record int, doc string, element string"), "record", "doc", lists=("b",))
+    assert rows(shred.groups(t)) == sorted([("", "id", 1), ("a", "x", 2), ("b", "y", 3), ("b", "c/z", 1), ("m", "", 3), ("", "", 1)], key=repr)
+    b = shred.flat_table(t, "record", "b", {"y": "y", "c/z": "z"})
+    got = rows(b.select("record", "element", shred.parent_of(F.col("element")), "y", "z"))
+    assert got == [(1, "a/0/b/0", "a/0", "p", None), (1, "a/0/b/1", "a/0", None, "true"), (1, "a/1/b/0", "a/1", "q", None)]
+    assert rows(shred.flat_table(t, "record", "m", {"": "v"}).select("element", "v")) == [("m/0/0", "1"), ("m/0/1", "2"), ("m/1/0", "3")]
+
+
 def test_deck_items(spark):
     data = [(1, json.dumps(DECK), "x"), (2, json.dumps(DECK)[:-1], "x"), (3, None, "x"), (None, json.dumps(DECK), "x"), (4, "[]", None), (1, json.dumps(DECK), "x")]
     df = spark.createDataFrame(data, "file_id bigint, doc string, layout string")
