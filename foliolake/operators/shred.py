@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, spread
@@ -199,21 +199,22 @@ _HELD = r"(?:\d+/)*(?:(?:cards|body_blocks|columns|children)(?:/\d+)+/)*(?:cards
 _SLIDE = r"^slides/(\d+)(?:/|$)"
 
 
-def deck_tables(df: DataFrame, record: str = "file_id", text: str = "doc") -> dict[str, DataFrame]:
-    """The tables slides (layout, lede), cards (title) and blocks (text) of decks, each with (record, slide_pos), cards and blocks also with
-    the element's path below the slide's data as item_path.
+#: Groups of a deck's paths and the leaves of each that become columns of its table; '' is an element that is itself a text.
+DECK = {"slides": {"layout": "layout", "data/lede": "lede"}, "cards": {"title_zh": "title"}, "body_blocks": {"text": "text", "": "own"}, "children": {"text": "text", "": "own"}}
+
+
+def deck_tables(df: DataFrame, record: str = "file_id", text: str = "doc") -> DataFrame:
+    """(record, slide_pos, holder, element, layout, lede, title, text): the tables of all groups of DECK in one frame, told apart by holder.
 
     Texts are strings only. One object counts as a list of one, a block that is a plain string as its own text; data given as JSON
-    is read. All rows of a slide come together by one shuffle, which the three tables and joins between them share.
+    is read. One frame, as a filter on holder gives a table, while all of them need but one reading of the documents and one shuffle.
     """
     keep = rf"^slides/\d+/(?:layout|data/lede|data/{_HELD}(?:/title_zh|/text)?)$"
-    t = shred(df, record, text, lists=(*HOLDERS, "slides"), embedded=("data",), keep=keep).where("type = 'string'").drop("path", "type")
+    t = shred(df, record, text, lists=(*HOLDERS, "slides"), embedded=("data",), keep=keep).where("type = 'string'")
     t = t.withColumn("slide_pos", F.regexp_extract("element", _SLIDE, 1).cast("int")).repartition(record, "slide_pos")
-    slides = flat_table(t, record, "slides", {"layout": "layout", "data/lede": "lede"}, ["slide_pos"]).drop("holder", "element")
-    path = F.regexp_replace("element", r"^slides/\d+/data/", "").alias("item_path")
-    cards = flat_table(t, record, "cards", {"title_zh": "title"}, ["slide_pos"]).select(record, "slide_pos", path, "title")
-    blocks = flat_table(t, record, ("body_blocks", "children"), {"text": "text", "": "own"}, ["slide_pos"])
-    return {"slides": slides, "cards": cards, "blocks": blocks.select(record, "slide_pos", path, F.coalesce("text", "own").alias("text"))}
+    leaves = {leaf: column for held in DECK.values() for leaf, column in held.items()}
+    flat = flat_table(t, record, DECK, leaves, ["slide_pos"])
+    return flat.withColumn("text", F.coalesce("text", "own")).drop("own")
 
 
 def deck_items(df: DataFrame, record: str = "file_id", text: str = "doc", ledes: bool = False) -> DataFrame:
@@ -223,19 +224,13 @@ def deck_items(df: DataFrame, record: str = "file_id", text: str = "doc", ledes:
     slide_pos), to a parent card, column or block the item_path. Null and blank texts are left out; a layout that is
     missing, null or no string is ''.
     """
-    held = deck_tables(df, record, text)
-    slides = held["slides"].select(record, "slide_pos", "layout")
-    parts = []
-    for kind, name, column in (("card", "cards", "title"), ("block", "blocks", "text")):
-        items = held[name].select(record, "slide_pos", F.lit(kind).alias("kind"), "item_path", F.col(column).alias("item_text"))
-        parts.append(items.join(slides, [record, "slide_pos"], "left"))
-    if ledes:
-        parts.append(held["slides"].select(record, "slide_pos", F.lit("lede").alias("kind"), F.lit("lede").alias("item_path"), F.col("lede").alias("item_text"), "layout"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where(F.col("item_text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
-    return out.select(record, "slide_pos", F.coalesce("layout", F.lit("")).alias("layout"), "kind", "item_path", "item_text")
+    flat = deck_tables(df, record, text)
+    of_slide = F.max(F.when(F.col("holder") == "slides", F.col("layout"))).over(Window.partitionBy(record, "slide_pos"))
+    kind = F.when(F.col("holder") == "slides", "lede").when(F.col("holder") == "cards", "card").otherwise("block")
+    own = F.when(F.col("holder") == "slides", F.col("lede")).when(F.col("holder") == "cards", F.col("title")).otherwise(F.col("text"))
+    path = F.when(F.col("holder") == "slides", "lede").otherwise(F.regexp_replace("element", r"^slides/\d+/data/", ""))
+    items = flat.select(record, "slide_pos", F.coalesce(of_slide, F.lit("")).alias("layout"), kind.alias("kind"), path.alias("item_path"), own.alias("item_text"))
+    return items.where(F.col("item_text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]") & (F.lit(ledes) | (F.col("kind") != "lede")))
 
 
 def deck_slides(df: DataFrame, record: str = "file_id", text: str = "doc") -> DataFrame:
