@@ -1,8 +1,9 @@
 """Template residue, filler and failing-page messages among ordinary texts.
 
 Messages are mined with a prefix tree of fixed depth: masked texts that agree in length and in their first
-tokens share a leaf, and a leaf's message template keeps the tokens that its texts share. Each template is
-classified once and its verdict goes to every text of it. Slots that were left open are detected inside
+tokens share a leaf, and a leaf's message template keeps the tokens that its texts share. Each template gets one
+verdict, by the votes of its messages, and the verdict goes to every text of it: one message that reads like a notice
+doesn't condemn a template, and a message that no pattern knows is found among its like. Slots that were left open are detected inside
 ordinary texts, and filler by words that occur almost only in sentences without function words.
 """
 
@@ -14,12 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup
+from ..operators.skew import digest, lookup
 from ..session import cut, ship, spread
 from .looks import form
 
-#: Depth of the prefix tree below the level of message length, and the share of tokens in which a text must agree with its leaf.
-DEPTH, AGREE = 4, 0.7
+#: Depth of the prefix tree below the level of message length, the share of tokens in which a text must agree with its leaf, and the share of a template's messages that must read like residue.
+DEPTH, AGREE, VOTES = 4, 0.7, 0.5
 #: Fewest words of a sentence that says anything about its words, the weight of the doubt in a word's share of bare sentences, and the mean share from which a passage is filler.
 LEAST, DOUBT, FILLER = 4, 0.5, 0.84
 
@@ -73,8 +74,16 @@ def kind_of(template: str) -> str | None:
     return next((k for k, p in _KINDS.items() if p.search(template)), None)
 
 
+#: A sign or word that every slot has.
+_MAY = re.compile(r"[{<%\[【(〔@_:]|x{2}|某|待|insert", re.IGNORECASE)
+
+
+def _slot(formed: str) -> bool:
+    return _MAY.search(formed) is not None and SLOTS.search(formed) is not None
+
+
 def has_slot(text: str) -> bool:
-    return SLOTS.search(form(text)) is not None
+    return _slot(form(text))
 
 
 def passages(message: str) -> tuple[list[list[str]], list[str], list[str]]:
@@ -90,64 +99,87 @@ def passages(message: str) -> tuple[list[list[str]], list[str], list[str]]:
         for s in sentences:
             if len(s) >= LEAST:
                 (bare if FUNCTION_WORDS.isdisjoint(s) else real).update(s)
-    return [list(x) for x in dict.fromkeys(map(tuple, found)) if len(x) >= LEAST], sorted(real), sorted(bare)
+    # a function word is in no bare sentence, so its share is 0, and a passage with too many of them can't reach FILLER
+    fit = [x for x in dict.fromkeys(map(tuple, found)) if len(x) >= LEAST and sum(w in FUNCTION_WORDS for w in x) <= (1 - FILLER) * len(x)]
+    return [list(x) for x in fit], sorted(real), sorted(bare)
+
+
+_READ = "struct<leaf:bigint,tokens:array<string>,kind:string,passages:array<array<string>>,real:array<string>,bare:array<string>>"
 
 
-_SEEN = "struct<message:string,tokens:array<string>,slot:boolean,passages:array<array<string>>,real:array<string>,bare:array<string>>"
+def templates(messages: DataFrame) -> DataFrame:
+    """(id, template, kind) of messages (id, leaf, tokens, kind): each message's template and the kind that at least VOTES of the template's messages have, else null.
+
+    Only leaves where some message has a kind are mined, as no other template can get one; messages that don't agree with their
+    leaf are their own template.
+    """
+    leaves = messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.count("kind").alias("kinds")).where("kinds > 0").select("leaf", "texts")
+    total = float(messages.count())
+    mined = cut(lookup(messages, leaves, "leaf", "texts", total))
+    total = float(mined.count())
+    cells = mined.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
+    shared = cells.groupBy("leaf", "texts", "pos", "token").agg(F.count(F.lit(1)).alias("n")).where("2 * n >= texts").groupBy("leaf", "texts", "pos").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    constants = shared.groupBy("leaf", F.col("texts").alias("weight")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
+    held = lookup(mined, constants, "leaf", "weight", total)
+    at = F.transform("tokens", lambda t, i: F.col("fixed")[i])
+    agree = F.size(F.filter(F.arrays_zip(F.col("tokens").alias("t"), at.alias("f")), lambda x: x["t"] == x["f"]))
+    # the places that the leaf's messages don't share are open
+    open_ = F.concat_ws(" ", F.transform(at, lambda f: F.coalesce(f, F.lit("<*>"))))
+    own = F.concat_ws(" ", "tokens")
+    held = held.withColumn("template", F.when(agree >= F.size("tokens") * AGREE, open_).otherwise(own)).select("id", "kind", "template", digest("template").alias("key"))
+    votes = held.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
+    judged = votes.groupBy("key").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("verdict"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("found"), F.sum("n").alias("texts"))
+    judged = judged.select("key", "texts", F.when(F.col("found") >= F.col("texts") * VOTES, F.col("verdict")).alias("verdict"))
+    return lookup(held.drop("kind"), judged, "key", "texts", total).select("id", "template", F.col("verdict").alias("kind"))
 
 
 def residue(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, verdict) of the rows whose text is, or contains, residue; verdict is 'slot', 'filler' or a kind of KINDS.
 
-    Null and blank texts have no verdict; repeated rows give repeated rows. Every distinct text is
-    judged once and rows get its verdict by a join that spreads hot texts. Templates and word counts
+    Null and blank texts have no verdict; repeated rows give repeated rows. Rows are read once, every distinct message is
+    judged once, and rows get its verdict by a join that spreads hot messages. Templates and word counts
     are mined over all texts.
     """
     ship(df.sparkSession)
 
-    @F.pandas_udf(_SEEN)
+    @F.pandas_udf("struct<message:string,slot:boolean>")
     def look(texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, tuple[str, bool]] = {}
         rows = []
         for t in texts:
-            formed = form(t)
-            m = _message(formed)
-            rows.append((m, _TOKEN.findall(m), SLOTS.search(formed) is not None, *passages(m)))
-        return pd.DataFrame(rows, columns=["message", "tokens", "slot", "passages", "real", "bare"])
-
-    @F.pandas_udf("string")
-    def classify(templates: pd.Series) -> pd.Series:
-        return templates.map(kind_of)
-
-    rows = df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
-    texts = cut(spread(rows.groupBy("text").agg(F.count(F.lit(1)).alias("held"))).withColumn("s", look("text")).select("text", "held", "s.*"))
-
-    # the prefix tree: leaves by length and first tokens, templates by the tokens that most texts of a leaf share
-    messages = texts.groupBy("message").agg(F.first("tokens").alias("tokens"), *(F.first(c).alias(c) for c in ("passages", "real", "bare")))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    messages = cut(messages.withColumn("leaf", leaf))
-    sizes = messages.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    cells = messages.join(sizes, "leaf").select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
-    shared = cells.groupBy("leaf", "texts", "pos", "token").agg(F.count(F.lit(1)).alias("n")).where("2 * n >= texts").groupBy("leaf", "pos").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    constants = shared.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
-    held = messages.join(constants, "leaf", "left")
-    agree = F.aggregate("kept", F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0))
-    held = held.withColumn("kept", F.transform("tokens", lambda t, i: F.coalesce(F.col("fixed")[i] == t, F.lit(False))))
-    of_leaf = F.col("fixed").isNotNull() & (agree >= F.size("tokens") * AGREE)
-    # a template reads like the message of its leaf that comes first, with what the leaf doesn't share as an open place
-    spaced = F.concat_ws(" ", F.transform("tokens", lambda t, i: F.coalesce(F.col("fixed")[i], F.lit("<*>"))))
-    held = held.withColumn("template", F.when(of_leaf, spaced).otherwise(F.col("message")))
-    templates = held.groupBy("template").agg(F.min("message").alias("example"), F.count(F.lit(1)).alias("texts"))
-    judged = templates.withColumn("kind", classify("example")).where("kind IS NOT NULL").select("template", "kind")
-    notices = held.join(judged, "template").select("message", "kind")
+            seen = known.get(t)
+            if seen is None:
+                formed = form(t)
+                seen = known[t] = _message(formed), _slot(formed)
+            rows.append(seen)
+        return pd.DataFrame(rows, columns=["message", "slot"])
+
+    @F.pandas_udf(_READ)
+    def read(messages: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        rows = []
+        for m in messages:
+            tokens = _TOKEN.findall(m)
+            leaf = xxhash.xxh64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH]])) - (1 << 63)
+            rows.append((leaf, tokens, kind_of(m), *passages(m)))
+        return pd.DataFrame(rows, columns=["leaf", "tokens", "kind", "passages", "real", "bare"])
+
+    filled = df.select(F.struct(*keys).alias("row"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
+    rows = cut(spread(filled).withColumn("s", look("text")).select("row", "s.*").withColumn("id", digest("message")))
+    held = rows.groupBy("id", "message").agg(F.count(F.lit(1)).alias("held"))
+    messages = cut(spread(held).withColumn("r", read("message")).select("id", "held", "r.*"))
+    notices = templates(messages.select("id", "leaf", "tokens", "kind")).where("kind IS NOT NULL").select("id", "kind")
 
     # filler: passages of words that are seldom in a real sentence; one such sentence only lowers a word's share
-    seen = messages.select(F.explode("real").alias("word"), F.lit(False).alias("bare")).unionByName(messages.select(F.explode("bare").alias("word"), F.lit(True).alias("bare")))
-    words = seen.groupBy("word").agg(F.count_if("bare").alias("in_bare"), F.count(F.lit(1)).alias("n"))
+    seen = messages.select(F.explode(F.concat(F.transform("real", lambda w: F.struct(w.alias("word"), F.lit(0).alias("bare"))), F.transform("bare", lambda w: F.struct(w.alias("word"), F.lit(1).alias("bare"))))).alias("w")).select("w.*")
+    words = seen.groupBy("word").agg(F.sum("bare").alias("in_bare"), F.count(F.lit(1)).alias("n"))
     odd = words.where("in_bare > 0").select("word", (F.col("in_bare") / (F.col("n") + DOUBT)).alias("share"))
-    each = messages.select("message", F.posexplode("passages").alias("at", "words")).select("message", "at", F.size("words").alias("n"), F.explode("words").alias("word"))
-    filler = each.join(odd, "word").groupBy("message", "at", "n").agg(F.sum("share").alias("sum")).where(F.col("sum") >= FILLER * F.col("n")).select("message", F.lit("filler").alias("kind"))
-
-    kinds = notices.unionByName(filler).groupBy("message").agg(F.min("kind").alias("kind"))
-    verdicts = texts.join(kinds, "message", "left").withColumn("verdict", F.coalesce("kind", F.when(F.col("slot"), F.lit("slot")))).where("verdict IS NOT NULL").select("text", "held", "verdict")
-    total = float(texts.agg(F.sum("held")).collect()[0][0] or 1)
-    return lookup(rows, verdicts, "text", "held", total).select(*keys, "verdict")
+    each = messages.select("id", F.posexplode("passages").alias("at", "words")).select("id", "at", F.size("words").alias("n"), F.explode("words").alias("word"))
+    filler = each.join(odd, "word").groupBy("id", "at", "n").agg(F.sum("share").alias("sum")).where(F.col("sum") >= FILLER * F.col("n")).select("id", F.lit("filler").alias("kind"))
+
+    kinds = cut(notices.unionByName(filler).groupBy("id").agg(F.min("kind").alias("verdict")).join(messages.select("id", "held"), "id"))
+    total = float(rows.count())
+    found = lookup(rows.drop("message"), kinds, "id", "held", total).select("row", F.col("verdict").alias("_verdict"))
+    slots = rows.where("slot").join(kinds.select("id"), "id", "left_anti").select("row", F.lit("slot").alias("_verdict"))
+    return found.unionByName(slots).select(*[F.col("row").getField(k).alias(k) for k in keys], F.col("_verdict").alias("verdict"))

@@ -80,6 +80,15 @@ def test_residue(spark):
     assert rows(residue.residue(df.limit(0), ["id"], "text")) == []
 
 
+def test_templates_vote(spark):
+    # variants that no pattern knows are found among their like; one message that a pattern hits doesn't condemn a genuine template
+    notices = [f"the deck viewer reports a problem with {x}: access denied" for x in ("alpha", "beta", "gamma", "delta")] + ["the deck viewer reports a problem with omega: access refused"]
+    genuine = [f"the store team writes its own plan about {x}" for x in ("alpha", "beta", "gamma", "delta")] + ["the store team writes its own plan about loading..."]
+    assert residue.kind_of(residue.message(notices[4])) is None
+    df = spark.createDataFrame(list(enumerate([*notices, *genuine, "access denied"])), "id int, text string")
+    assert rows(residue.residue(df, ["id"], "text")) == sorted([*((i, "access") for i in range(5)), (10, "access")], key=repr)
+
+
 def test_filler_beside_contaminating_rows(spark):
     filler = ["velum", "torquis", "ovexi", "parlum", "sintor", "calpus"]
     rng = random.Random(2)
