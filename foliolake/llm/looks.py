@@ -14,10 +14,12 @@ import unicodedata
 from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import digest, lookup
 from ..session import cut, ship, spread
+from .setjoin import named
 
 #: Greek and Cyrillic letters and the Latin letters that they look like.
 LOOK_ALIKES = {
@@ -148,24 +150,31 @@ def with_form(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(rewrite(F.when(c.rlike(quick_check()), c)), c))
 
 
-def same_look_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id_a, id_b, field), id_a < id_b: rows whose texts in a field have one form but are stored differently.
+def same_look(df: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(variants, links, membership) of texts that have one form but are stored differently, each field by itself.
 
-    Null texts, and those without a visible sign, are in no pair; repeated rows count once. Distinct
-    stored texts are compared first, so equal texts, however many rows hold them, are never paired.
+    variants is (set_id, copies, field) with one row for each stored text that has such a partner in its field, links (set_a,
+    set_b) all pairs of them, membership (set_id, record) the rows that hold them. Null texts, and those without a
+    visible sign, have no partner; repeated rows count once. Texts are compared by 128-bit digests and never shuffled.
     """
-    long = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored")) for f in fields])).alias("t")).select("key", "t.*")
-    long = long.where("key IS NOT NULL AND stored IS NOT NULL").distinct()
-    texts = spread(long.select("field", "stored").distinct())
-    formed = with_form(texts, "stored", "form").where(F.col("form").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
-    several = formed.groupBy("field", "form").agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least <> most").select("field", "form")
-    variants = cut(formed.join(several, ["field", "form"]))
-    a = variants.select("field", "form", F.col("stored").alias("stored_a"))
-    b = variants.select("field", "form", F.col("stored").alias("stored_b"))
-    pairs = a.join(b, ["field", "form"]).where("stored_a < stored_b").drop("form")
-    held = long.join(variants.select("field", "stored"), ["field", "stored"])
-    one = held.select("field", F.col("stored").alias("stored_a"), F.col("key").alias("one"))
-    two = held.select("field", F.col("stored").alias("stored_b"), F.col("key").alias("two"))
-    out = pairs.join(one, ["field", "stored_a"]).join(two, ["field", "stored_b"]).where("one <> two")
-    least: Column = F.least("one", "two")
-    return out.select(least.alias("id_a"), F.greatest("one", "two").alias("id_b"), "field").distinct()
+    long = df.select(F.col(key).alias("record"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored")) for f in fields])).alias("t")).select("record", "t.*")
+    formed = with_form(spread(long.where("record IS NOT NULL AND stored IS NOT NULL")), "stored", "form").where(F.col("form").rlike(r"(?U)[^\s\p{Z}\p{Cc}]"))
+    rows = cut(formed.select("record", "field", digest("field", "stored").alias("set_id"), digest("field", "form").alias("class")).distinct())
+    ends = [f(F.col(f"set_id.{c}")).alias(f"{n}_{c}") for c in ("hi", "lo") for n, f in (("least", F.min), ("most", F.max))]
+    several = rows.groupBy("class").agg(F.count(F.lit(1)).alias("held"), *ends).where("least_hi <> most_hi OR least_lo <> most_lo").select("class", "held")
+    # a class may hold a third of all rows: its rows are found by the skew-proof lookup
+    total = float(rows.count())
+    members = cut(lookup(rows, several, "class", "held", total).select("record", "field", "set_id", "class"))
+    variants = members.groupBy("set_id", "class", "field").agg(F.count(F.lit(1)).alias("copies"))
+    a = variants.select("class", F.col("set_id").alias("set_a"))
+    b = variants.select("class", F.col("set_id").alias("set_b"))
+    links = a.join(b, "class").where("set_a < set_b").select("set_a", "set_b")
+    return variants.select("set_id", "copies", "field"), links, members.select("set_id", "record")
+
+
+def same_look_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(id_a, id_b, field), id_a < id_b: rows whose texts in a field have one form but are stored differently, where a result has to name every pair."""
+    variants, links, membership = same_look(df, key, fields)
+    pairs = named(links, membership, variants)
+    pairs = pairs.join(variants.select(F.col("set_id").alias("set_a"), "field"), "set_a").where("one <> two")
+    return pairs.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"), "field").distinct()

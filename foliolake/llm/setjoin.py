@@ -171,13 +171,17 @@ def similar_records(df: DataFrame, record: str, member: str, threshold: float, l
     return classes.select("set_id", "n", "copies"), links, records.select("set_id", "record")
 
 
-def expanded(classes: DataFrame, links: DataFrame, membership: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of records of linked classes and of one class, where a result has to name them all."""
+def named(links: DataFrame, membership: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set_a, set_b, one, two): the records of both ends of each link; the records of a class with many copies are dealt out."""
     weights = classes.select("set_id", F.col("copies").alias("weight"))
     total = float(classes.agg(F.sum("copies")).collect()[0][0] or 1)
+    one = salted_join(membership.withColumnsRenamed({"set_id": "set_a", "record": "one"}), links, "set_a", weights.withColumnRenamed("set_id", "set_a"), total)
+    return salted_join(membership.withColumnsRenamed({"set_id": "set_b", "record": "two"}), one, "set_b", weights.withColumnRenamed("set_id", "set_b"), total)
+
+
+def expanded(classes: DataFrame, links: DataFrame, membership: DataFrame) -> DataFrame:
+    """(a, b), a < b: every pair of records of linked classes and of one class, where a result has to name them all."""
     several = classes.where("copies > 1").select(F.col("set_id").alias("set_a"), F.col("set_id").alias("set_b"))
-    pairs = links.unionByName(several)
-    one = salted_join(membership.withColumnsRenamed({"set_id": "set_a", "record": "one"}), pairs, "set_a", weights.withColumnRenamed("set_id", "set_a"), total)
-    both = salted_join(membership.withColumnsRenamed({"set_id": "set_b", "record": "two"}), one, "set_b", weights.withColumnRenamed("set_id", "set_b"), total)
+    both = named(links.unionByName(several), membership, classes)
     both = both.where((F.col("one") < F.col("two")) | ((F.col("set_a") != F.col("set_b")) & (F.col("one") != F.col("two"))))
     return both.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
