@@ -27,7 +27,8 @@ BYTE_BPE = "byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text into pieces before any merge.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_CACHED = 200_000
+#: Bounds of what a worker remembers: pieces with their ids, and pairs of tokens.
+_CACHED, _PAIRS = 200_000, 1_000_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -78,6 +79,8 @@ class Encoder:
         pair = (left, right)
         known = self.compatible.get(pair)
         if known is None:
+            if len(self.compatible) >= _PAIRS:
+                self.compatible.clear()
             known = self.compatible[pair] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 

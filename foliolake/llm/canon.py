@@ -24,6 +24,8 @@ LEAST = 0.4
 #: Share of the members of an entry's own part (what it doesn't share with other entries of its axis)
 #: that a match must contain: a word of an alphabet survives a slip or two, of two signs one may differ.
 OWN_WORD, OWN_SIGNS = 0.74, 0.3
+#: Bound of the reference list, one row for each name; a longer list is refused, as it comes to the driver and to every task.
+MOST_NAMES = 100_000
 #: Or: a word whose edit distance to it is at most this share of its length.
 OWN_EDITS = 0.4
 
@@ -74,7 +76,7 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
     """(key, axis, entry): the entry of its axis meant by each filled value that is no canonical value letter for letter; 0 if none is.
 
     `entries` is the reference list (entry, axis, name, canonical), one row for each name of an entry,
-    canonical true for the value that needs no mapping. It is a list kept by hand, of a fixed size, and is
+    canonical true for the value that needs no mapping. It is a list kept by hand, of at most MOST_NAMES names, and is
     the only thing that comes to the driver. Null and blank values and a null key or axis have no row; repeated rows count once; of
     entries that are equally similar the smallest counts. Values are mapped once each, however many rows
     hold them; rows get theirs by a join that spreads hot values.
@@ -83,7 +85,9 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
     ship(spark)
     long = rows.select(F.col(key).alias("key"), F.col(axis).alias("axis"), F.col(value).alias("value")).where("key IS NOT NULL AND axis IS NOT NULL")
     long = long.where(F.col("value").rlike(r"(?U)[^\s\p{Z}\p{Cc}]")).distinct()
-    names = entries.where("name IS NOT NULL AND axis IS NOT NULL").collect()
+    names = entries.where("name IS NOT NULL AND axis IS NOT NULL").take(MOST_NAMES + 1)
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"the reference list has more than {MOST_NAMES} names")
     exact = spark.createDataFrame([(r.axis, r.name) for r in names if r.canonical], "axis string, value string")
     long = long.join(exact, ["axis", "value"], "left_anti").withColumn("typed", F.concat_ws("\x1f", "axis", "value"))
     values = cut(long.groupBy("typed", "axis", "value").agg(F.count(F.lit(1)).alias("held")))
