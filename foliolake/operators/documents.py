@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -107,67 +107,119 @@ def picks(text: str, n: int) -> list[int]:
     return out
 
 
+#: A check of one value at a path: all it finds broken, as (path, rule).
+Check = Callable[[object, str], list[tuple[str, str]]]
+
+_KINDS: dict[str, Callable[[object], bool]] = {
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+    "string": lambda v: isinstance(v, str),
+    "null": lambda v: v is None,
+    "boolean": lambda v: isinstance(v, bool),
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+}
+#: Keywords that look at a value alone: the kind of value they speak about, and what holds for value and operand.
+_PREDICATES: dict[str, tuple[str | None, Callable]] = {
+    "const": (None, lambda v, x: v == x),
+    "enum": (None, lambda v, x: v in x),
+    "minLength": ("string", lambda v, x: len(v) >= x),
+    "pattern": ("string", lambda v, x: re.search(x, v) is not None),
+    "minimum": ("number", lambda v, x: v >= x),
+    "maximum": ("number", lambda v, x: v <= x),
+    "minItems": ("array", lambda v, x: len(v) >= x),
+    "maxItems": ("array", lambda v, x: len(v) <= x),
+    "uniqueItems": ("array", lambda v, x: not x or len({json.dumps(i, sort_keys=True) for i in v}) == len(v)),
+}
+
+
 class Schema:
-    """Checker of the JSON-Schema subset: local $ref, type, const, enum, minLength, pattern, minimum, maximum, required, properties,
-    additionalProperties, minItems, maxItems, uniqueItems, items, allOf, oneOf, if/then/else."""
+    """Checker of a JSON-Schema subset: local $ref, type, const, enum, minLength, pattern, minimum, maximum, required, properties,
+    additionalProperties, minItems, maxItems, uniqueItems, items, allOf, oneOf, if/then/else.
 
-    _TYPES = {"object": dict, "array": list, "string": str, "null": type(None), "boolean": bool}
+    A schema is compiled once to a list of checks, one for each keyword; references are compiled when they are first met, so they may be recursive.
+    """
 
     def __init__(self, schema: dict):
-        self.root = schema
-
-    def _is(self, value: object, kind: str) -> bool:
-        if kind == "integer":
-            return isinstance(value, int) and not isinstance(value, bool)
-        if kind == "number":
-            return isinstance(value, (int, float)) and not isinstance(value, bool)
-        return isinstance(value, self._TYPES[kind])
-
-    def check(self, value: object, schema: dict | None = None, path: str = "$") -> list[tuple[str, str]]:
-        """(path, rule) of everything broken, in the order of the document; a wrong type hides what is below it."""
-        s = self.root if schema is None else schema
-        if not isinstance(s, dict):
-            return []
-        if "$ref" in s:
-            s = self.root["$defs"][s["$ref"].rsplit("/", 1)[-1]]
-        kinds = s.get("type")
-        if kinds and not any(self._is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-            return [(path, "type")]
-        bad: list[tuple[str, str]] = []
-        if "const" in s and value != s["const"]:
-            bad.append((path, "const"))
-        if "enum" in s and value not in s["enum"]:
-            bad.append((path, "enum"))
-        if isinstance(value, str):
-            bad += [(path, r) for r, broken in (("minLength", len(value) < s.get("minLength", 0)), ("pattern", "pattern" in s and not re.search(s["pattern"], value))) if broken]
-        elif self._is(value, "number"):
-            bad += [(path, r) for r, broken in (("minimum", value < s.get("minimum", value)), ("maximum", value > s.get("maximum", value))) if broken]
-        elif isinstance(value, dict):
-            props = s.get("properties", {})
-            bad += [(f"{path}.{k}", "required") for k in s.get("required", []) if k not in value]
-            for k, v in value.items():
-                if k in props:
-                    bad += self.check(v, props[k], f"{path}.{k}")
-                elif props and s.get("additionalProperties") is False:
-                    bad.append((f"{path}.{k}", "additionalProperties"))
-        elif isinstance(value, list):
-            n = len(value)
-            bad += [(path, r) for r, broken in (("minItems", n < s.get("minItems", 0)), ("maxItems", n > s.get("maxItems", n)), ("uniqueItems", s.get("uniqueItems") and any(v in value[:i] for i, v in enumerate(value)))) if broken]
-            for i, v in enumerate(value):
-                bad += self.check(v, s.get("items"), f"{path}[{i}]") if "items" in s else []
-        for part in s.get("allOf", []):
-            bad += self.check(value, part, path)
-        if "oneOf" in s:
-            tries = [self.check(value, part, path) for part in s["oneOf"]]
-            fits = sum(not t for t in tries)
-            if fits != 1:
-                bad.append((path, "oneOf"))
-            if not fits:
-                bad += min(tries, key=len)[:5]
-        if "if" in s:
-            branch = s.get("else") if self.check(value, s["if"], path) else s.get("then")
-            bad += self.check(value, branch, path) if branch else []
-        return bad
+        self.defs = schema.get("$defs", {})
+        self.known: dict[str, Check] = {}
+        self.checks = self.compiled(schema)
+
+    def check(self, value: object) -> list[tuple[str, str]]:
+        """(path, rule) of everything broken, sorted and each once; a wrong type hides what else is said about that value."""
+        return sorted(set(self.checks(value, "$")))
+
+    def compiled(self, schema: object) -> Check:
+        if not isinstance(schema, dict):
+            return lambda value, path: []
+        if "$ref" in schema:
+            return self._reference(schema["$ref"].rpartition("/")[2])
+        checks = [self._predicate(k, schema[k]) for k in _PREDICATES if k in schema]
+        checks += [make(self, schema) for k, make in _NESTED.items() if k in schema]
+        kinds = schema.get("type")
+        tests = [_KINDS[k] for k in ([kinds] if isinstance(kinds, str) else kinds or [])]
+
+        def run(value: object, path: str) -> list[tuple[str, str]]:
+            if tests and not any(t(value) for t in tests):
+                return [(path, "type")]
+            return [x for c in checks for x in c(value, path)]
+
+        return run
+
+    def _reference(self, name: str) -> Check:
+        def run(value: object, path: str) -> list[tuple[str, str]]:
+            if name not in self.known:
+                self.known[name] = self.compiled(self.defs[name])
+            return self.known[name](value, path)
+
+        return run
+
+    @staticmethod
+    def _predicate(rule: str, operand: object) -> Check:
+        kind, holds = _PREDICATES[rule]
+        speaks = _KINDS[kind] if kind else lambda value: True
+        return lambda value, path: [(path, rule)] if speaks(value) and not holds(value, operand) else []
+
+    def _required(self, schema: dict) -> Check:
+        return lambda value, path: [(f"{path}.{k}", "required") for k in schema["required"] if k not in value] if isinstance(value, dict) else []
+
+    def _properties(self, schema: dict) -> Check:
+        parts = {k: self.compiled(v) for k, v in schema["properties"].items()}
+        closed = schema.get("additionalProperties") is False
+
+        def run(value: object, path: str) -> list[tuple[str, str]]:
+            if not isinstance(value, dict):
+                return []
+            found = [x for k in parts.keys() & value.keys() for x in parts[k](value[k], f"{path}.{k}")]
+            return found + [(f"{path}.{k}", "additionalProperties") for k in value.keys() - parts.keys() if closed]
+
+        return run
+
+    def _items(self, schema: dict) -> Check:
+        part = self.compiled(schema["items"])
+        return lambda value, path: [x for i, v in enumerate(value) for x in part(v, f"{path}[{i}]")] if isinstance(value, list) else []
+
+    def _all(self, schema: dict) -> Check:
+        parts = [self.compiled(x) for x in schema["allOf"]]
+        return lambda value, path: [x for p in parts for x in p(value, path)]
+
+    def _one(self, schema: dict) -> Check:
+        parts = [self.compiled(x) for x in schema["oneOf"]]
+
+        def run(value: object, path: str) -> list[tuple[str, str]]:
+            tried = [p(value, path) for p in parts]
+            fits = tried.count([])
+            # where none fits, the nearest branch says why
+            return [] if fits == 1 else [(path, "oneOf"), *(min(tried, key=len) if not fits else [])]
+
+        return run
+
+    def _if(self, schema: dict) -> Check:
+        asked, then, other = (self.compiled(schema.get(k)) for k in ("if", "then", "else"))
+        return lambda value, path: (other if asked(value, path) else then)(value, path)
+
+
+_NESTED = {"required": Schema._required, "properties": Schema._properties, "items": Schema._items, "allOf": Schema._all, "oneOf": Schema._one, "if": Schema._if}
 
 
 def violations(df: DataFrame, key: str, doc: str, schema: dict) -> DataFrame:
@@ -189,7 +241,24 @@ def violations(df: DataFrame, key: str, doc: str, schema: dict) -> DataFrame:
 
 def gate(found: DataFrame, rules: DataFrame, key: str, strict: bool = False) -> DataFrame:
     """(key, family, errors, warnings, locations) of violations (key, path, rule) whose rule the dictionary (rule, family, severity) knows, and
-    of the others under the family 'uncategorized' as warnings; `strict` makes warnings errors; locations are the first ten paths."""
+    of the others under the family 'uncategorized' as warnings; `strict` makes warnings errors; locations are the first ten paths, kept
+    as the least ten while paths are counted, so no group is collected."""
     known = found.join(rules, "rule", "left").withColumn("family", F.coalesce("family", F.lit("uncategorized")))
     error = F.lit(True) if strict else F.coalesce(F.col("severity") == "error", F.lit(False))
-    return known.groupBy(key, "family").agg(F.count_if(error).alias("errors"), F.count_if(~error).alias("warnings"), F.array_join(F.slice(F.array_sort(F.collect_list("path")), 1, 10), ",").alias("locations"))
+    paths = known.groupBy(key, "family", "path").agg(F.count_if(error).alias("e"), F.count_if(~error).alias("w"))
+    nth = paths.withColumn("nth", F.row_number().over(Window.partitionBy(key, "family").orderBy("path")))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= 10, F.col("path")))), lambda p: p), ",")
+    return nth.groupBy(key, "family").agg(F.sum("e").alias("errors"), F.sum("w").alias("warnings"), first.alias("locations"))
+
+
+def by_code(found: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """(rule, family, severity, documents, violations) over all documents: the tally of the codes that the dictionary knows, and whether it lets them pass."""
+    known = found.join(rules, "rule")
+    severity = F.lit("error") if strict else F.col("severity")
+    return known.groupBy("rule", "family", severity.alias("severity")).agg(F.count_distinct(found.columns[0]).alias("documents"), F.count(F.lit(1)).alias("violations"))
+
+
+def passes(found: DataFrame, rules: DataFrame, documents: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """(key, passed): a document passes if no rule that the dictionary knows as an error is broken in it; with `strict`, no known rule at all."""
+    bad = found.join(rules.where(F.lit(strict) | (F.col("severity") == "error")).select("rule"), "rule", "left_semi").select(key).distinct().withColumn("_bad", F.lit(True))
+    return documents.select(key).where(F.col(key).isNotNull()).distinct().join(bad, key, "left").select(key, F.col("_bad").isNull().alias("passed"))

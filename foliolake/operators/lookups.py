@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def scoped_then_global(requests: DataFrame, candidates: DataFrame, key: str, scope: str, name: str, value: str) -> DataFrame:
     """(key, value): for each request (key, scope, name) the least value of its own scope's candidates of that name, else of any scope's, else null."""
@@ -42,16 +44,33 @@ def best_file(requests: DataFrame, candidates: DataFrame, key: str, name: str, p
 
 
 def summed_chain(nodes: DataFrame, key: str, parent: str, columns: Sequence[str], depth: int = 16) -> DataFrame:
-    """Each node's columns plus those of its ancestors, `depth` of them at least and twice that at most, so cycles end. Pointers double each round."""
+    """Each node's columns plus those of its ancestors, `depth` of them at least and twice that at most, so cycles end. Pointers double each
+    round, and each round is cut, so that the next joins two tables and not two plans."""
     up = nodes.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(parent).alias("_up"))
     reach = 1
     while reach <= depth:
         p = up.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns], F.col("_up").alias("_next"))
-        up = up.join(p, F.col("_up") == F.col("_k"), "left").select(key, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns], F.col("_next").alias("_up"))
+        up = cut(up.join(p, F.col("_up") == F.col("_k"), "left").select(key, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in columns], F.col("_next").alias("_up")))
         reach *= 2
     return up.select(key, *columns)
 
 
+def reachable(links: DataFrame, starts: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(start, node): everything below each start by links (parent, child), whatever the depth; a start is below itself only by a cycle.
+
+    One level a round, each cut, until a round finds nothing new; a node met before isn't followed again, so cycles end.
+    """
+    edges = cut(links.select(F.col(parent).alias("_p"), F.col(child).alias("_c")).where("_p IS NOT NULL AND _c IS NOT NULL").distinct())
+    front = starts.select(F.col(starts.columns[0]).alias("start")).where("start IS NOT NULL").distinct().withColumn("node", F.col("start"))
+    met = None
+    while True:
+        found = front.join(edges, F.col("node") == F.col("_p")).select("start", F.col("_c").alias("node")).distinct()
+        front = cut(found if met is None else found.join(met, ["start", "node"], "left_anti"))
+        met = front if met is None else cut(met.unionByName(front))
+        if front.isEmpty():
+            return met
+
+
 def path_of_text_id(c: Column, arrays: Mapping[str, str], leaves: Mapping[str, str] | None = None) -> Column:
     """The document path of a text id like 'slide-03.card-2.title': 'data.' and its parts, where a part 'name-N' of a name in `arrays` is the
     array's name and the 0-based place; a last part named in `leaves` (by 'array.part', or 'array' for an id that ends on the place) is renamed
@@ -71,16 +90,26 @@ def path_of_text_id(c: Column, arrays: Mapping[str, str], leaves: Mapping[str, s
     return out
 
 
-def violation_place(c: Column, whole: str = "(whole deck)") -> Column:
-    """Where a rule message points: its count of slides and their indices, or its slide and label, then a font size and the first quoted selector."""
-    count = F.nullif(F.regexp_extract(c, r"(\d+)\s+slide\(s\)", 1), F.lit(""))
-    indices = F.nullif(F.regexp_replace(F.regexp_extract(c, r"slide indices?:\s*([0-9,\s…]+)", 1), r"[,\s]+$", ""), F.lit(""))
-    many = F.when(count.isNotNull(), F.concat(count, F.lit(" slides"), F.coalesce(F.concat(F.lit(" ("), indices, F.lit(")")), F.lit(""))))
-    single = F.when(count.isNull(), F.nullif(F.regexp_extract(c, r"(slide \d+(?:\s*\([^)]+\))?)", 1), F.lit("")))
-    size = F.nullif(F.regexp_extract(c, r"font-size (\d+(?:\.\d+)?px)", 1), F.lit(""))
-    selector = F.when(count.isNull(), F.nullif(F.regexp_extract(c, r"(`[^`\n<>\"']{1,100}`)", 1), F.lit("")))
-    found = F.concat_ws(" · ", many, single, size, selector)
-    return F.when(found == "", whole).otherwise(found)
+#: How rule messages name places.
+ONE_SLIDE, MANY_SLIDES, INDICES, FONT_SIZE = r"\bslide (\d+)", r"(\d+)\s+slide\(s\)", r"slide (?:index|indices):\s*([\d,\s]+)", r"font-size (\d+(?:\.\d+)?)px"
+
+
+def message_places(c: Column) -> Column:
+    """struct(slides, label, count, px, selectors): the places that a rule message names, each null or empty where it names none.
+
+    slides are the indices of the slide or slides spoken of, label is what stands in brackets behind a single one, count the number of slides of a message about several, px
+    a font size, selectors all code in backticks that isn't markup.
+    """
+    def number(pattern: str, kind: str) -> Column:
+        return F.regexp_extract(c, pattern, 1).try_cast(kind)
+
+    count = number(MANY_SLIDES, "int")
+    listed = F.transform(F.regexp_extract_all(F.regexp_extract(c, INDICES, 1), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    single = F.when(count.isNull() & number(ONE_SLIDE, "int").isNotNull(), F.array(number(ONE_SLIDE, "int")))
+    label = F.when(count.isNull(), F.nullif(F.regexp_extract(c, ONE_SLIDE + r"\s*\(([^)]+)\)", 2), F.lit("")))
+    quoted = F.regexp_extract_all(c, F.lit("`([^`\n]+)`"), F.lit(1))
+    selectors = F.filter(quoted, lambda q: ~q.rlike("[<>\"']"))
+    return F.struct(F.coalesce(single, listed).alias("slides"), label.alias("label"), count.alias("count"), number(FONT_SIZE, "double").alias("px"), selectors.alias("selectors"))
 
 
 def override_target(file_name: Column) -> Column:

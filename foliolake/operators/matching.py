@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, overlap
-from ..session import ship, spread
+from ..session import cut, ship, spread
 
 #: Pages of a query set that meet the library in one pass; more pages are more passes.
 BLOCK = 5000
@@ -35,9 +35,12 @@ def token_pairs(pages: DataFrame, library: DataFrame, least_jaccard: float = 0.2
         return long.withColumn("rare", rank <= rare).select(key, F.col("n").alias(f"n_{key}"), "t", F.col("rare").alias(f"rare_{key}"))
 
     turn = min(1.0, least_jaccard / least_overlap)
-    left, right = posted(a, "page", min(least_jaccard, least_overlap)), posted(b, "slide", least_overlap)
+    left, right = cut(posted(a, "page", min(least_jaccard, least_overlap))), cut(posted(b, "slide", least_overlap))
     far = F.col("n_slide") >= F.col("n_page") * turn - 1e-9
-    met = left.join(right, "t").where((far & F.col("rare_page")) | (~far & F.col("rare_slide"))).select("page", "slide").distinct()
+    # only rare postings of the side whose prefix decides are joined, so no frequent token brings all pages and slides together
+    by_page = left.where("rare_page").join(right, "t").where(far)
+    by_slide = left.join(right.where("rare_slide"), "t").where(~far)
+    met = by_page.select("page", "slide").unionByName(by_slide.select("page", "slide")).distinct()
     both = met.join(a.select("page", F.col("tokens").alias("ta")), "page").join(b.select("slide", F.col("tokens").alias("tb")), "slide")
     scored = both.select("page", "slide", jaccard("ta", "tb").alias("jaccard"), overlap("ta", "tb").alias("overlap"))
     return scored.where((F.col("jaccard") >= least_jaccard - 1e-12) | (F.col("overlap") >= least_overlap - 1e-12))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import members, orphans
@@ -31,9 +31,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str, refresh: Sequence[str], pre
     return joined.select(*[F.coalesce(F.col(f"o.{key}"), F.col(f"n.{key}")).alias(key) if c == key else taken(c) for c in old.columns])
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Old rows and those new ones whose key isn't there yet; of several new rows with one key the first by `order`."""
-    fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.col(order)).alias("r")).select("r.*") if order else new.dropDuplicates(list(keys))
+def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Old rows and those new ones whose key isn't there yet; of several new rows with one key the first by `order`, ties to the least row."""
+    fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.struct(order, *new.columns)).alias("r")).select("r.*")
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
     condition = same[0]
     for s in same[1:]:
@@ -41,18 +41,94 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: st
     return old.unionByName(fresh.alias("f").join(old.select(*keys).alias("k"), condition, "left_anti"))
 
 
-def update_given(old: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], empty_is_null: bool = False) -> DataFrame:
+def update_given(old: DataFrame, changes: DataFrame, key: str | Sequence[str], columns: Sequence[str], empty_is_null: bool = False, only: Column | None = None) -> DataFrame:
     """Old rows with the columns of `changes` written in; a null there changes nothing, unless `empty_is_null`: then every listed column of a
-    changed row is written, the empty text as null, as a table edited by hand comes back."""
-    c = changes.select(F.col(key).alias("_k"), *[F.col(x).alias(f"_{x}") for x in columns]).where("_k IS NOT NULL")
-    joined = old.join(c, F.col(key) == F.col("_k"), "left")
+    changed row is written, the empty text as null, as a table edited by hand comes back. The key may be several columns; `only` is a
+    condition on the rows of `changes` that count. Keys of `changes` are unique; rows with a null in the key change nothing."""
+    keys = [key] if isinstance(key, str) else list(key)
+    kept = changes if only is None else changes.where(only)
+    c = kept.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(x).alias(f"_{x}") for x in columns])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    joined = old.join(c, same, "left")
     def value(x: str) -> Column:
         if empty_is_null:
-            return F.when(F.col("_k").isNotNull(), F.nullif(F.col(f"_{x}"), F.lit(""))).otherwise(F.col(x))
+            return F.when(F.col("_k0").isNotNull(), F.nullif(F.col(f"_{x}"), F.lit(""))).otherwise(F.col(x))
         return F.coalesce(F.col(f"_{x}"), F.col(x))
     return joined.select(*[value(x).alias(x) if x in columns else F.col(x) for x in old.columns])
 
 
+def unmatched(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of `changes` that no row of old has, so that an update would not find them; a null key is one."""
+    return changes.select(*keys).distinct().join(old.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def with_source(rows: DataFrame, source: DataFrame, key: str, source_key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows with columns of the source row that `key` names, as source_*; nulls where there is none. Source keys are unique."""
+    s = source.select(F.col(source_key).alias("_s"), *[F.col(c).alias(f"source_{c}") for c in columns])
+    return rows.join(s, F.col(key) == F.col("_s"), "left").drop("_s")
+
+
+def copy_tags(rows: DataFrame, source: DataFrame, mapping: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """Rows with tags copied from the source rows that mapping (key, source) names; a source without a title gives nothing, a null tag changes nothing."""
+    given = mapping.join(source.select(F.col(key).alias("source"), "title", *columns), "source").where("title IS NOT NULL").select(key, *columns)
+    return update_given(rows, given, key, columns)
+
+
+def create_rows(old: DataFrame, new: DataFrame, key: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """(table, answers) of rows to create: answers (key, status) is 409 for a key that is there already or comes twice, 400 for a null key or a start behind
+    its end, else 201; the table has old rows and the created ones."""
+    there = old.select(F.col(key).alias("_k")).distinct()
+    n = new.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    n = n.join(there, F.col(key) == F.col("_k"), "left")
+    bad = F.col(key).isNull() | F.coalesce(F.col(start) > F.col(end), F.lit(False))
+    n = n.withColumn("_status", F.when(bad, 400).when(F.col("_k").isNotNull() | (F.col("_times") > 1), 409).otherwise(201))
+    return old.unionByName(n.where("_status = 201").select(*old.columns)), n.select(key, F.col("_status").alias("status"))
+
+
+def delete_rows(old: DataFrame, doomed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(table, answers): old rows without the doomed keys; answers (key, status) is 200 for a key that was there, else 404."""
+    keys = doomed.select(key).distinct()
+    there = old.select(F.col(key).alias("_k")).distinct()
+    answers = keys.join(there, F.col(key) == F.col("_k"), "left").select(key, F.when(F.col("_k").isNotNull(), 200).otherwise(404).alias("status"))
+    return old.join(keys, key, "left_anti").select(*old.columns), answers
+
+
+def enqueue(requests: DataFrame, kind: str, payload: Sequence[str], at: Column, key: str = "request") -> DataFrame:
+    """(task, kind, payload, status, at) events for requests: the payload is JSON of the columns named, nulls kept, and the task's id is
+    made from request, kind and payload, so that the same request enqueued again is the same task."""
+    text = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    rows = requests.withColumn("_p", text)
+    task = F.substring(F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.lit(kind), "_p"), 256), 1, 16)
+    return rows.select(task.alias("task"), F.lit(kind).alias("kind"), F.col("_p").alias("payload"), F.lit("queued").alias("status"), at.alias("at"))
+
+
+def request_faults(requests: DataFrame, slides: DataFrame) -> DataFrame:
+    """(request, fault) of what is wrong with requests (request, deck_id, op, page) to change decks whose pages slides (deck_id, page_no) has:
+    'no deck', 'no page' beyond the last page (one more for an insert) or below 1, 'cover' for a deletion of page 1, 'all' for deletions of every page of a deck."""
+    decks = slides.groupBy("deck_id").agg(F.max("page_no").alias("pages"), F.count_distinct("page_no").alias("held"))
+    r = requests.join(decks, "deck_id", "left")
+    most = F.col("pages") + F.when(F.col("op") == "insert", 1).otherwise(0)
+    fault = F.when(F.col("pages").isNull(), "no deck").when(F.col("page").isNull() | (F.col("page") < 1) | (F.col("page") > most), "no page").when((F.col("op") == "delete") & (F.col("page") == 1), "cover")
+    single = r.select("request", fault.alias("fault")).where("fault IS NOT NULL")
+    doomed = r.where("op = 'delete' AND page BETWEEN 1 AND pages").groupBy("deck_id", "held").agg(F.count_distinct("page").alias("n")).where("n >= held").select("deck_id")
+    every = requests.where("op = 'delete'").join(doomed, "deck_id", "left_semi").select("request", F.lit("all").alias("fault"))
+    return single.unionByName(every)
+
+
+def splice_report(before: DataFrame, after: DataFrame, refs: DataFrame, files: DataFrame, key: str = "deck_id") -> DataFrame:
+    """(key, added, removed, empty, missing) of decks after pages were put in or taken out: pages (key, slide_key, body) that came and went, pages
+    without a body, and references (key, path) to files (path) that aren't there. Decks without pages after the change have no row."""
+    b, a = before.select(key, "slide_key").distinct(), after.select(key, "slide_key").distinct()
+    added = a.join(b, [key, "slide_key"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("added"))
+    removed = b.join(a, [key, "slide_key"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("removed"))
+    empty = after.groupBy(key).agg(F.count_if(F.trim(F.coalesce("body", F.lit(""))) == "").alias("empty"))
+    lost = refs.join(files.select("path").distinct(), "path", "left_anti").groupBy(key).agg(F.count_distinct("path").alias("missing"))
+    out = empty.join(added, key, "left").join(removed, key, "left").join(lost, key, "left")
+    return out.select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("added", "removed", "empty", "missing")])
+
+
 def propagate(slides: DataFrame, stories: DataFrame, customer: Column, kind: Column, generic: Sequence[str], order: str) -> DataFrame:
     """(id, customer_tag, type_tag) of slides with what their stories' titles say: the customer of the last story that names one, and, where
     the type is null or generic, the type of the first that names one. `customer` and `kind` are expressions on the story title."""
@@ -86,12 +162,14 @@ def dangling(children: DataFrame, parents: DataFrame, child_key: str, key: str)
     return children.join(parents.select(F.col(key).alias("_p")).distinct(), F.col(child_key) == F.col("_p"), "left_anti")
 
 
-def compare_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, status): 'missing' in b, 'extra' in b, 'changed' or 'same', by a full outer join on unique keys."""
-    x = a.select(*keys, F.struct(*columns).alias("x"))
-    y = b.select(*keys, F.struct(*columns).alias("y"))
-    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when(F.col("x").eqNullSafe(F.col("y")), "same").otherwise("changed")
-    return x.join(y, list(keys), "full_outer").select(*keys, status.alias("status"))
+def compare_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], normal: Callable[[Column], Column] | None = None, skip: Column | None = None) -> DataFrame:
+    """(keys, status): 'missing' in b, 'extra' in b, 'changed' or 'same', by a full outer join on unique keys. `normal` brings a column to the
+    form in which values are compared; rows of a where `skip` holds are 'skipped' when b has them."""
+    def held(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.struct(*[(normal(F.col(c)) if normal else F.col(c)).alias(c) for c in columns]).alias(name), (F.coalesce(skip, F.lit(False)) if skip is not None and name == "x" else F.lit(False)).alias(f"_{name}"))
+
+    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when(F.col("_x"), "skipped").when(F.col("x").eqNullSafe(F.col("y")), "same").otherwise("changed")
+    return held(a, "x").join(held(b, "y"), list(keys), "full_outer").select(*keys, status.alias("status"))
 
 
 def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -259,7 +259,7 @@ def flag_needs_review(spark: SparkSession, folder: str) -> DataFrame:
     return M.flag_orphans(rows, stories(spark, folder), "needs review").select("id", F.array_join("tags", ",").alias("tags"))
 
 
-@_add("weak_title_stub", f"WITH {_S} SELECT id, CASE WHEN w THEN '(p' || coalesce(CAST(page_no AS VARCHAR), '?') || ' · untitled)' ELSE title END AS title, CASE WHEN w THEN 'stub' ELSE title_source END AS title_source FROM (SELECT *, coalesce(regexp_matches(title, '^[\\s\\p{{Z}}]*$|^\\s*\\(empty\\)\\s*$|^\\s*\\d+(\\.\\d+)?\\s*%?\\s*$|^\\s*￼'), true) AS w FROM s)")
+@_add("weak_title_stub", f"WITH {_S} SELECT id, CASE WHEN w THEN '(p' || coalesce(CAST(page_no AS VARCHAR), '?') || ' · untitled)' ELSE title END AS title, CASE WHEN w THEN 'stub' ELSE title_source END AS title_source FROM (SELECT *, coalesce(bare IN ('', '(empty)') OR try_cast(rtrim(rtrim(bare, '%')) AS DOUBLE) IS NOT NULL AND regexp_full_match(bare, '[0-9][0-9.]*\\s*%?') OR starts_with(bare, chr(65532)), true) AS w FROM (SELECT *, regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS bare FROM s))")
 def weak_title_stub(spark: SparkSession, folder: str) -> DataFrame:
     w = X.weak_title("title")
     stub = F.concat(F.lit("(p"), F.coalesce(F.col("page_no").cast("string"), F.lit("?")), F.lit(" · untitled)"))

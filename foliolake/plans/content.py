@@ -61,8 +61,8 @@ def media_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("id", images.alias("images"), videos.alias("videos"), X.media_tag(images, videos, length).alias("media"))
 
 
-_STYLED = """(?is)<(?:div|h1|h2|h3|p|span)[^>]*style="[^"]*font-size\\s*:\\s*([\\d.]+)px[^"]*"[^>]*>(.*?)</(?:div|h1|h2|h3|p|span)>"""
-_CAND = f"{_H}, c AS (SELECT id, coalesce(body_text, '') AS b, try_cast(regexp_extract(html, '{_STYLED}', 1) AS DOUBLE) AS px, {_strip(f"regexp_extract(html, '{_STYLED}', 2)")} AS t FROM h), g AS (SELECT *, coalesce(px >= 30 AND length(t) BETWEEN 2 AND 80 AND NOT contains(t, 'Confidential'), false) AS good, trim(split_part(b, '。', 1), ' ') AS f FROM c)"
+_SIZED = "(?is)<(?:div|h1|h2|h3|p|span)\\b[^>]*?font-size\\s*:\\s*([0-9.]+)px[^>]*>(.*)"
+_CAND = f"{_H}, c AS (SELECT id, coalesce(body_text, '') AS b, list_transform(string_split_regex(html, '(?i)</(?:div|h1|h2|h3|p|span)>')[:-2], lambda x: {{'px': try_cast(regexp_extract(x, '{_SIZED}', 1) AS DOUBLE), 't': {_strip(f"regexp_extract(x, '{_SIZED}', 2)")}}}) AS l FROM h), q AS (SELECT id, b, list_filter(l, lambda x: x.px >= 30 AND length(x.t) BETWEEN 2 AND 80 AND NOT contains(x.t, 'Confidential')) AS l FROM c), g AS (SELECT *, len(l) > 0 AS good, list_filter(l, lambda x: x.px = list_max(list_transform(l, lambda y: y.px)))[1].t AS t, trim(split_part(b, '。', 1), ' ') AS f FROM q)"
 
 
 @_add("title_extract", f"WITH {_CAND} SELECT id, CASE WHEN good THEN t WHEN f <> '' THEN substring(f, 1, 80) WHEN b <> '' THEN substring(b, 1, 40) ELSE '(empty)' END AS title, CASE WHEN good THEN 'extracted' ELSE 'auto-summary' END AS source FROM g")
@@ -113,7 +113,7 @@ def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.array_join(F.array_sort(t), " ").alias("tokens"), F.size(t).alias("n"))
 
 
-@_add("slug_titles", f"WITH {_S} SELECT id, CASE WHEN x = '' THEN 'story' ELSE x END AS slug FROM (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace(replace(title, '门店', '-store'), '[^a-zA-Z0-9_/-]+', '-', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g')) AS x FROM s)")
+@_add("slug_titles", f"WITH {_S} SELECT id, CASE WHEN x = '' THEN 'story' ELSE x END AS slug FROM (SELECT id, lower(array_to_string(regexp_extract_all(replace(title, '门店', '-store'), '[A-Za-z0-9_/]+'), '-')) AS x FROM s)")
 def slug_titles(spark: SparkSession, folder: str) -> DataFrame:
     return slides(spark, folder).select("id", X.slug("title", {"门店": "store"}).alias("slug"))
 

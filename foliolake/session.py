@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,18 @@ def cut(df: DataFrame) -> DataFrame:
 ENOUGH = 32 * 1024 * 1024
 
 
+#: Kinds of plan node behind which the number of partitions isn't known before the run.
+_SHUFFLED = ("Aggregate", "Join", "Repartition", "Window", "Sort")
+
+
+def _nodes(plan: object) -> Iterator[str]:
+    """The kinds of all nodes of a logical plan."""
+    yield plan.nodeName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Enough partitions to keep every core busy before an expensive per-row stage.
 
@@ -75,7 +88,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     plan = df._jdf.queryExecution().optimizedPlan()
-    if any(x in plan.toString() for x in ("Aggregate", "Join", "Repartition", "Window", "Sort")):
+    if any(kind in node for node in _nodes(plan) for kind in _SHUFFLED):
         enough = int(str(plan.stats().sizeInBytes())) >= want * ENOUGH
     else:
         enough = df.rdd.getNumPartitions() * 2 > want

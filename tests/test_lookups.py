@@ -32,6 +32,13 @@ def test_summed_chain(spark):
     assert got[3] == 7.0 and got[4] == 5.0 and 17.0 <= got[5] <= 33.0
 
 
+def test_reachable(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (4, 2), (5, 5), (None, 1), (3, None), (1, 2)], "parent int, child int")
+    starts = spark.createDataFrame([(1,), (5,), (3,), (None,)], "start int")
+    assert rows(L.reachable(links, starts)) == [(1, 2), (1, 3), (1, 4), (5, 5)]
+    assert rows(L.reachable(links.limit(0), starts)) == []
+
+
 def test_places(spark):
     def one(expression, text):
         return spark.createDataFrame([(text,)], "t string").select(expression.alias("r")).first()["r"]
@@ -40,9 +47,9 @@ def test_places(spark):
     path = L.path_of_text_id(F.col("t"), arrays, leaves)
     for text, want in {"slide-03.card-2.title": "data.cards.1.title_zh", "slide-1.branch-1.leaf-3": "data.branches.0.leaves.2", "slide-1.item-4": "data.items.3.title_zh", "slide-1.lede": "data.lede", "other": None}.items():
         assert one(path, text) == want
-    place = L.violation_place(F.col("t"))
-    for text, want in {"3 slide(s) miss x (slide indices: 1, 2, 3, )": "3 slides (1, 2, 3)", "slide 4 (cover): font-size 9px in `.a .b`": "slide 4 (cover) · 9px · `.a .b`", "use `<b>`": "(whole deck)"}.items():
-        assert one(place, text) == want
+    place = L.message_places(F.col("t"))
+    for text, want in {"3 slide(s) miss x (slide indices: 1, 2, 3, )": ([1, 2, 3], None, 3, None, []), "slide 4 (cover): font-size 9px in `.a .b` and `.c`": ([4], "cover", None, 9.0, [".a .b", ".c"]), "use `<b>`": ([], None, None, None, [])}.items():
+        assert tuple(one(place, text)) == want
     target = L.override_target(F.col("t"))
     for text, want in {"slide-24.html": "page:24", "slide-039.html": "key:slide-039", "slide-a1.html": "key:slide-a1", "x.html": None}.items():
         assert one(target, text) == want
