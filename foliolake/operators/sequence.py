@@ -46,6 +46,22 @@ def unique_keys(df: DataFrame, group: Sequence[str], base: str, order: Sequence[
     return joined.withColumn(name, F.when(clash, F.concat_ws("--", F.col(base), F.col("_n").cast("string"))).otherwise(F.col("_made"))).drop("_n", "_made", "_taken")
 
 
+def flips(df: DataFrame, wanted: Column, hide: bool, state: str = "hidden") -> DataFrame:
+    """The wanted rows that are in the opposite state, with the state flipped; a null state counts as visible."""
+    now = F.coalesce(F.col(state), F.lit(0))
+    return df.where(wanted & (now == (0 if hide else 1))).withColumn(state, F.lit(1 if hide else 0))
+
+
+def renumber_label(label: Column, number: Column) -> Column:
+    """A label with its number in front replaced by the row's, at least two digits wide; the text behind stays."""
+    return F.concat(_two_digits(number), F.regexp_replace(label, r"^\d+", ""))
+
+
+def _two_digits(number: Column) -> Column:
+    n = number.cast("string")
+    return F.lpad(n, F.greatest(F.length(n), F.lit(2)), F.lit("0"))
+
+
 def renumber_refs(text: Column, number: Column, prefix: str = "slide-") -> Column:
-    """A text in which the prefix's number is the row's two-digit number."""
-    return F.regexp_replace(text, F.lit(rf"{prefix}\d+"), F.concat(F.lit(prefix), F.lpad(number.cast("string"), 2, "0")))
+    """A text in which the prefix's number is the row's, at least two digits wide."""
+    return F.regexp_replace(text, F.lit(rf"{prefix}\d+"), F.concat(F.lit(prefix), _two_digits(number)))

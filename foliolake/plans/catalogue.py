@@ -237,11 +237,11 @@ def upsert_preserve(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("id", "title", "type_tag", "notes", "created_at")
 
 
-@_add("insert_ignore_first", "WITH o AS (SELECT hash, filename FROM assets WHERE size_bytes >= 50000), n AS (SELECT DISTINCT asset_hash AS hash, CAST(NULL AS VARCHAR) AS filename FROM slide_assets WHERE asset_hash IS NOT NULL) SELECT * FROM o UNION ALL SELECT * FROM n WHERE hash NOT IN (SELECT hash FROM o)")
+@_add("insert_ignore_first", "WITH o AS (SELECT hash, filename FROM assets WHERE size_bytes >= 50000), n AS (SELECT asset_hash AS hash, min(slide_id) AS filename FROM slide_assets WHERE asset_hash IS NOT NULL AND slide_id IS NOT NULL GROUP BY 1) SELECT * FROM o UNION ALL SELECT * FROM n WHERE hash NOT IN (SELECT hash FROM o)")
 def insert_ignore_first(spark: SparkSession, folder: str) -> DataFrame:
     old = table(spark, folder, "assets").where("size_bytes >= 50000").select("hash", "filename")
-    new = table(spark, folder, "slide_assets").where("asset_hash IS NOT NULL").select(F.col("asset_hash").alias("hash"), F.lit(None).cast("string").alias("filename"))
-    return M.insert_ignore(old, new, ["hash"])
+    new = table(spark, folder, "slide_assets").where("asset_hash IS NOT NULL AND slide_id IS NOT NULL").select(F.col("asset_hash").alias("hash"), F.col("slide_id").alias("filename"))
+    return M.insert_ignore(old, new, ["hash"], "filename")
 
 
 _KIND_SQL = "CASE WHEN contains(title, '复盘') THEN '复盘' WHEN contains(title, '全景') THEN '全景' END"
