@@ -303,20 +303,61 @@ DECK_SCHEMA = {
 }
 
 
-@_add("schema_violations")
+_BROKEN = """v AS (SELECT file_id, CASE WHEN json_valid(doc) THEN CAST(doc AS JSON) END AS j FROM sample_deck WHERE doc IS NOT NULL),
+o AS (SELECT file_id, j, j->'version' AS version, j->'deck' AS deck, j->'slides' AS slides FROM v WHERE json_type(j) = 'OBJECT'),
+l AS (SELECT file_id, CAST(slides AS JSON[]) AS a FROM o WHERE json_type(slides) = 'ARRAY'),
+i AS (SELECT file_id, unnest(a) AS x, '$.slides[' || (generate_subscripts(a, 1) - 1) || ']' AS p FROM l),
+k AS (SELECT *, x->'key' AS key, x->'layout' AS layout, x->'data' AS data FROM i WHERE json_type(x) = 'OBJECT'),
+b AS (SELECT file_id, '$' AS path, 'json' AS rule FROM v WHERE j IS NULL
+UNION ALL SELECT file_id, '$', 'type' FROM v WHERE json_type(j) <> 'OBJECT'
+UNION ALL SELECT file_id, '$.' || n, 'required' FROM o, (VALUES ('version'), ('deck'), ('slides')) r(n) WHERE json_extract(j, n) IS NULL
+UNION ALL SELECT file_id, '$.version', 'enum' FROM o WHERE version IS NOT NULL AND NOT (json_type(version) = 'VARCHAR' AND (version->>'$') IN ('1.0', '2'))
+UNION ALL SELECT file_id, '$.deck', 'type' FROM o WHERE json_type(deck) <> 'OBJECT'
+UNION ALL SELECT file_id, '$.deck.' || n, 'required' FROM o, (VALUES ('title'), ('language')) r(n) WHERE json_type(deck) = 'OBJECT' AND json_extract(deck, n) IS NULL
+UNION ALL SELECT file_id, '$.deck.title', CASE WHEN json_type(deck->'title') = 'VARCHAR' THEN 'minLength' ELSE 'type' END FROM o WHERE json_type(deck) = 'OBJECT' AND (deck->'title') IS NOT NULL AND NOT (json_type(deck->'title') = 'VARCHAR' AND (deck->>'title') <> '')
+UNION ALL SELECT file_id, '$.deck.language', 'enum' FROM o WHERE json_type(deck) = 'OBJECT' AND (deck->'language') IS NOT NULL AND NOT (json_type(deck->'language') = 'VARCHAR' AND (deck->>'language') IN ('zh', 'en', 'bilingual'))
+UNION ALL SELECT file_id, '$.slides', 'type' FROM o WHERE json_type(slides) <> 'ARRAY'
+UNION ALL SELECT file_id, '$.slides', 'minItems' FROM l WHERE len(a) = 0
+UNION ALL SELECT file_id, p, 'type' FROM i WHERE coalesce(json_type(x), 'NULL') <> 'OBJECT'
+UNION ALL SELECT file_id, p || '.' || n, 'required' FROM k, (VALUES ('key'), ('layout'), ('data')) r(n) WHERE json_extract(x, n) IS NULL
+UNION ALL SELECT file_id, p || '.key', CASE WHEN json_type(key) = 'VARCHAR' THEN 'pattern' ELSE 'type' END FROM k WHERE key IS NOT NULL AND NOT (json_type(key) = 'VARCHAR' AND regexp_full_match((key->>'$'), '[a-z]+-\\d+'))
+UNION ALL SELECT file_id, p || '.layout', 'type' FROM k WHERE json_type(layout) <> 'VARCHAR'
+UNION ALL SELECT file_id, p || '.data', 'type' FROM k WHERE json_type(data) <> 'OBJECT')"""
+
+
+@_add("schema_violations", f"WITH {_BROKEN} SELECT * FROM b")
 def schema_violations(spark: SparkSession, folder: str) -> DataFrame:
     return D.violations(table(spark, folder, "sample_deck"), "file_id", "doc", DECK_SCHEMA)
 
 
-@_add("rules_gate")
+_RULES = [("type", "shape", "error"), ("required", "shape", "error"), ("enum", "values", "warning"), ("json", "file", "error")]
+_KNOWN = f"{_BROKEN}, r(rule, family, severity) AS (VALUES {', '.join(map(str, _RULES))})"
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_RULES, "rule string, family string, severity string")
+
+
+@_add("rules_gate", f"WITH {_KNOWN}, g AS (SELECT file_id, path, coalesce(family, 'uncategorized') AS family, coalesce(severity = 'error', false) AS bad FROM b LEFT JOIN r USING (rule)), t AS (SELECT file_id, family, count(*) FILTER (bad) AS errors, count(*) FILTER (NOT bad) AS warnings, list_sort(list_distinct(list(path))) AS p FROM g GROUP BY 1, 2) SELECT file_id, family, errors, warnings, array_to_string(p[1:10], ',') AS locations FROM t")
 def rules_gate(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame([("type", "shape", "error"), ("required", "shape", "error"), ("enum", "values", "warning"), ("json", "file", "error")], "rule string, family string, severity string")
-    return D.gate(schema_violations(spark, folder), rules, "file_id")
+    return D.gate(schema_violations(spark, folder), _rules(spark), "file_id")
+
+
+@_add("rules_by_code", f"WITH {_KNOWN} SELECT rule, family, 'error' AS severity, count(DISTINCT file_id) AS documents, count(*) AS violations FROM b JOIN r USING (rule) GROUP BY 1, 2")
+def rules_by_code(spark: SparkSession, folder: str) -> DataFrame:
+    """The tally under strict rules, which make every known code an error."""
+    return D.by_code(schema_violations(spark, folder), _rules(spark), strict=True)
+
+
+@_add("documents_passing", f"WITH {_KNOWN} SELECT DISTINCT file_id, file_id NOT IN (SELECT file_id FROM b JOIN r USING (rule) WHERE severity = 'error') AS passed FROM sample_deck WHERE file_id IS NOT NULL")
+def documents_passing(spark: SparkSession, folder: str) -> DataFrame:
+    return D.passes(schema_violations(spark, folder), _rules(spark), table(spark, folder, "sample_deck"), "file_id")
 
 
-@_add("document_set_path")
+@_add("document_set_path", "WITH v AS (SELECT file_id, CASE WHEN json_valid(doc) THEN CAST(doc AS JSON) END AS j FROM sample_deck) SELECT file_id, CASE WHEN json_type(j) = 'OBJECT' AND coalesce(json_type(j->'deck'), '') <> 'ARRAY' THEN 'final' END AS mode, CASE WHEN json_type(j->'deck') = 'OBJECT' THEN j->'deck'->>'title' END AS title FROM v")
 def document_set_path(spark: SparkSession, folder: str) -> DataFrame:
-    return D.set_path(table(spark, folder, "sample_deck").select("file_id", "doc"), "doc", "deck.mode", "final").select("file_id", F.sha2("doc", 256).alias("doc_hash"))
+    new = D.set_path(table(spark, folder, "sample_deck").select("file_id", "doc"), "doc", "deck.mode", "final")
+    return new.select("file_id", D.get_path("doc", "deck.mode").alias("mode"), D.get_path("doc", "deck.title").alias("title"))
 
 
 @_add("deck_slide_list", "SELECT file_id, CAST(u.i - 1 AS INTEGER) AS slide_pos, u.x->>'$.key' AS key, u.x->>'$.layout' AS layout FROM (SELECT file_id, unnest(list_zip(range(1, len(v) + 1), v)) AS z FROM (SELECT file_id, CAST(CAST(doc AS JSON)->'$.slides' AS JSON[]) AS v FROM sample_deck WHERE json_valid(doc))) q, LATERAL (SELECT z[1] AS i, z[2] AS x) u WHERE u.x->>'$.key' IS NOT NULL")

@@ -29,6 +29,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
 
 SQL: dict[str, str] = {
+    "p2_found": """
+WITH RECURSIVE d AS (SELECT file_id, CAST(doc AS JSON)->'$.slides' AS v FROM sample_deck WHERE json_valid(doc) AND json_type(CAST(doc AS JSON)) = 'OBJECT'),
+l AS (SELECT file_id, CASE WHEN json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END AS v FROM d WHERE v IS NOT NULL),
+s AS (SELECT file_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS slide_pos FROM l),
+o AS (SELECT file_id, slide_pos, CASE WHEN json_type(x->'layout') = 'VARCHAR' THEN x->>'layout' ELSE '' END AS layout, x->'data' AS data FROM s WHERE json_type(x) = 'OBJECT'),
+n AS (
+SELECT file_id, slide_pos, layout, '' AS path, '' AS holder, CASE WHEN json_type(data) = 'VARCHAR' AND json_valid(data->>'$') THEN CAST(data->>'$' AS JSON) ELSE data END AS val FROM o
+UNION ALL
+SELECT file_id, slide_pos, layout, CASE WHEN prefix = '' THEN '' ELSE prefix || '/' END || i AS path, holder, val FROM (
+SELECT file_id, slide_pos, layout, prefix, holder, unnest(c) AS val, generate_subscripts(c, 1) - 1 AS i FROM (
+SELECT file_id, slide_pos, layout, CASE WHEN k = '' THEN path WHEN path = '' THEN k ELSE path || '/' || k END AS prefix, CASE WHEN k = '' THEN holder ELSE k END AS holder,
+CASE WHEN k = '' THEN CAST(val AS JSON[]) WHEN json_type(json_extract(val, k)) = 'ARRAY' THEN CAST(json_extract(val, k) AS JSON[]) ELSE [json_extract(val, k)] END AS c
+FROM n, (VALUES (''), ('cards'), ('body_blocks'), ('columns'), ('children')) h(k)
+WHERE (k = '' AND json_type(val) = 'ARRAY') OR (k <> '' AND json_type(val) = 'OBJECT' AND json_extract(val, k) IS NOT NULL)))),
+t AS (SELECT file_id, slide_pos, layout, path AS item_path, CASE WHEN holder = 'cards' AND json_type(val) = 'OBJECT' AND json_type(val->'title_zh') = 'VARCHAR' THEN val->>'title_zh'
+WHEN holder IN ('body_blocks', 'children') AND json_type(val) = 'OBJECT' AND json_type(val->'text') = 'VARCHAR' THEN val->>'text' WHEN holder IN ('body_blocks', 'children') AND json_type(val) = 'VARCHAR' THEN val->>'$' END AS item_text FROM n)
+SELECT file_id, CAST(slide_pos AS INTEGER) AS slide_pos, layout, item_path, item_text FROM t WHERE regexp_matches(item_text, '[^\\s\\p{Z}\\p{Cc}]')""",
     "p4_found": """
 WITH s AS (SELECT DISTINCT deck_id, start_page, end_page FROM stories WHERE deck_id IS NOT NULL AND start_page <= end_page),
 m AS (SELECT *, max(end_page) OVER (PARTITION BY deck_id ORDER BY start_page, end_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
