@@ -138,6 +138,14 @@ def tasks_enqueued(spark: SparkSession, folder: str) -> DataFrame:
     return M.enqueue(r, "insert", ["deck_id", "start_page"], F.lit(0), "id").select("task", "payload", "status")
 
 
+@_add("insert_first_writer", "WITH o AS (SELECT hash, filename FROM assets WHERE size_bytes >= 50000), n AS (SELECT asset_hash AS hash, min(slide_id) AS filename FROM slide_assets WHERE asset_hash IS NOT NULL AND slide_id IS NOT NULL GROUP BY 1) SELECT * FROM o UNION ALL SELECT * FROM n WHERE hash NOT IN (SELECT hash FROM o)")
+def insert_first_writer(spark: SparkSession, folder: str) -> DataFrame:
+    """Of several writers of a new key the first by name is kept."""
+    old = table(spark, folder, "assets").where("size_bytes >= 50000").select("hash", "filename")
+    new = table(spark, folder, "slide_assets").where("asset_hash IS NOT NULL AND slide_id IS NOT NULL").select(F.col("asset_hash").alias("hash"), F.col("slide_id").alias("filename"))
+    return M.insert_ignore(old, new, ["hash"], "filename")
+
+
 @_add("update_by_page", f"WITH {_S}, f AS (SELECT deck_id, page_no, min(id) AS uuid FROM s WHERE deck_id IS NOT NULL AND page_no % 2 = 0 GROUP BY 1, 2) SELECT s.id, coalesce(f.uuid, s.iwa_uuid) AS iwa_uuid FROM s LEFT JOIN f ON s.deck_id = f.deck_id AND s.page_no = f.page_no")
 def update_by_page(spark: SparkSession, folder: str) -> DataFrame:
     s = slides(spark, folder)
