@@ -158,6 +158,12 @@ def similar_inverted(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(N.query_pairs(*_sets(spark, folder)))
 
 
+@_add("similar_joined", f"WITH {_J} SELECT page, slide, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM pairs")
+def similar_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of similar_inverted by the join of rare tokens, in which both sides stay distributed."""
+    return _rounded(N.token_pairs(*_sets(spark, folder)))
+
+
 @_add("jaccard_overlap_pairs", f"WITH {_J6} SELECT page, slide, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM pairs")
 def jaccard_overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(N.query_pairs(*_sets(spark, folder), 0.6, 0.8))

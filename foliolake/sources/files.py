@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..operators.shred import deck_slides
 from ..session import ship
 
+#: Fixed values below, in the patterns of the readers: the marks that open a story, a slide or a field in proposals and sidecars.
 SLIDES = T.StructType([T.StructField(n, T.LongType() if n == "row_seq" else T.IntegerType() if n in ("page_no", "hidden") else T.TimestampType() if n.endswith("_at") else T.StringType()) for n in "row_seq id deck_id slide_key page_no title title_source thumbnail_path body_text type_tag subtype_tag customer_tag media_tag free_tags hidden notes created_at updated_at iwa_uuid element_sig template_sig".split()])
 STORIES = T.StructType([T.StructField(n, T.IntegerType() if n.endswith("_page") else T.TimestampType() if n.endswith("_at") else T.StringType()) for n in "id title description deck_id start_page end_page notes created_at updated_at".split()])
 #: Columns that people edit in a table and that come back.
@@ -79,26 +80,63 @@ def texts_from_markdown(lines: DataFrame, key: str = "path") -> DataFrame:
     return best.withColumn("value", F.replace("value", F.lit("\\n"), F.lit("\n")))
 
 
-#: Fields of an ITEM or MASTER line of the element table, in order.
+#: Fields of an ITEM or MASTER line of an element table made by hand, in order.
 ELEMENT = "ord kind x y w h angle opacity z locked text font size color align file_name data_id style".split()
 
 
-def elements_from_tsv(lines: DataFrame, key: str = "path") -> DataFrame:
-    """(key, slide_no, master, fields) from element tables: '#SLIDE n skipped' opens a slide (a skipped one has no rows), ITEM and MASTER lines carry
-    the fields of ELEMENT, text in base64; other record kinds are left to their own parse."""
+#: The fields of element lines as the slide extractor writes them, and of the records that follow an element, in order. A shorter CELL has CELL_SHORT.
+EXTRACTED = "kind x y w h angle file_name font size r g b fill_r fill_g fill_b corner opacity text".split()
+RECORDS = {
+    "CELL": "row col cw rh font size r g b fill_r fill_g fill_b text".split(),
+    "CHART_META": ["kind"],
+    "SERIES": ["name"],
+    "CATEGORY": ["name"],
+    "POINT": "series category value".split(),
+    "RUN": "font size r g b text".split(),
+}
+CELL_SHORT = "row col cw rh text".split()
+_BASE64, _WHOLE = frozenset({"text", "name"}), frozenset("ord z row col series category r g b fill_r fill_g fill_b".split())
+_REAL = frozenset("x y w h angle opacity size corner cw rh value".split())
+
+
+def _cell(name: str, at: int | None) -> Column:
+    """One field of a line's `cells`; what can't be read is null."""
+    c = F.lit(None).cast("string") if at is None else F.get("cells", at + 1)
+    if name in _BASE64:
+        return F.lit(None).cast("string") if at is None else F.expr(f"try_to_binary(get(cells, {at + 1}), 'base64')").cast("string")
+    if name in _WHOLE:
+        return c.try_cast("double").cast("int")
+    return c.try_cast("double") if name in _REAL else F.nullif(c, F.lit(""))
+
+
+def elements_from_tsv(lines: DataFrame, key: str = "path", fields: Sequence[str] = ELEMENT) -> DataFrame:
+    """(key, line, slide_no, master, fields) from element tables: '#SLIDE n skipped' opens a slide (a skipped one has no rows), ITEM and MASTER lines carry
+    `fields` in order, text in base64; ELEMENT is the order of hand-made tables, EXTRACTED that of the slide extractor. `records_from_tsv` reads the other kinds."""
     cells = F.split("value", "\t")
-    slide = F.when(F.col("value").startswith("#SLIDE\t"), F.struct(F.get(cells, 1).try_cast("int").alias("no"), (F.lower(F.get(cells, 2)) == "true").alias("skipped")))
+    slide = F.when(F.get("cells", 0) == "#SLIDE", F.struct(F.get("cells", 1).try_cast("int").alias("no"), (F.lower(F.get("cells", 2)) == "true").alias("skipped")))
     w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"at": F.last(slide, True).over(w), "cells": cells})
+    rows = lines.withColumn("cells", cells).withColumn("at", F.last(slide, True).over(w))
     rows = rows.where(F.get("cells", 0).isin("ITEM", "MASTER") & F.col("at").isNotNull() & ~F.coalesce(F.col("at.skipped"), F.lit(False)))
-    def field(name: str, i: int) -> Column:
-        c = F.get("cells", i + 1)
-        if name in "x y w h angle opacity size".split():
-            return c.try_cast("double").alias(name)
-        if name in ("ord", "z"):
-            return c.try_cast("int").alias(name)
-        return (F.expr(f"try_to_binary(get(cells, {i + 1}), 'base64')").cast("string") if name == "text" else F.nullif(c, F.lit(""))).alias(name)
-    return rows.select(key, "line", F.col("at.no").alias("slide_no"), (F.get("cells", 0) == "MASTER").alias("master"), *[field(n, i) for i, n in enumerate(ELEMENT)])
+    return rows.select(key, "line", F.col("at.no").alias("slide_no"), (F.get("cells", 0) == "MASTER").alias("master"), *[_cell(f, i).alias(f) for i, f in enumerate(fields)])
+
+
+def records_from_tsv(lines: DataFrame, record: str, key: str = "path") -> DataFrame:
+    """(key, line, slide_no, item, fields) of one kind of RECORDS in element tables; item is the line of the last element before it on its slide, to which
+    it belongs; groups are no elements. Skipped slides, records before an element and lines before the first slide have no rows; a field that
+    can't be read is null."""
+    cells = F.split("value", "\t")
+    head, upto = F.get("cells", 0), Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    slide = F.struct(F.get("cells", 1).try_cast("int").alias("no"), (F.lower(F.get("cells", 2)) == "true").alias("skipped"), "line")
+    rows = lines.select(key, "line", cells.alias("cells")).withColumn("at", F.last(F.when(head == "#SLIDE", slide), True).over(upto))
+    element = F.when(head.isin("ITEM", "MASTER") & (F.get("cells", 1) != "group"), F.col("line"))
+    rows = rows.withColumn("item", F.last(element, True).over(upto)).where(head == record)
+    rows = rows.where(~F.coalesce(F.col("at.skipped"), F.lit(True)) & (F.col("item") > F.col("at.line")))
+    fields = RECORDS[record]
+    if record != "CELL":
+        return rows.select(key, "line", F.col("at.no").alias("slide_no"), "item", *[_cell(f, i).alias(f) for i, f in enumerate(fields)])
+    short = F.size("cells") <= len(CELL_SHORT) + 1
+    both = [F.when(short, _cell(f, CELL_SHORT.index(f) if f in CELL_SHORT else None)).otherwise(_cell(f, i)).alias(f) for i, f in enumerate(fields)]
+    return rows.select(key, "line", F.col("at.no").alias("slide_no"), "item", *both)
 
 
 def prompts_from_transcripts(df: DataFrame) -> DataFrame:
