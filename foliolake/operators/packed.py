@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship, spread
-from .skew import lookup
+from .skew import digest, lookup
 
 #: Signs that part values, in order of preference, and the pairs that quote one.
 DELIMITERS = (",", ";", "|", "\t", "\n", "，", "、", "；", "/")
@@ -151,11 +151,12 @@ def unpack(df: DataFrame, key: str, field: str) -> DataFrame:
     def candidates(fields: pd.Series) -> pd.Series:
         return pd.Series([[(d, [(i, spelled_bits(i)) for i in items]) for d, items in enumerate(parses(f))] for f in fields], dtype=object)
 
-    rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where("field IS NOT NULL").distinct()
-    fields = rows.groupBy("field").agg(F.count(F.lit(1)).alias("held"))
-    parsed = cut(spread(fields).withColumn("parses", candidates("field")).where("size(parses) > 0"))
-    each = parsed.select("field", F.size("parses").alias("n"), F.explode("parses").alias("p")).select("field", "n", F.col("p.d").alias("d"), F.col("p.items").alias("items"))
-    values = each.select("field", "n", "d", F.explode("items").alias("v")).select("field", "d", "n", F.col("v.item").alias("value"), F.col("v.spelled").alias("spelled"))
+    # fields and values go by digests of a fixed size; their texts are kept once
+    rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where("field IS NOT NULL").distinct().withColumn("id", digest("field"))
+    fields = rows.groupBy("id", "field").agg(F.count(F.lit(1)).alias("held"))
+    parsed = cut(spread(fields).withColumn("parses", candidates("field")).drop("field").where("size(parses) > 0"))
+    each = parsed.select("id", F.size("parses").alias("n"), F.explode("parses").alias("p")).select("id", "n", F.col("p.d").alias("d"), F.col("p.items").alias("items"))
+    values = each.select("id", "n", "d", F.explode("items").alias("v")).select("id", "d", "n", digest("v.item").alias("value"), F.col("v.spelled").alias("spelled"))
     counts = values.groupBy("value").agg(F.sum(1 / F.col("n")).alias("seen"), F.count(F.lit(1)).alias("rows"))
     sums = counts.agg(F.sum("seen").alias("seen"), F.sum("rows").alias("rows")).collect()[0]
     total = float(sums["seen"] or 1.0)
@@ -165,11 +166,11 @@ def unpack(df: DataFrame, key: str, field: str) -> DataFrame:
     spelled = F.col("spelled") + F.log2(F.lit(total + 1))
     bits = F.when(again > 0, F.least(F.log2(F.lit(total + 1)) - F.log2(again), spelled)).otherwise(spelled)
     coded = lookup(values, counts, "value", "rows", float(sums["rows"] or 1))
-    cost = coded.groupBy("field", "d").agg(F.sum(bits).alias("bits"))
-    empty = each.where("size(items) = 0").select("field", "d", F.lit(0.0).alias("bits"))
-    best = cost.unionByName(empty).groupBy("field").agg(F.min_by("d", F.struct(F.round("bits", 6), "d")).alias("best"))
-    chosen = parsed.join(best, "field").select("field", "held", F.expr("filter(parses, p -> p.d = best)[0].items.item").alias("items"))
+    cost = coded.groupBy("id", "d").agg(F.sum(bits).alias("bits"))
+    empty = each.where("size(items) = 0").select("id", "d", F.lit(0.0).alias("bits"))
+    best = cost.unionByName(empty).groupBy("id").agg(F.min_by("d", F.struct(F.round("bits", 6), "d")).alias("best"))
+    chosen = parsed.join(best, "id").select("id", "held", F.expr("filter(parses, p -> p.d = best)[0].items.item").alias("items"))
     n_rows = float(parsed.agg(F.sum("held")).collect()[0][0] or 1)
-    out = lookup(rows, chosen, "field", "held", n_rows)
+    out = lookup(rows.select("key", "id"), chosen, "id", "held", n_rows)
     out = out.select(F.col("key").alias(key), F.posexplode("items").alias("p", "value"))
     return out.select(key, (F.col("p") + 1).cast("int").alias("pos"), "value")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from 1 / HOT_SHARE of all rows on, so there are at most HOT_SHARE hot keys: the proven
-#: bound of what is broadcast here. Keys should be short; long values go by their `digest`.
+#: A key is hot from 1 / HOT_SHARE of all rows on, so there are at most HOT_SHARE hot keys. Their bytes are bounded too, where a row of the
+#: other side holds what its key brings (as its text, or is as long as what was made of it): a hot key's b bytes lie in at least 1 / HOT_SHARE of the
+#: rows, so the hot keys together have at most HOT_SHARE times the mean bytes of a row. Long keys go by their `digest`.
 HOT_SHARE = 2000
 
 
