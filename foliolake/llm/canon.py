@@ -11,10 +11,10 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup
+from ..operators.skew import digest, lookup
 from ..session import cut, ship, spread
 from .looks import form
 from .setjoin import prefix_join, rare_first
@@ -72,6 +72,12 @@ def views(text: str, shared: list[str]) -> list[tuple[str, str, str]]:
     return [v for v in dict.fromkeys(found) if v[1]]
 
 
+def side(number: int, *columns: str) -> Column:
+    """The id of a set: which side of the join it is on, and the digest of what it is made from."""
+    both = digest(*columns)
+    return F.struct(F.lit(number).alias("side"), both["hi"].alias("hi"), both["lo"].alias("lo"))
+
+
 def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value: str) -> DataFrame:
     """(key, axis, entry): the entry of its axis meant by each filled value that is no canonical value letter for letter; 0 if none is.
 
@@ -89,7 +95,7 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
     if len(names) > MOST_NAMES:
         raise ValueError(f"the reference list has more than {MOST_NAMES} names")
     exact = spark.createDataFrame([(r.axis, r.name) for r in names if r.canonical], "axis string, value string")
-    long = long.join(exact, ["axis", "value"], "left_anti").withColumn("typed", F.concat_ws("\x1f", "axis", "value"))
+    long = long.join(exact, ["axis", "value"], "left_anti").withColumn("typed", digest("axis", "value"))
     values = cut(long.groupBy("typed", "axis", "value").agg(F.count(F.lit(1)).alias("held")))
 
     shared = {a: shared_parts([r.name for r in names if r.axis == a]) for a in {r.axis for r in names}}
@@ -106,12 +112,12 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
     def viewed(axes: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([[(k, v, members(a, k, v), rest, members("", "", rest)) for k, v, rest in views(t, shared.get(a, []))] for a, t in zip(axes, texts, strict=True)], dtype=object)
 
-    seen = cut(spread(values).select("typed", "axis", F.explode(viewed("axis", "value")).alias("v")).select("typed", F.concat_ws("\x1f", F.lit("v"), "axis", "v.kind", "v.view", "v.rest").alias("set_id"), F.col("v.members").alias("members"), F.col("v.rest").alias("rest"), F.col("v.rests").alias("rests")))
+    seen = cut(spread(values).select("typed", "axis", F.explode(viewed("axis", "value")).alias("v")).select("typed", side(0, "axis", "v.kind", "v.view", "v.rest").alias("set_id"), F.col("v.members").alias("members"), F.col("v.rest").alias("rest"), F.col("v.rests").alias("rests")))
     asked = seen.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("members", "rest", "rests")])
-    given = refs.withColumn("set_id", F.concat_ws("\x1f", F.lit("r"), F.col("entry").cast("string"), "axis", "kind", "view"))
+    given = refs.withColumn("set_id", side(1, "entry", "axis", "kind", "view"))
     sets = asked.select("set_id", "members").unionByName(given.select("set_id", "members")).withColumn("n", F.size("members"))
     ranked = cut(rare_first(sets).join(sets.select("set_id", "members"), "set_id"))
-    near = prefix_join(ranked.where(F.col("set_id").startswith("v\x1f")), ranked.where(F.col("set_id").startswith("r\x1f")), LEAST)
+    near = prefix_join(ranked.where("set_id.side = 0"), ranked.where("set_id.side = 1"), LEAST)
     near = near.join(given.select(F.col("set_id").alias("pivot"), "entry", "word", "own", "least"), "pivot").join(asked.drop("members"), "set_id")
     held = F.size(F.array_intersect("rests", "own")) >= F.size("own") * F.col("least")
     slips = (F.col("least") == OWN_WORD) & (F.levenshtein("rest", "word") <= F.length("word") * OWN_EDITS)
@@ -119,4 +125,4 @@ def map_values(rows: DataFrame, entries: DataFrame, key: str, axis: str, value:
     best = seen.select("typed", "set_id").join(near, "set_id").groupBy("typed").agg(F.max_by("entry", F.struct(F.round("sim", 9), -F.col("entry"))).alias("entry"))
     mapped = values.join(best, "typed", "left").select("typed", "held", F.coalesce("entry", F.lit(0)).alias("entry"))
     total = float(values.agg(F.sum("held")).collect()[0][0] or 1)
-    return lookup(long, mapped, "typed", "held", total).select(F.col("key").alias(key), F.col("axis").alias(axis), "entry")
+    return lookup(long.select("key", "axis", "typed"), mapped, "typed", "held", total).select(F.col("key").alias(key), F.col("axis").alias(axis), "entry")
