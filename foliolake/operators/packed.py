@@ -151,12 +151,12 @@ def unpack(df: DataFrame, key: str, field: str) -> DataFrame:
     def candidates(fields: pd.Series) -> pd.Series:
         return pd.Series([[(d, [(i, spelled_bits(i)) for i in items]) for d, items in enumerate(parses(f))] for f in fields], dtype=object)
 
-    # fields and values go by digests of a fixed size; their texts are kept once
+    # fields go by digests of a fixed size, their texts are kept once; values by numbers, and values that share one would share their count, which is all a value is for
     rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where("field IS NOT NULL").distinct().withColumn("id", digest("field"))
     fields = rows.groupBy("id", "field").agg(F.count(F.lit(1)).alias("held"))
     parsed = cut(spread(fields).withColumn("parses", candidates("field")).drop("field").where("size(parses) > 0"))
     each = parsed.select("id", F.size("parses").alias("n"), F.explode("parses").alias("p")).select("id", "n", F.col("p.d").alias("d"), F.col("p.items").alias("items"))
-    values = each.select("id", "n", "d", F.explode("items").alias("v")).select("id", "d", "n", digest("v.item").alias("value"), F.col("v.spelled").alias("spelled"))
+    values = each.select("id", "n", "d", F.explode("items").alias("v")).select("id", "d", "n", F.xxhash64("v.item").alias("value"), F.col("v.spelled").alias("spelled"))
     counts = values.groupBy("value").agg(F.sum(1 / F.col("n")).alias("seen"), F.count(F.lit(1)).alias("rows"))
     sums = counts.agg(F.sum("seen").alias("seen"), F.sum("rows").alias("rows")).collect()[0]
     total = float(sums["seen"] or 1.0)
@@ -168,7 +168,9 @@ def unpack(df: DataFrame, key: str, field: str) -> DataFrame:
     coded = lookup(values, counts, "value", "rows", float(sums["rows"] or 1))
     cost = coded.groupBy("id", "d").agg(F.sum(bits).alias("bits"))
     empty = each.where("size(items) = 0").select("id", "d", F.lit(0.0).alias("bits"))
-    best = cost.unionByName(empty).groupBy("id").agg(F.min_by("d", F.struct(F.round("bits", 6), "d")).alias("best"))
+    # millionths of a bit and the dialect as one number, of which the least is taken
+    ranked = F.shiftleft(F.round(F.col("bits") * 1e6).cast("bigint"), 8) + F.col("d")
+    best = cost.unionByName(empty).groupBy("id").agg(F.min(ranked).bitwiseAND(F.lit(255)).cast("int").alias("best"))
     chosen = parsed.join(best, "id").select("id", "held", F.expr("filter(parses, p -> p.d = best)[0].items.item").alias("items"))
     n_rows = float(parsed.agg(F.sum("held")).collect()[0][0] or 1)
     out = lookup(rows.select("key", "id"), chosen, "id", "held", n_rows)
