@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,21 +93,19 @@ def pair_greedily(fills: DataFrame, shapes: DataFrame, group: str, least: float
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f, s = (pdf[pdf["is_fill"] == v].sort_values(["ord", "id"]) for v in (True, False))
-        free, out = list(s.itertuples()), []
-        for r in f.itertuples():
-            best, rank = None, None
-            for t in free:
-                w = min(r.x + r.w, t.x + t.w) - max(r.x, t.x)
-                h = min(r.y + r.h, t.y + t.h) - max(r.y, t.y)
-                shared = max(w, 0.0) * max(h, 0.0)
-                iou = shared / (r.w * r.h + t.w * t.h - shared) if shared else 0.0
-                away = ((r.x + r.w / 2 - t.x - t.w / 2) ** 2 + (r.y + r.h / 2 - t.y - t.h / 2) ** 2) ** 0.5
-                mark = (1, iou) if iou >= least else (0, -away) if away <= max(30.0, 0.3 * max(r.w, r.h)) else None
-                if mark and (rank is None or mark > rank):
-                    best, rank = t, mark
+        x, y, w, h = (s[c].to_numpy(dtype=float) for c in "xywh")
+        ids, free, out = s["id"].to_numpy(), np.ones(len(s), dtype=bool), []
+        # one fill meets all shapes of its group at once; only the order of fills is a loop
+        for group_key, fill, fx, fy, fw, fh in f[[group, "id", *"xywh"]].itertuples(index=False):
+            shared = np.maximum(np.minimum(fx + fw, x + w) - np.maximum(fx, x), 0.0) * np.maximum(np.minimum(fy + fh, y + h) - np.maximum(fy, y), 0.0)
+            union = fw * fh + w * h - shared
+            iou = np.divide(shared, union, out=np.zeros(len(x)), where=shared > 0)
+            away = np.hypot(fx + fw / 2 - x - w / 2, fy + fh / 2 - y - h / 2)
+            over, near = free & (iou >= least), free & (away <= max(30.0, 0.3 * max(fw, fh)))
+            best = np.where(over, iou, -1.0).argmax() if over.any() else np.where(near, away, np.inf).argmin() if near.any() else None
             if best is not None:
-                free.remove(best)
-            out.append((getattr(r, group), r.id, best.id if best is not None else None))
+                free[best] = False
+            out.append((group_key, fill, ids[best] if best is not None else None))
         return pd.DataFrame(out, columns=[group, "fill", "shape"])
 
     kind = dict(fills.dtypes)

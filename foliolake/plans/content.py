@@ -444,7 +444,17 @@ def text_line_match(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 4))
 
 
-@_add("greedy_pairs")
+_GREEDY = """f AS (SELECT slide_id, id, x, y, w, h, row_number() OVER (PARTITION BY slide_id ORDER BY id) AS n FROM b WHERE role = 'icon' AND slide_id IS NOT NULL),
+c AS (SELECT slide_id, id, x, y, w, h, row_number() OVER (PARTITION BY slide_id ORDER BY id) AS rn FROM b WHERE role = 'image' AND slide_id IS NOT NULL),
+m AS (SELECT f.slide_id, f.n, c.rn, c.id AS shape, greatest(least(f.x + f.w, c.x + c.w) - greatest(f.x, c.x), 0) * greatest(least(f.y + f.h, c.y + c.h) - greatest(f.y, c.y), 0) AS shared, f.w * f.h + c.w * c.h AS areas, sqrt(pow(f.x + f.w / 2 - c.x - c.w / 2, 2) + pow(f.y + f.h / 2 - c.y - c.h / 2, 2)) AS away, greatest(30, 0.3 * greatest(f.w, f.h)) AS reach FROM f JOIN c ON f.slide_id = c.slide_id),
+p AS (SELECT slide_id, n, rn, shape, CASE WHEN shared > 0 AND shared / (areas - shared) >= 0.5 THEN {'t': 1, 's': CAST(shared / (areas - shared) AS DOUBLE), 'r': -rn} WHEN away <= reach THEN {'t': 0, 's': CAST(-away AS DOUBLE), 'r': -rn} END AS score FROM m),
+g AS (SELECT slide_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS fill, CAST(NULL AS BIGINT) AS shape FROM f GROUP BY slide_id
+UNION ALL SELECT slide_id, n, CASE WHEN rn IS NULL THEN taken ELSE list_append(taken, rn) END, fill, shape FROM (
+SELECT g.slide_id, f.n, any_value(g.taken) AS taken, any_value(f.id) AS fill, arg_max(p.shape, p.score) FILTER (WHERE p.score IS NOT NULL AND NOT list_contains(g.taken, p.rn)) AS shape, arg_max(p.rn, p.score) FILTER (WHERE p.score IS NOT NULL AND NOT list_contains(g.taken, p.rn)) AS rn
+FROM g JOIN f ON f.slide_id = g.slide_id AND f.n = g.n + 1 LEFT JOIN p ON p.slide_id = f.slide_id AND p.n = f.n GROUP BY g.slide_id, f.n))"""
+
+
+@_add("greedy_pairs", f"WITH RECURSIVE {_BX}, {_GREEDY} SELECT slide_id, fill, shape FROM g WHERE n > 0")
 def greedy_pairs(spark: SparkSession, folder: str) -> DataFrame:
     b = _boxes(spark, folder).withColumn("ord", F.col("id")).select("slide_id", "ord", "id", "x", "y", "w", "h", "role")
     return B.pair_greedily(b.where("role = 'icon'").drop("role"), b.where("role = 'image'").drop("role"), "slide_id")
