@@ -243,6 +243,12 @@ def candidate_rank(spark: SparkSession, folder: str) -> DataFrame:
     return unified_candidates(spark, folder).select("page", "slide", "score", F.row_number().over(order).alias("rank"))
 
 
+@_add("candidate_ranks_all", f"WITH {_CH} SELECT page, slide, score, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, slide) AS INTEGER) AS rank FROM g")
+def candidate_ranks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """candidate_rank beside SQL that ranks every candidate too."""
+    return candidate_rank(spark, folder)
+
+
 _WEIGHTS = {"uuid": 10, "structural": 8, "template": 6, "text": 4, "asset": 2}
 _PR = (
     f"{_S}, p AS (SELECT * FROM s WHERE deck_id = (SELECT deck_id FROM s WHERE deck_id IS NOT NULL ORDER BY row_seq DESC LIMIT 1)), l AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM p)), "
