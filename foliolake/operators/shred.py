@@ -138,7 +138,8 @@ def shred(df: DataFrame, record: str, text: str, lists: Iterable[str] = (), embe
     """(record, ordinal, path, value, type, element, holder, leaf): one row per scalar of each complete JSON text.
 
     Records with a null id, a null text or a text that is no complete JSON have no rows. `keep` is a
-    regular expression of the paths wanted; others are dropped before they leave the parser.
+    regular expression of the paths wanted; others are dropped before they leave the parser. Should `record` be the name of another
+    column here, that column has a '_' behind its name.
     """
     ship(df.sparkSession)
     lists, embedded = frozenset(lists), frozenset(embedded)
@@ -163,6 +164,8 @@ def shred(df: DataFrame, record: str, text: str, lists: Iterable[str] = (), embe
 
     base = spread(df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("record IS NOT NULL AND text IS NOT NULL"))
     out = base.mapInArrow(parse, f"record {kind}, ordinal int, path string, value string, type string, element string, holder string, leaf string")
+    if record in out.columns and record != "record":
+        out = out.withColumnRenamed(record, f"{record}_")
     return out.withColumnRenamed("record", record)
 
 
@@ -203,6 +206,14 @@ _SLIDE = r"^slides/(\d+)(?:/|$)"
 DECK = {"slides": {"layout": "layout", "data/lede": "lede"}, "cards": {"title_zh": "title"}, "body_blocks": {"text": "text", "": "own"}, "children": {"text": "text", "": "own"}}
 
 
+#: The name of the record's column while decks are read, so that none of theirs can clash with it.
+_ID = "_deck"
+
+
+def _decks(df: DataFrame, record: str, text: str) -> DataFrame:
+    return df.select(F.col(record).alias(_ID), F.col(text).alias("doc"))
+
+
 def deck_tables(df: DataFrame, record: str = "file_id", text: str = "doc") -> DataFrame:
     """(record, slide_pos, holder, element, layout, lede, title, text): the tables of all groups of DECK in one frame, told apart by holder.
 
@@ -236,6 +247,7 @@ def deck_items(df: DataFrame, record: str = "file_id", text: str = "doc", ledes:
 def deck_slides(df: DataFrame, record: str = "file_id", text: str = "doc") -> DataFrame:
     """One row per slide that has a key, layout or label: (record, slide_pos, key, layout, screen_label), null slides counted in the positions."""
     keep = r"^slides/\d+/(?:key|layout|screen_label)$"
-    t = shred(df, record, text, lists=("slides",), keep=keep).where("type <> 'null'")
+    t = shred(_decks(df, record, text), _ID, "doc", lists=("slides",), keep=keep).where("type <> 'null'")
     t = t.withColumn("slide_pos", F.regexp_extract("element", _SLIDE, 1).cast("int"))
-    return flat_table(t, record, "slides", {"key": "key", "layout": "layout", "screen_label": "screen_label"}, ["slide_pos"]).drop("holder", "element")
+    slides = flat_table(t, _ID, "slides", {"key": "key", "layout": "layout", "screen_label": "screen_label"}, ["slide_pos"])
+    return slides.drop("holder", "element").withColumnRenamed(_ID, record)
