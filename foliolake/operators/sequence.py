@@ -7,14 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """df with 1-based row numbers within each group, null a group as any other; no group has to fit a task.
+
+    Rows are dealt out by ranges of group and order, so a hot group lies in many partitions, one behind the other; a row's number is its place in its
+    partition's share of the group plus the shares before that. Rows that tie in `order` lie together and are numbered in no particular order.
+    """
+    parts = cut(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    shares = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each partition that a group lies in
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = shares.select(*[F.col(g).alias(f"_{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_{i}"))
+    out = parts.withColumn("_place", place).join(before, same)
+    return out.select(*df.columns, (F.col("_before") + F.col("_place")).cast("int").alias(name))
+
 
 def renumber(df: DataFrame, group: Sequence[str], order: Sequence[Column], hidden: Column | None = None, name: str = "number") -> DataFrame:
     """1-based numbers within each group; hidden rows take none (null) and leave no hole."""
     if hidden is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    out = df.withColumn("_hidden", F.coalesce(hidden, F.lit(False)))
-    n = F.row_number().over(Window.partitionBy(*group, "_hidden").orderBy(*order))
-    return out.withColumn(name, F.when(~F.col("_hidden"), n)).drop("_hidden")
+        return numbered(df, group, order, name)
+    out = numbered(df.withColumn("_hidden", F.coalesce(hidden, F.lit(False))), [*group, "_hidden"], order, name)
+    return out.withColumn(name, F.when(~F.col("_hidden"), F.col(name))).drop("_hidden")
 
 
 def carry_forward(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
@@ -37,9 +57,8 @@ def first_preferred(df: DataFrame, keys: Sequence[str], preferred: Column, order
 def unique_keys(df: DataFrame, group: Sequence[str], base: str, order: Sequence[Column], name: str = "key") -> DataFrame:
     """Keys made unique within a group: the first of a base keeps it, others get '-2', '-3' and so on; a made key that is itself a base of the group
     gets one more '-' and its number."""
-    w = Window.partitionBy(*group, base).orderBy(*order)
-    numbered = df.withColumn("_n", F.row_number().over(w))
-    made = numbered.withColumn("_made", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string"))))
+    counted = numbered(df, [*group, base], order, "_n")
+    made = counted.withColumn("_made", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("_n").cast("string"))))
     bases = df.select(*group, F.col(base).alias("_made"), F.lit(True).alias("_taken")).distinct()
     joined = made.join(bases, [*group, "_made"], "left")
     clash = F.coalesce("_taken", F.lit(False)) & (F.col("_n") > 1)

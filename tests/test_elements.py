@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as X
@@ -90,6 +91,14 @@ def test_flips_and_labels(spark):
     assert [r[0] for r in n.select(Q.renumber_label(F.col("l"), F.col("n"))).collect()] == ["03 x", "123x", None]
 
 
+def test_numbers_are_those_of_a_window(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 != 7, F.concat(F.lit("g"), F.col("id") % 40)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**6)).alias("o"), "id", F.lit(1).alias("_x"))
+    order = [F.desc("o"), F.asc("id")]
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert rows(Q.numbered(df, ["g"], order, "n")) == rows(want)
+    assert rows(Q.numbered(df.limit(0), ["g"], order, "n")) == []
+
+
 def test_salted_join_is_the_join(spark):
     many = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 1), (None, 1), (3, 9)], "k int, v int")
     few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "k int, w string")
