@@ -6,7 +6,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, overlap
@@ -15,11 +16,127 @@ from ..session import cut, ship, spread
 #: Pages of a query set that meet the library in one pass; more pages are more passes.
 BLOCK = 5000
 
+#: Tokens of the pages that a cell of `block_pairs` holds at once, about; and the pairs that it gives out at once, about.
+HELD, FLUSH = 4_000_000, 200_000
+
 
 def token_pairs(pages: DataFrame, library: DataFrame, least_jaccard: float = 0.20, least_overlap: float = 0.40) -> DataFrame:
     """(page, slide, jaccard, overlap) of pairs that reach either threshold; both inputs have (page or slide, tokens).
 
-    An inverted-index join on rare tokens. With the given thresholds a matching pair has at least 0.2 |A| tokens in common if B has half
+    Two exact ways, in both of which either side stays distributed. `block_pairs` counts the common tokens of every row with blocks of pages; it
+    shuffles the library once a block, however many pairs there are. `rare_pairs` joins rare tokens and verifies what meets; it is taken instead
+    if there are several blocks and the sets to verify weigh less than the library taken once a block.
+    """
+    size = F.greatest(F.size("tokens"), F.lit(0))
+    held, rows = pages.where("page IS NOT NULL").agg(F.coalesce(F.sum(size), F.lit(0)), F.count_if(size > 0)).first()
+    blocks = -(-held // HELD) or 1
+    if blocks > 1 and few_meet(pages, library, least_jaccard, least_overlap, held / rows, blocks):
+        return rare_pairs(pages, library, least_jaccard, least_overlap)
+    return block_pairs(pages, library, least_jaccard, least_overlap, blocks)
+
+
+def few_meet(pages: DataFrame, library: DataFrame, least_jaccard: float, least_overlap: float, mean: float, blocks: int) -> bool:
+    """Whether the pairs that rare tokens bring together, each with a page's `mean` tokens, have fewer tokens than the library taken `blocks` times.
+
+    Estimated from the frequencies of all tokens by powers of two, at most 64 rows: the rarest tokens that make up a prefix's share of all
+    tokens, each with as many pairs as it has rows here times rows there. Both ways are exact, so the estimate decides on cost alone.
+    """
+    a, b = pages.where("page IS NOT NULL"), library.where("slide IS NOT NULL")
+    each = a.select(F.explode("tokens").alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.explode("tokens").alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    df = each.groupBy("t").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    classes = df.groupBy(F.floor(F.log2(F.col("a") + F.col("b"))).alias("k")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("pairs")).orderBy("k").collect()
+    met = 0.0
+    for side, share in (("a", min(least_jaccard, least_overlap)), ("b", least_overlap)):
+        rest = (1 - share) * sum(r[side] for r in classes)
+        for r in classes:
+            if rest > 0:
+                met, rest = met + r.pairs, rest - r[side]
+    return met * mean <= blocks * sum(r.b for r in classes)
+
+
+def block_pairs(pages: DataFrame, library: DataFrame, least_jaccard: float, least_overlap: float, blocks: int = 1) -> DataFrame:
+    """The pairs of `token_pairs` by cells: each row of the library meets each block of pages in one of the block's cells.
+
+    The library's rows are dealt out once for each block, and a block's pages are repeated for its cells, a number that doesn't depend on the
+    pages. In a cell the pages come first and make an inverted index of about HELD tokens; the library's rows pass it one by one, and
+    their common tokens with all pages of the block are counted together. No pair is shuffled.
+    """
+    spark = library.sparkSession
+    ship(spark)
+    kinds = (dict(pages.dtypes)["page"], dict(library.dtypes)["slide"])
+    groups = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df: DataFrame, key: str, every: int, cell: Column) -> DataFrame:
+        df = df.where(F.col(key).isNotNull()).select(key, "tokens").withColumn("every", F.explode(F.sequence(F.lit(0), F.lit(every - 1))))
+        side = {"page": F.lit(None).cast(kinds[0]), "slide": F.lit(None).cast(kinds[1])} | {key: F.col(key)}
+        return df.select(cell.cast("int").alias("cell"), F.lit(key == "slide").alias("passes"), *[c.alias(name) for name, c in side.items()], "tokens")
+
+    every = F.col("every")
+    both = dealt(pages.where("size(tokens) > 0"), "page", groups, F.pmod(F.xxhash64("page"), F.lit(blocks)) * groups + every)
+    both = both.unionByName(dealt(library, "slide", blocks, every * groups + F.pmod(F.xxhash64("slide"), F.lit(groups))))
+    cells = both.repartitionById(blocks * groups, "cell").sortWithinPartitions("cell", "passes")
+
+    def numbered(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list]:
+        """The size of each set, the tokens of all sets as numbers, and what the numbers stand for."""
+        coded = lists.flatten().dictionary_encode(null_encoding="encode")
+        return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            cell, passes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "passes"))
+            bounds = [0, *(np.flatnonzero((np.diff(cell) != 0) | (passes[1:] != passes[:-1])) + 1), len(cell)]
+            for first, last in zip(bounds, bounds[1:]):
+                part = batch.slice(first, last - first)
+                if not len(part):
+                    continue
+                if cell[first] != at:
+                    at, held, index = cell[first], [], None
+                if not passes[first]:
+                    held.append(part)
+                    continue
+                if index is None:
+                    names = pa.concat_arrays([b.column("page") for b in held]) if held else pa.array([])
+                    sizes, codes, words = numbered(pa.concat_arrays([b.column("tokens") for b in held])) if held else (np.zeros(0, int), np.zeros(0, int), [])
+                    owners = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(codes, kind="stable")]
+                    postings = np.split(owners, np.cumsum(np.bincount(codes, minlength=len(words)))[:-1])
+                    index, held = {w: k for k, w in enumerate(words)}, []
+                if index:
+                    yield from met(part, names, sizes, index, postings)
+
+    def met(part: pa.RecordBatch, names: pa.Array, sizes: np.ndarray, index: dict, postings: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lengths, codes, words = numbered(part.column("tokens"))
+        known = np.array([index.get(w, -1) for w in words], dtype=np.int64)[codes]
+        ends = np.cumsum(lengths)
+        found, rows = [], 0
+
+        def flush() -> pa.RecordBatch:
+            page, slide, jac, ovl = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(page)), part.column("slide").take(pa.array(slide)), pa.array(jac), pa.array(ovl)], names=["page", "slide", "jaccard", "overlap"])
+
+        for k, (n, end) in enumerate(zip(lengths.tolist(), ends.tolist(), strict=True)):
+            lists = [postings[t] for t in known[end - n : end].tolist() if t >= 0]
+            if not lists:
+                continue
+            common = np.bincount(np.concatenate(lists), minlength=len(sizes))
+            jac, ovl = common / (sizes + n - common), common / np.minimum(sizes, n)
+            hit = np.flatnonzero((jac >= least_jaccard - 1e-12) | (ovl >= least_overlap - 1e-12))
+            if len(hit):
+                found.append((hit, np.full(len(hit), k), jac[hit], ovl[hit]))
+                rows += len(hit)
+            if rows >= FLUSH:
+                yield flush()
+                found, rows = [], 0
+        if found:
+            yield flush()
+
+    return cells.mapInArrow(run, f"page {kinds[0]}, slide {kinds[1]}, jaccard double, overlap double")
+
+
+def rare_pairs(pages: DataFrame, library: DataFrame, least_jaccard: float, least_overlap: float) -> DataFrame:
+    """The pairs of `token_pairs` by an inverted-index join on rare tokens.
+
+    With the thresholds 0.2 and 0.4 a matching pair has at least 0.2 |A| tokens in common if B has half
     of |A| or more, and 0.4 |B| if it has fewer; so it shares a token with the rare prefix of A, or of B, of that length. (In
     general: min(j, o) |A| from |B| = min(1, j / o) |A| on, else o |B|.) Frequent tokens fall outside the prefixes, nothing is
     dropped, and every pair is verified on the whole sets.

@@ -160,7 +160,7 @@ def similar_inverted(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add("similar_joined", f"WITH {_J} SELECT page, slide, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM pairs")
 def similar_joined(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairs of similar_inverted by the join of rare tokens, in which both sides stay distributed."""
+    """The pairs of similar_inverted by `token_pairs`, in which both sides stay distributed."""
     return _rounded(N.token_pairs(*_sets(spark, folder)))
 
 

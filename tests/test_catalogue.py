@@ -68,6 +68,62 @@ def test_inverted_join_is_brute_force(spark, jac, ovl):
         assert {(r.page, r.slide) for r in got.collect()} == want and got.count() == len(want)
 
 
+def brute(a, b, jac, ovl):
+    found = {}
+    for p, x in a.items():
+        for s, y in b.items():
+            c, n, m = len({*x} & {*y}), len(x), len(y)
+            if n and m and (c / (n + m - c) >= jac or c / min(n, m) >= ovl):
+                found[p, s] = (c / (n + m - c), c / min(n, m))
+    return found
+
+
+def set_tables(spark, a, b):
+    return [spark.createDataFrame([(k, None if v is None else [f"t{x}" for x in v]) for k, v in d], f"{n} string, tokens array<string>") for d, n in ((a, "page"), (b, "slide"))]
+
+
+@pytest.mark.parametrize(("jac", "ovl"), [(0.2, 0.4), (0.6, 0.8), (0.5, 2.0)])
+def test_blocks_and_rare_tokens_are_brute_force(spark, monkeypatch, jac, ovl):
+    rng = random.Random(7)
+    a = {f"p{i}": rng.sample(range(30), rng.randint(0, 12)) for i in range(40)}
+    b = {f"s{i}": rng.sample(range(40), rng.randint(0, 20)) for i in range(60)}
+    want = brute(a, b, jac, ovl)
+    x, y = set_tables(spark, [*a.items(), (None, [1, 2]), ("none", None)], [*b.items(), (None, [1, 2]), ("none", None)])
+    monkeypatch.setattr(N, "FLUSH", 3)
+    for got in (N.block_pairs(x, y, jac, ovl), N.block_pairs(x, y, jac, ovl, 5), N.rare_pairs(x, y, jac, ovl)):
+        found = got.collect()
+        assert {(r.page, r.slide): (r.jaccard, r.overlap) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize(("common", "held", "way"), [(0, 10, "rare_pairs"), (8, 120, "block_pairs")])
+def test_way_of_token_pairs_by_what_meets(spark, monkeypatch, common, held, way):
+    """Sets of rare tokens go by these, sets that share many tokens with all others by blocks; the pairs are the same."""
+    a = {f"p{i}": [*range(common), *(100 + 4 * i + k for k in range(4))] for i in range(40)}
+    b = {f"s{i}": [*range(common), *(100 + 4 * i + k for k in range(1, 5))] for i in range(40)}
+    monkeypatch.setattr(N, "HELD", held)
+    used = []
+    for name in ("rare_pairs", "block_pairs"):
+        monkeypatch.setattr(N, name, lambda *args, name=name, join=getattr(N, name): used.append((name, *args[4:])) or join(*args))
+    got = N.token_pairs(*set_tables(spark, a.items(), b.items()), 0.4, 0.5).collect()
+    assert {(r.page, r.slide): (r.jaccard, r.overlap) for r in got} == brute(a, b, 0.4, 0.5) and used[0][0] == way and len(used) == 1
+    assert way == "rare_pairs" or used[0][1] == 4
+
+
+def test_token_pairs_shuffle_neither_tokens_nor_candidates(spark):
+    """Ten tokens of every set are common to all, so that every page meets every slide, but few pairs reach a threshold."""
+    a = [(f"p{i}", [*range(10), *(1000 * i + k for k in range(100, 130))]) for i in range(20)]
+    b = [(f"s{i}", [*range(10), *(1000 * i + k for k in range(110, 140))]) for i in range(500)]
+    x, y = set_tables(spark, a, b)
+    sc = spark.sparkContext
+    before = int(sc._jsc.sc().dagScheduler().nextStageId())
+    assert {(r.page, r.slide) for r in N.token_pairs(x, y).collect()} == {(f"p{i}", f"s{i}") for i in range(20)}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = sc._jsc.sc().statusStore()
+    written = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, int(sc._jsc.sc().dagScheduler().nextStageId())))
+    groups = max(sc.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert written <= len(b) + len(a) * groups + 100
+
+
 def test_every_candidate_has_a_rank(spark, tmp_path):
     text = "alpha beta gamma delta epsilon zeta"
     spark.createDataFrame([(1, text), (2, text)], "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
